@@ -110,20 +110,20 @@ hosts as (
   select host as h, cast('0x' || substr(md5(host), 1, 4) as integer) as x, cast('0x' || substr(md5(host), 5, 4) as integer) as y
   from (select distinct host from captures)),
 entries as (
-  select distinct list, kind, pattern, action, timestamp '2024-01-01' + to_days(cast(d as integer)) as at from (
+  select distinct list, kind, pattern, action, timestamp '2024-01-01' + to_days(cast(d as integer)) as changed from (
     select 'hosts' as list, 'host' as kind, h as pattern, 'added' as action, x % 200 as d from hosts where x % 3 = 0
     union all select 'hosts', 'host', h, 'removed', x % 200 + 40 + y % 60 from hosts where x % 3 = 0 and x % 2 = 0
     union all select 'hosts', 'host', h, 'added', x % 200 + 120 from hosts where x % 3 = 0 and x % 4 = 0
     union all select 'sections', 'prefix', h || '/en/', 'added', y % 300 from hosts where x % 5 = 0
     union all select 'domains', 'domain', regexp_replace(h, '^(?:www|m|blog)\.', ''), 'added', y % 250 from hosts where y % 4 = 0
     union all select 'domains', 'domain', regexp_replace(h, '^(?:www|m|blog)\.', ''), 'removed', y % 250 + 50 from hosts where y % 8 = 0)),
-states as (select list, kind, pattern, at, bool_and(action = 'added') as active from entries group by all),
+states as (select list, kind, pattern, changed, bool_and(action = 'added') as active from entries group by all),
 turns as (
-  select *, coalesce(lag(active) over w, false) as before from states window w as (partition by list, kind, pattern order by at)),
+  select *, coalesce(lag(active) over w, false) as before from states window w as (partition by list, kind, pattern order by changed)),
 kept as (select * from turns where active <> before),
 intervals as (
-  select list, kind, pattern, at as starts, ends, active
-  from (select *, lead(at) over (partition by list, kind, pattern order by at) as ends from kept)),
+  select list, kind, pattern, changed as starts, ends, active
+  from (select *, lead(changed) over (partition by list, kind, pattern order by changed) as ends from kept)),
 keyed as (
   select distinct page_id, url, fetched, kind, pattern from (
     select page_id, url, fetched, 'host' as kind, host as pattern from captures
