@@ -10,12 +10,12 @@ other and from every pivot, so pivots cannot part them; a first exact step does:
    parts give edges to the least document, and connected documents form a block.  No link leaves
    its block.
 2. Copies.  Documents with equal sets become one.
-3. Regions.  A block of more than REGION sets is split by pivots into Voronoi regions.  A set lies
-   in its nearest pivot's region and is copied into every other region whose pivot is no more than
-   twice the linking distance farther: by the triangle inequality both regions of a linked pair
-   then hold the pair.  Regions are split again in the same way while they are large and shrink.
-   What stays large (sets that are all about as far from each other) is dealt in tiles, every pair
-   of strips of the region once.
+3. Regions.  A block of more than REGION sets is split by pivots into Voronoi regions.  A set is at
+   home in its nearest pivot's region and is copied into the regions of lesser pivots that are no
+   more than twice the linking distance farther: by the triangle inequality a linked pair then
+   meets in the lesser of its two homes.  Regions are split again in the same way while that halves
+   the comparisons.  What stays large (sets that are all about as far from each other) is dealt in
+   tiles, every strip of home sets with every strip of the region.
 4. Leaves.  In a region or tile the pairs are compared exactly, and each document found linked gets
    an edge to its group's least document; components of these edges are the result.
 
@@ -42,8 +42,8 @@ from platewright.llm._text import slices
 
 #: Sets of a region that one task compares; strips of larger regions have half as many.
 REGION = 256
-#: Pivots of a region and levels of splitting.
-PIVOTS, LEVELS = 24, 2
+#: Most pivots of a region, home sets for each pivot, and levels of splitting.
+PIVOTS, PER_PIVOT, LEVELS = 256, 128, 3
 CACHE_ENTRIES = 1_000_000
 #: Growth of size classes.
 STEP = 1.3
@@ -167,8 +167,8 @@ def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray, percent: int) -> np.n
     return 100 * both >= percent * (a + b - both)
 
 
-def compare(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges (id, least id of its group) from all linked pairs with one of them in `left`."""
+def compare(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, need: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges (id, least id of its group) from all linked pairs with one of them in `left` and one in `need`."""
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     parent = list(range(n))
@@ -189,7 +189,7 @@ def compare(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent:
     if n <= 4:
         for i in range(n):
             for j in range(i):
-                if left[i] or left[j]:
+                if (left[i] or left[j]) and (need[i] or need[j]):
                     both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if linked(sizes[i], sizes[j], both, percent):
                         unite(i, j)
@@ -208,7 +208,8 @@ def compare(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent:
             strip = np.zeros((n, 4096), np.float32)
             strip[owner[lo:hi], column[lo:hi] - at] = 1
             both += strip[rows] @ strip.T
-        for i, j in zip(*np.nonzero(linked(sizes[rows, None], sizes[None, :], both.astype(np.int64), percent)), strict=True):
+        found = linked(sizes[rows, None], sizes[None, :], both.astype(np.int64), percent) & (need[rows, None] | need[None, :])
+        for i, j in zip(*np.nonzero(found), strict=True):
             unite(int(rows[i]), int(j))
     return [(int(ids[i]), int(ids[root(i)])) for i in range(n) if root(i) != i]
 
@@ -262,41 +263,49 @@ def distance(a: str, b: str):
 
 
 def split(regions: DataFrame, percent: int) -> DataFrame:
-    """Regions of (region, u, home, set) split by pivots; a set is at home in one region."""
+    """Where sets go when regions of (region, u, home, need, set) are split by pivots.
+
+    Rows (region, u, new, home): the set's new regions.  A set is at home with its nearest pivot and
+    visits the pivots of lesser id that its window reaches; a linked pair meets at the lesser home.
+    """
     reach = 2 * (100 - percent) / 100 + 1e-9
-    ranked = regions.where("home").select("region", "u", "set", F.xxhash64("u", "region").alias("luck"))
-    # the pivots of a region: its sets of least hash
-    pivots = ranked.groupBy("region").agg(F.slice(F.sort_array(F.collect_list("luck")), 1, PIVOTS).alias("least")).select("region", F.explode("least").alias("luck"))
-    pivots = ranked.join(pivots, ["region", "luck"]).select("region", F.col("u").alias("pivot"), F.col("set").alias("pivot_set"))
-    far = regions.join(pivots, "region").select("region", "u", "home", "pivot", distance("set", "pivot_set").alias("d"))
-    near = far.groupBy("region", "u", "home").agg(F.collect_list(F.struct("d", "pivot")).alias("all")).withColumn("first", F.array_min("all"))
-    kept = near.select("region", "u", "home", "first", F.explode(F.filter("all", lambda p: p["d"] <= F.col("first")["d"] + reach)).alias("p"))
-    moved = kept.select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("home") & (F.col("p.pivot") == F.col("first.pivot"))).alias("at_home"))
-    return regions.select("region", "u", "set").join(moved, ["region", "u"]).select(F.col("new").alias("region"), "u", F.col("at_home").alias("home"), "set")
+    ranked = regions.where("home").select("region", "u", F.xxhash64("u", "region").alias("luck"))
+    # the pivots of a region: its sets of least hash, one for each PER_PIVOT sets
+    drawn = ranked.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("luck", "u"))).alias("all"))
+    number = F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.ceil(F.size("all") / PER_PIVOT))).cast("int")
+    chosen = drawn.select("region", F.explode(F.slice("all", F.lit(1), number)).alias("p")).select("region", F.col("p.u").alias("u"))
+    pivots = regions.join(chosen, ["region", "u"]).select("region", F.col("u").alias("pivot"), F.col("set").alias("pivot_set"))
+    far = regions.join(pivots, "region").select("region", "u", "pivot", distance("set", "pivot_set").alias("d"))
+    near = far.groupBy("region", "u").agg(F.collect_list(F.struct("d", "pivot")).alias("all")).withColumn("first", F.array_min("all"))
+    mine = F.filter("all", lambda p: (p["pivot"] == F.col("first.pivot")) | (p["pivot"] < F.col("first.pivot")) & (p["d"] <= F.col("first.d") + reach))
+    return near.select("region", "u", "first", F.explode(mine).alias("p")).select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("p.pivot") == F.col("first.pivot")).alias("home"))
 
 
 def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
-    """Regions dealt as pairs of strips, each pair of strips with a home set once."""
-    sized = regions.join(regions.groupBy("region").agg(F.ceil(F.count("*") / strip).cast("int").alias("strips")), "region")
-    at = F.pmod(F.xxhash64("u", F.lit(5)), F.col("strips")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("strips") - 1)).alias("other")
-    dealt = sized.withColumn("strip", at).select("region", "u", "home", "set", "strip", other)
-    return dealt.select(F.xxhash64("region", F.least("strip", "other"), F.greatest("strip", "other")).alias("region"), "u", "home", "set")
+    """Regions dealt as tiles: every strip of sets at home with every strip of all sets."""
+    sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / strip).cast("int").alias("across"), F.ceil(F.sum(F.col("home").cast("int")) / strip).cast("int").alias("down"))
+    sized = regions.join(sizes, "region").where("down > 0")
+    row, column = F.pmod(F.xxhash64("u", F.lit(5)), F.col("down")).cast("int"), F.pmod(F.xxhash64("u", F.lit(6)), F.col("across")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = sized.where("home").select("*", row.alias("row"), upto("across").alias("column"))
+    others = sized.withColumn("home", F.lit(False)).select("*", upto("down").alias("row"), column.alias("column"))
+    return own.unionByName(others).select(F.xxhash64("region", "row", "column").alias("region"), "u", "home", "need", "set")
 
 
 def leaf_edges(regions: DataFrame, percent: int) -> DataFrame:
     """Edges (u, v) of linked sets within each region."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bool, np.ndarray]] = []
+        held: list[tuple[int, bool, bool, np.ndarray]] = []
         current = None
 
         def done() -> list[tuple[int, int]]:
             seen = {}
-            for u, home, s in held:
-                seen[u] = (seen[u][0] or home if u in seen else home, s)
+            for u, home, need, s in held:
+                seen[u] = (u in seen and seen[u][0] or home, need, s)
             ids = sorted(seen)
-            return compare(np.array(ids), [seen[u][1] for u in ids], np.array([seen[u][0] for u in ids]), percent) if len(ids) > 1 else []
+            home, need, sets = zip(*(seen[u] for u in ids), strict=True) if len(ids) > 1 else ((), (), ())
+            return compare(np.array(ids), list(sets), np.array(home), np.array(need), percent) if len(ids) > 1 else []
 
         def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
@@ -305,15 +314,15 @@ def leaf_edges(regions: DataFrame, percent: int) -> DataFrame:
             edges = []
             sets = batch.column("set")
             values, offsets = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
-            for i, (region, u, home) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "u", "home")), strict=True)):
+            for i, (region, u, home, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "u", "home", "need")), strict=True)):
                 if region != current:
                     edges += done()
                     held, current = [], region
-                held.append((u, home, values[offsets[i] : offsets[i + 1]].copy()))
+                held.append((u, home, need, values[offsets[i] : offsets[i + 1]].copy()))
             yield batch_of(edges)
         yield batch_of(done())
 
-    return regions.select("region", "u", "home", "set").repartition("region").sortWithinPartitions("region").mapInArrow(apply, "u long, v long")
+    return regions.select("region", "u", "home", "need", "set").repartition("region").sortWithinPartitions("region").mapInArrow(apply, "u long, v long")
 
 
 def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,20 +350,28 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
     copies = hashed.select("block", "digest", "u").join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()
     alone = hashed.join(one, ["block", "digest"]).where("u = least").dropDuplicates(["block", "u"]).select(F.col("block").alias("region"), "u", F.lit(True).alias("home"), "set")
 
-    ready, paths, level = [], [], 0
-    regions = alone
+    ready, paths, level, regions = [], [], 0, alone.withColumn("need", F.lit(True))
     while True:
-        sizes = regions.groupBy("region").agg(F.count("*").alias("size")).where("size > 1")
+        sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes")).where("size > 1 and homes > 0")
         sized, path = written(regions.join(sizes, "region"), "regions")
         paths.append(path)
-        ready.append(sized.where(F.col("size") <= REGION).drop("size"))
-        large = sized.where(F.col("size") > REGION).drop("size")
+        ready.append(sized.where(F.col("size") <= REGION).drop("size", "homes"))
+        large = sized.where(F.col("size") > REGION)
         if not large.take(1):
             break
-        if level == LEVELS:
-            ready.append(tiles(large))
+        wide = large.where(F.col("homes") > 2 * PER_PIVOT).drop("size", "homes")
+        if level == LEVELS or not wide.take(1):
+            ready.append(tiles(large.drop("size", "homes")))
             break
-        regions, level = split(large, percent), level + 1
+        moved, path = written(split(wide, percent), "moved")
+        paths.append(path)
+        # a split that leaves more than half of the comparisons isn't worth its copies
+        cost = moved.groupBy("region", "new").agg((F.count("*") * F.sum(F.col("home").cast("long"))).alias("cost")).groupBy("region").agg(F.sum("cost").alias("cost"))
+        better = large.select("region", "size", "homes").distinct().join(cost, "region").where("2 * cost < size * homes").select("region")
+        ready.append(tiles(large.drop("size", "homes").join(better, "region", "left_anti")))
+        kept = large.join(better, "region").select("region", "u", F.col("home").alias("need"), "set")
+        regions = kept.join(moved, ["region", "u"]).select(F.col("new").alias("region"), "u", "home", "need", "set")
+        level += 1
     leaves = ready[0]
     for r in ready[1:]:
         leaves = leaves.unionByName(r)
