@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow.compute as pc
+
 #: The Unicode White_Space characters, as the body of a character class.
 SPACES = "\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -21,7 +24,7 @@ def slices(batch, column: str, limit: int = 8 << 20):
     n = batch.num_rows
     if not n:
         return
-    sizes = [len(v) if v is not None else 0 for v in batch.column(column).to_pylist()] if n > 1 else [0]
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     start, total = 0, 0
     for i, size in enumerate(sizes):
         if total and total + size > limit:
@@ -55,3 +58,83 @@ def settled(pattern: str) -> str:
         body = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in later)
         pattern = pattern.replace(rf"\p{{{name}}}", rf"[\p{{{name}}}--[{body}]]")
     return pattern
+
+
+def byte_characters() -> list[str]:
+    """The characters that byte-level vocabularies write bytes as: printable ones stand for themselves."""
+    out, free = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out.append(chr(b))
+        else:
+            out.append(chr(free))
+            free += 1
+    return out
+
+
+class Pieces:
+    """A vocabulary's merges applied to many pieces at once, by the tokenizers library."""
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.alone = Tokenizer(tokenizer.model)
+        self.alone.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.table = dict(enumerate(byte_characters()))
+
+    def written(self, piece: str) -> str:
+        """The piece in byte characters; they hold no blank."""
+        return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.table)
+
+    def __call__(self, pieces: list[str]) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """Ids of all tokens, the piece of each, and their places in the written pieces joined by blanks."""
+        e = self.alone.encode(" ".join(map(self.written, pieces)), add_special_tokens=False)
+        return e.ids, e.word_ids, e.offsets
+
+
+class Numbers(dict):
+    """Numbers keys in the order of their first look-up; `new` holds keys not yet learnt."""
+
+    def __init__(self):
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
+
+    def of(self, keys: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, keys), np.int32, len(keys))
+
+
+class Ragged:
+    """Growing list of integer rows, gathered by number."""
+
+    def __init__(self, dtype=np.uint32):
+        self.start, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, dtype)
+
+    def extend(self, sizes: np.ndarray, flat: np.ndarray) -> None:
+        begin = np.cumsum(sizes) - sizes + len(self.flat)
+        self.start, self.size = np.concatenate([self.start, begin]), np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, flat.astype(self.flat.dtype)])
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the rows, and their values one after another."""
+        sizes = self.size[rows]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        at += np.repeat(self.start[rows] - (ends - sizes), sizes)
+        return sizes, self.flat[at]
+
+
+def rows_of(flat: np.ndarray, sizes: np.ndarray, lengths: list[int]) -> list[bytes]:
+    """Bytes of `flat` by group: each of `lengths` counts the rows (of `sizes`) that form a group."""
+    ends = np.cumsum(np.append(0, sizes))[np.cumsum([0, *lengths])].tolist()
+    return [flat[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def solid_words(text: str | None) -> list[str]:
+    """Words between white space; `split` also splits at four control characters that are none."""
+    if not text:
+        return []
+    return SOLID.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()

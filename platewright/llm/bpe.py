@@ -21,14 +21,17 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from platewright.llm._text import CHUNK, FIRST_LATER, settled, slices
+from platewright.llm._text import CHUNK, FIRST_LATER, Numbers, Ragged, rows_of, settled, slices
 
 LONG_PIECE = 512
 CACHE_ENTRIES = 600_000
+#: Pieces of one recursive query.
+BATCH_PIECES = 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -103,39 +106,37 @@ class Codec:
         words = pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
         self.db.register("words", words)
         self.db.execute("create table vocabulary as select * from words")
-        self.cache: dict[str, bytes] = {}
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.clear()
 
     def split(self, chunk: str) -> list[str]:
         """The pattern's matches in a chunk; letters beyond the first later one need the full tables."""
         return (self.plain if max(chunk) < FIRST_LATER else self.full).findall(chunk)
 
-    def merge_pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """Ids of each piece as little-endian unsigned 32-bit integers."""
-        import numpy as np
-
-        out: list[bytes] = [b""] * len(pieces)
-        short = [i for i, p in enumerate(pieces) if len(p) <= LONG_PIECE]
-        for i, p in enumerate(pieces):
-            if len(p) > LONG_PIECE:
-                out[i] = np.array(self.merge_long(p), "<u4").tobytes()
-        to_id = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
-        for at in range(0, len(short), 40_000):
-            part = short[at : at + 40_000]
-            lengths = np.array([len(pieces[i]) for i in part])
-            flat = np.frombuffer(b"".join(pieces[i] for i in part), np.uint8)
-            piece = np.repeat(np.arange(len(part), dtype=np.int32), lengths)
+    def merge_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of tokens of the pieces, and their ids one after another."""
+        sizes, out = [], []
+        for at in range(0, len(pieces), BATCH_PIECES):
+            part = pieces[at : at + BATCH_PIECES]
+            lengths = np.array([len(p) for p in part], np.int64)
+            short = lengths <= LONG_PIECE
+            flat = np.frombuffer(b"".join([p for p in part if len(p) <= LONG_PIECE]), np.uint8)
+            lengths = lengths[short]
+            piece = np.repeat(np.flatnonzero(short).astype(np.int32), lengths)
             pos = np.arange(len(flat), dtype=np.int64) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            start = pa.table({"piece": piece, "pos": pos, "id": to_id[flat]})
-            self.db.register("start_rows", start)
+            self.db.register("start_rows", pa.table({"piece": piece, "pos": pos, "id": self.byte_ids[flat]}))
             got = self.db.execute(ENCODE_SQL).fetchnumpy()
             self.db.unregister("start_rows")
-            ids = got["id"].astype("<u4").tobytes()
-            ends = np.cumsum(np.bincount(got["piece"], minlength=len(part))) * 4
-            begin = 0
-            for i, end in zip(part, ends.tolist(), strict=True):
-                out[i] = ids[begin:end]
-                begin = end
-        return out
+            which, ids = got["piece"], got["id"].astype(np.uint32)
+            if not short.all():
+                long = [(i, self.merge_long(part[i])) for i in np.flatnonzero(~short).tolist()]
+                which = np.concatenate([which, *(np.full(len(x), i, which.dtype) for i, x in long)])
+                ids = np.concatenate([ids, *(np.array(x, np.uint32) for _, x in long)])
+                order = np.argsort(which, kind="stable")
+                which, ids = which[order], ids[order]
+            sizes.append(np.bincount(which, minlength=len(part)))
+            out.append(ids)
+        return np.concatenate(sizes), np.concatenate(out)
 
     def merge_long(self, piece: bytes) -> list[int]:
         """The same contraction by a heap of (rank, position), for very long pieces."""
@@ -167,24 +168,32 @@ class Codec:
             i = after[i]
         return ids
 
+    def clear(self) -> None:
+        self.chunks, self.chunk_ids = Numbers(), Ragged()
+        self.pieces, self.piece_ids = Numbers(), Ragged()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.clear()
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
-        new = set().union(*chunks)
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-        fresh = [c for c in new if c not in self.cache]
-        pieces = [self.split(c) for c in fresh]
-        distinct = list(set().union(*pieces))
-        ids = dict(zip(distinct, self.merge_pieces([p.encode() for p in distinct]), strict=True))
-        for c, parts in zip(fresh, pieces, strict=True):
-            self.cache[c] = b"".join([ids[p] for p in parts])
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        numbers = [self.chunks.of(c) for c in chunks]
+        fresh, self.chunks.new = self.chunks.new, []
+        if fresh:
+            parts = [self.split(c) for c in fresh]
+            which = self.pieces.of([p for part in parts for p in part])
+            new, self.pieces.new = self.pieces.new, []
+            if new:
+                self.piece_ids.extend(*self.merge_pieces([p.encode() for p in new]))
+            sizes, ids = self.piece_ids.gather(which)
+            chunk = np.repeat(np.arange(len(fresh)), [len(p) for p in parts])
+            self.chunk_ids.extend(np.bincount(chunk, sizes, len(fresh)).astype(np.int64), ids)
+        if not numbers:
+            return []
+        sizes, ids = self.chunk_ids.gather(np.concatenate(numbers))
+        return rows_of(ids.astype("<u4"), sizes, [len(c) for c in chunks])
 
     def decode(self, sequences: list[bytes], budget: int = 1_500_000) -> list[bytes]:
         """Bytes of each id sequence; id rows go to DuckDB in groups of some `budget` rows."""
-        import numpy as np
-
         out, start = [b""] * len(sequences), 0
         while start < len(sequences):
             stop, rows = start, 0

@@ -45,6 +45,8 @@ REGION = 256
 #: Most pivots of a region, home sets for each pivot, and levels of splitting.
 PIVOTS, PER_PIVOT, LEVELS = 256, 128, 3
 CACHE_ENTRIES = 1_000_000
+#: Most rows of two numbers that are broadcast (some 32 MB).
+BROADCAST_ROWS = 2_000_000
 #: Growth of size classes.
 STEP = 1.3
 
@@ -344,7 +346,9 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
                 held = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), pa.array(digest, pa.binary()), held], ["block", "u", "digest", "set"])
 
-    found = df.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(members, F.col("_key") == F.col("node")).select("component", "node", text)
+    # few members go to the texts; more of them meet the texts in a shuffle
+    few = members.count() <= BROADCAST_ROWS
+    found = df.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(F.broadcast(members) if few else members, F.col("_key") == F.col("node")).select("component", "node", text)
     hashed, hashed_path = written(found.mapInArrow(sets, "block long, u long, digest binary, set array<long>"), "sets")
     one = hashed.groupBy("block", "digest").agg(F.min("u").alias("least"))
     copies = hashed.select("block", "digest", "u").join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()

@@ -17,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm._text import SOLID, slices
+from platewright.llm._text import Numbers, Pieces, Ragged, rows_of, slices, solid_words
 
 WINDOW = 2048
 CACHE_ENTRIES = 600_000
+#: The tokeniser's own cut of words, for letters below U+0180.
+LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
 #: Pieces of one packing group; bounds a task's memory.
 GROUP_PIECES = 200_000
 
@@ -34,27 +37,66 @@ class WordTokens:
     """Ids of white-space separated words, each distinct word tokenised once.
 
     The tokeniser drops white space, and none of its steps looks across it, so a text's ids are
-    those of its words one after another.
+    those of its words one after another.  Words of Latin letters are put in small letters and cut
+    into letters, digits and marks here, as the tokeniser does it, and only its merges are left to
+    do; other words go through all its steps.
     """
 
     def __init__(self, serialized: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(serialized)
-        self.cache: dict[str, bytes] = {}
+        self.merges = Pieces(self.tokenizer)
+        self.clear()
+
+    def clear(self) -> None:
+        self.words, self.word_ids = Numbers(), Ragged()
+        self.pieces, self.piece_ids = Numbers(), Ragged()
+
+    def learn(self, words: list[str]) -> None:
+        """Append the words' ids, in order."""
+        plain = [i for i, w in enumerate(words) if max(w) < "\u0180" and "\u0130" not in w and "<|" not in w]
+        found = LATIN.findall("\n".join([words[i] for i in plain]).lower())  # a line feed is a piece by itself
+        which = self.pieces.of(found)
+        new, self.pieces.new = self.pieces.new, []
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            ids, of, _ = self.merges([p if p != "\n" else "a" for p in part])
+            sizes = np.bincount(np.array(of, np.int64), minlength=len(part))
+            ids = np.array(ids, np.uint32)
+            if "\n" in part:
+                gone = part.index("\n")
+                ids, sizes[gone] = ids[np.array(of) != gone], 0
+            self.piece_ids.extend(sizes, ids)
+        sizes, ids = self.piece_ids.gather(which)
+        word = np.cumsum(np.array([p == "\n" for p in found], bool)) if found else np.zeros(0, np.int64)
+        counts = np.zeros(len(words), np.int64)
+        counts[plain] = np.bincount(word, sizes, len(plain)).astype(np.int64) if plain else 0
+        own = rows_of(ids, counts[plain], [1] * len(plain))
+        rows = dict(zip(plain, own, strict=True)) if len(plain) < len(words) else None
+        if rows is None:
+            self.word_ids.extend(counts, ids)
+            return
+        rest = [i for i in range(len(words)) if i not in rows]
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([words[i] for i in part], add_special_tokens=False), strict=True):
+                rows[i] = np.array(e.ids, np.uint32).tobytes()
+                counts[i] = len(e.ids)
+        self.word_ids.extend(counts, np.frombuffer(b"".join([rows[i] for i in range(len(words))]), np.uint32))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        words = [SOLID.findall(t) if t else [] for t in texts]
-        new = set().union(*words)
-        if len(self.cache) + len(new) > CACHE_ENTRIES:
-            self.cache.clear()
-        fresh = [w for w in new if w not in self.cache]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, w)) for w in words]
+        if len(self.words) > CACHE_ENTRIES:
+            self.clear()
+        words = [solid_words(t) for t in texts]
+        numbers = [self.words.of(w) for w in words]
+        new, self.words.new = self.words.new, []
+        if new:
+            self.learn(new)
+        if not numbers:
+            return []
+        sizes, ids = self.word_ids.gather(np.concatenate(numbers))
+        return rows_of(ids.astype("<u4"), sizes, [len(w) for w in words])
 
 
 def cuts(length: int, window: int = WINDOW) -> list[tuple[int, int]]:

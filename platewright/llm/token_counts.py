@@ -18,23 +18,47 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm._text import CHUNK, slices
+from platewright.llm._text import CHUNK, FIRST_LATER, Pieces, settled, slices
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 600_000
 
 
 class Spans:
-    """Token spans of texts; each distinct chunk is encoded once (see `_text`)."""
+    """Token spans of texts; each distinct chunk and piece is encoded once (see `_text`)."""
 
-    def __init__(self, serialized: str):
+    def __init__(self, serialized: str, pattern: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(serialized)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.pieces = Pieces(Tokenizer.from_str(serialized))
+        self.plain, self.full = regex.compile(pattern), regex.compile(settled(pattern), regex.V1)
         self.cache: dict[str, bytes] = {}
+        self.known: dict[str, np.ndarray] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        """Keep each piece's token spans in characters."""
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            _, which, places = self.pieces(part)
+            sizes = np.array([len(p.encode()) for p in part], np.int64)
+            origin = np.cumsum(sizes + 1) - sizes - 1
+            which = np.array(which, np.int64)
+            spans = np.array(places, np.int64).reshape(-1, 2) - origin[which][:, None]  # in bytes
+            ends = np.cumsum(np.bincount(which, minlength=len(part))).tolist()
+            begin = 0
+            for p, size, end in zip(part, sizes.tolist(), ends, strict=True):
+                own = spans[begin:end]
+                if size != len(p):  # a token within a character has that character's span
+                    lead = np.cumsum((np.frombuffer(p.encode(), np.uint8) & 0xC0) != 0x80)
+                    own = np.stack([lead[own[:, 0]] - 1, lead[own[:, 1] - 1]], 1)
+                self.known[p] = own
+                begin = end
+
+    def chunk(self, chunk: str) -> list[str]:
+        return (self.plain if max(chunk) < FIRST_LATER else self.full).findall(chunk)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all tokens, counted through the joined texts, and tokens of each text."""
@@ -42,11 +66,18 @@ class Spans:
         new = set().union(*chunks)
         if len(self.cache) + len(new) > CACHE_ENTRIES:
             self.cache.clear()
-        fresh = [c for c in new if c not in self.cache]
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.cache[c] = np.array(e.offsets, "<u4").tobytes()
+            self.known.clear()
+        fresh = {c: self.chunk(c) for c in new if c not in self.cache}
+        self.learn([p for p in set().union(*fresh.values()) if p not in self.known])
+        for c, parts in fresh.items():
+            if len(parts) == 1:
+                self.cache[c] = self.known[c].astype("<u4").tobytes()
+            else:
+                at, out = 0, []
+                for p in parts:
+                    out.append(self.known[p] + at)
+                    at += len(p)
+                self.cache[c] = np.concatenate(out).astype("<u4").tobytes()
         flat = [c for doc in chunks for c in doc]
         parts = [self.cache[c] for c in flat]
         counts = np.fromiter(map(len, parts), np.int64, len(parts)) >> 3
@@ -75,7 +106,7 @@ def attribute(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.nd
     return out, int(((touched > 0) & ~inside).sum())
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, sections: str = "sections", key: str = "doc_id", column: str = "text") -> DataFrame:
+def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str = "sections", key: str = "doc_id", column: str = "text") -> DataFrame:
     """Token counts by section.
 
     `sections` is an array of struct<start, end> in characters.  Returns key, n_tokens, n_sections,
@@ -90,7 +121,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, sections: str = "sections",
         spans = None
         for batch in batches:
             for part in slices(batch, column):
-                spans = spans or Spans(serialized.value)
+                spans = spans or Spans(serialized.value, pattern)
                 texts = part.column(column).to_pylist()
                 starts, ends, per_text = spans(texts)
                 tokens = np.cumsum([0, *per_text]).tolist()
