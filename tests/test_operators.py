@@ -1,0 +1,59 @@
+from pyspark.sql import functions as F
+
+from platewright.functions import colour, text
+from platewright.operators import rules, spatial
+from platewright.plans import history
+from platewright.sources import landing
+from platewright.streaming import arrivals
+
+# Published CIEDE2000 pairs (first Lab, second Lab, difference).
+PAIRS = [(50.0, 2.6772, -79.7751, 50.0, 0.0, -82.7485, 2.0425), (50.0, 0.0, 0.0, 50.0, -1.0, 2.0, 2.3669), (50.0, 2.5, 0.0, 73.0, 25.0, -18.0, 27.1492), (2.0776, 0.0795, -1.1350, 0.9033, -0.0636, -0.5514, 0.9082), (60.2574, -34.0099, 36.2677, 60.4626, -34.1751, 39.4387, 1.2644)]
+
+
+def test_ciede2000_pairs(spark):
+    df = spark.createDataFrame(PAIRS, "l1 double, a1 double, b1 double, l2 double, a2 double, b2 double, want double")
+    for r in colour.with_delta_e2000(df, ("l1", "a1", "b1"), ("l2", "a2", "b2")).collect():
+        assert abs(r.de - r.want) < 1e-4
+
+
+def test_white_and_black(spark):
+    r = colour.with_lab(spark.createDataFrame([(255, 255, 255), (0, 0, 0)], "r int, g int, b int")).collect()
+    assert abs(r[0].L - 100) < 0.01 and abs(r[1].L) < 0.01
+
+
+def test_scores_of_nothing(spark):
+    r = spark.range(1).select(rules.share_score(F.lit(0), F.lit(0)).alias("s"), rules.status(F.lit(98.0)).alias("a"), rules.status(F.lit(90.0)).alias("b"), rules.percent(F.lit(0), F.lit(0)).alias("p")).first()
+    assert (r.s, r.a, r.b, r.p) == (100.0, "approved", "review", 100.0)
+
+
+def test_touching_boxes_do_not_overlap(spark):
+    box = "page int, id int, x int, y int, w int, h int"
+    a = spark.createDataFrame([(1, 1, 0, 0, 10, 10)], box)
+    b = spark.createDataFrame([(1, 2, 10, 0, 10, 10), (1, 3, 9, 9, 600, 600), (2, 4, 0, 0, 10, 10)], box)
+    assert [r.r.id for r in spatial.overlaps(a, b).collect()] == [3]
+
+
+def test_text(spark):
+    r = spark.range(1).select(text.check_digit(F.lit("400638133393")).alias("d"), text.pattern_of(F.lit("Ab12")).alias("p"), text.error_rate(F.lit(""), F.lit("x")).alias("e"), text.accent_variants(F.lit("nino")).alias("v"), text.word_key(F.lit("¡Niño!")).alias("k")).first()
+    assert (r.d, r.p, r.e, sorted(r.v), r.k) == (1, "Aa99", 0.0, ["ninó", "níno"], "niño")
+
+
+def test_upsert_ties(spark):
+    e = spark.createDataFrame([(1, 5, 1, "a"), (1, 5, 2, "b"), (1, 4, 9, "c"), (2, 1, 1, None)], "k int, ts int, id int, v string")
+    assert {r.k: r.v for r in history.upsert(e, "k", "ts", "id").collect()} == {1: "b", 2: None}
+
+
+def test_ink_library(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("name;L;a;b\nRojo;50,5;60;40\nAzul;30.25;10;-50\n;;;\n")
+    assert [(r.name, r.L) for r in landing.inks(spark, str(tmp_path)).orderBy("name").collect()] == [("Azul", 30.25), ("Rojo", 50.5)]
+
+
+def test_arrivals(spark, tmp_path):
+    src, seen = str(tmp_path / "in"), []
+    spark.range(5).write.parquet(src)
+    take = lambda df, _: seen.append(df.count())
+    for n in (5, 3):
+        if n == 3:
+            spark.range(3).write.mode("append").parquet(src)
+        arrivals.drain(arrivals.arrivals(spark, src, spark.range(1).schema), str(tmp_path / "cp"), take)
+    assert seen == [5, 3]
