@@ -12,21 +12,22 @@ equal texts may lie in different windows.  Ties in length go to the smaller (doc
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewright.llm._text import Numbers, Pieces, Ragged, rows_of, slices, solid_words
 
 WINDOW = 2048
-CACHE_ENTRIES = 600_000
-#: The tokeniser's own cut of words, for letters below U+0180.
-LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
+CACHE_ENTRIES = 1_000_000
+# The tokeniser's own cut of words in small letters below U+0180: letters and numbers there are fixed values.
+LETTERS, NUMBERS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼-¾"
+LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \\t-\\r\x85\xa0{LETTERS}{NUMBERS}]+|\\n")
 #: Pieces of one packing group; bounds a task's memory.
 GROUP_PIECES = 200_000
 
@@ -55,9 +56,11 @@ class WordTokens:
 
     def learn(self, words: list[str]) -> None:
         """Append the words' ids, in order."""
-        plain = [i for i, w in enumerate(words) if max(w) < "\u0180" and "\u0130" not in w and "<|" not in w]
+        latin = lambda w: max(w) < "\u0180" and "\u0130" not in w and "<|" not in w
+        plain = range(len(words)) if latin("".join(words)) else [i for i, w in enumerate(words) if latin(w)]
         found = LATIN.findall("\n".join([words[i] for i in plain]).lower())  # a line feed is a piece by itself
         which = self.pieces.of(found)
+        line = self.pieces["\n"]
         new, self.pieces.new = self.pieces.new, []
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
@@ -69,14 +72,14 @@ class WordTokens:
                 ids, sizes[gone] = ids[np.array(of) != gone], 0
             self.piece_ids.extend(sizes, ids)
         sizes, ids = self.piece_ids.gather(which)
-        word = np.cumsum(np.array([p == "\n" for p in found], bool)) if found else np.zeros(0, np.int64)
+        word = np.cumsum(which == line) if found else np.zeros(0, np.int64)
         counts = np.zeros(len(words), np.int64)
+        plain = list(plain)
         counts[plain] = np.bincount(word, sizes, len(plain)).astype(np.int64) if plain else 0
-        own = rows_of(ids, counts[plain], [1] * len(plain))
-        rows = dict(zip(plain, own, strict=True)) if len(plain) < len(words) else None
-        if rows is None:
+        if len(plain) == len(words):
             self.word_ids.extend(counts, ids)
             return
+        rows = dict(zip(plain, rows_of(ids, counts[plain], [1] * len(plain)), strict=True))
         rest = [i for i in range(len(words)) if i not in rows]
         for at in range(0, len(rest), 20_000):
             part = rest[at : at + 20_000]
