@@ -86,10 +86,10 @@ class Pieces:
         """The piece in byte characters; they hold no blank."""
         return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(self.table)
 
-    def __call__(self, pieces: list[str]) -> tuple[list[int], list[int], list[tuple[int, int]]]:
-        """Ids of all tokens, the piece of each, and their places in the written pieces joined by blanks."""
+    def __call__(self, pieces: list[str], places: bool = True) -> tuple[list[int], list[int], list[tuple[int, int]]]:
+        """Ids of all tokens, the piece of each, and their places in the written pieces joined by blanks (if asked for)."""
         e = self.alone.encode(" ".join(map(self.written, pieces)), add_special_tokens=False)
-        return e.ids, e.word_ids, e.offsets
+        return e.ids, e.word_ids, e.offsets if places else []
 
 
 class Numbers(dict):

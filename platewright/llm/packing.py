@@ -59,17 +59,16 @@ class WordTokens:
         latin = lambda w: max(w) < "\u0180" and "\u0130" not in w and "<|" not in w
         plain = range(len(words)) if latin("".join(words)) else [i for i, w in enumerate(words) if latin(w)]
         found = LATIN.findall("\n".join([words[i] for i in plain]).lower())  # a line feed is a piece by itself
-        which = self.pieces.of(found)
         line = self.pieces["\n"]
+        which = self.pieces.of(found)
         new, self.pieces.new = self.pieces.new, []
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            ids, of, _ = self.merges([p if p != "\n" else "a" for p in part])
-            sizes = np.bincount(np.array(of, np.int64), minlength=len(part))
-            ids = np.array(ids, np.uint32)
-            if "\n" in part:
-                gone = part.index("\n")
-                ids, sizes[gone] = ids[np.array(of) != gone], 0
+            ids, of, _ = self.merges([p if p != "\n" else "a" for p in part], places=False)
+            ids, of = np.array(ids, np.uint32), np.array(of, np.int64)
+            sizes = np.bincount(of, minlength=len(part))
+            if at == 0 and part[0] == "\n":  # numbered first
+                ids, sizes[0] = ids[of != 0], 0
             self.piece_ids.extend(sizes, ids)
         sizes, ids = self.piece_ids.gather(which)
         word = np.cumsum(which == line) if found else np.zeros(0, np.int64)
