@@ -10,13 +10,17 @@ other and from every pivot, so pivots cannot part them; a first exact step does:
    parts give edges to the least document, and connected documents form a block.  No link leaves
    its block.
 2. Copies.  Documents with equal sets become one.
-3. Regions.  A block of more than REGION sets is split by pivots into Voronoi regions.  A set is at
+3. Rare shingles.  In a block of more than REGION sets, shingles are ordered by the number of its
+   sets that hold them.  Linked sets share one of their first (those that would be left if as many
+   shingles were taken off as a link needs in common), so these give edges and finer blocks; shared
+   passages come late in the order and join nothing.  A set whose first ones are its own has no link.
+4. Regions.  A block that is still larger is split by pivots into Voronoi regions.  A set is at
    home in its nearest pivot's region and is copied into the regions of lesser pivots that are no
    more than twice the linking distance farther: by the triangle inequality a linked pair then
    meets in the lesser of its two homes.  Regions are split again in the same way while that halves
    the comparisons.  What stays large (sets that are all about as far from each other) is dealt in
    tiles, every strip of home sets with every strip of the region.
-4. Leaves.  In a region or tile the pairs are compared exactly, and each document found linked gets
+5. Leaves.  In a region or tile the pairs are compared exactly, and each document found linked gets
    an edge to its group's least document; components of these edges are the result.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
@@ -283,6 +287,19 @@ def split(regions: DataFrame, percent: int) -> DataFrame:
     return near.select("region", "u", "first", F.explode(mine).alias("p")).select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("p.pivot") == F.col("first.pivot")).alias("home"))
 
 
+def rarer_blocks(regions: DataFrame, percent: int) -> DataFrame:
+    """Regions of (region, u, set) split by their rarest shingles; sets that cannot have a link go."""
+    each = regions.select("region", "u", F.size("set").alias("n"), F.explode("set").alias("h")).select("u", "n", F.xxhash64("region", "h").alias("k"))
+    shared = each.withColumn("f", F.count("*").over(Window.partitionBy("k"))).where("f > 1")
+    sets = shared.groupBy("u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "k"))).alias("all"))
+    # shingles of one set only are the rarest and need no edge
+    first = sets.withColumn("first", F.expr(f"int(n - ({percent}L * n + 99) div 100 + 1 - (n - size(all)))")).where("first > 0")
+    keys = first.select("u", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("s")).select("u", "s.k")
+    found = cc.components(keys.withColumn("v", F.min("u").over(Window.partitionBy("k"))).where("u <> v").select("u", "v"))
+    blocks = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
+    return regions.join(blocks, F.col("u") == F.col("node")).select(F.col("component").alias("region"), "u", "home", "need", "set")
+
+
 def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
     """Regions dealt as tiles: every strip of sets at home with every strip of all sets."""
     sizes = regions.groupBy("region").agg(F.ceil(F.count("*") / strip).cast("int").alias("across"), F.ceil(F.sum(F.col("home").cast("int")) / strip).cast("int").alias("down"))
@@ -354,7 +371,7 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
     copies = hashed.select("block", "digest", "u").join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()
     alone = hashed.join(one, ["block", "digest"]).where("u = least").dropDuplicates(["block", "u"]).select(F.col("block").alias("region"), "u", F.lit(True).alias("home"), "set")
 
-    ready, paths, level, regions = [], [], 0, alone.withColumn("need", F.lit(True))
+    ready, paths, level, rarer, regions = [], [], 0, False, alone.withColumn("need", F.lit(True))
     while True:
         sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes")).where("size > 1 and homes > 0")
         sized, path = written(regions.join(sizes, "region"), "regions")
@@ -363,6 +380,9 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
         large = sized.where(F.col("size") > REGION)
         if not large.take(1):
             break
+        if not rarer:
+            rarer, regions = True, rarer_blocks(large.drop("size", "homes"), percent)
+            continue
         wide = large.where(F.col("homes") > 2 * PER_PIVOT).drop("size", "homes")
         if level == LEVELS or not wide.take(1):
             ready.append(tiles(large.drop("size", "homes")))

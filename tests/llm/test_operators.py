@@ -140,6 +140,33 @@ def test_jaccard_components(spark, monkeypatch, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_shared_passages(spark, monkeypatch, percent):
+    """Documents that share passages meet in one block; rare shingles part it and lose no link."""
+    sizes, plain = [], jaccard_join.rarer_blocks
+
+    def counted(regions, percent):
+        out = plain(regions, percent)
+        sizes.append((regions.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "REGION", 8)
+    monkeypatch.setattr(jaccard_join, "rarer_blocks", counted)
+    rng, rows = random.Random(9), []
+    draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passages = [draw(60) for _ in range(3)]
+    for _ in range(60):
+        words = draw(rng.randrange(5, 60)) + rng.choice(passages) + draw(rng.randrange(3))
+        for _ in range(rng.choice([1, 1, 3])):
+            copy = list(words)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(copy)))
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, percent)
+    assert len(sizes) == 1 and sizes[0][1] < sizes[0][0]
+
+
 def test_webp_round_trip():
     rng = np.random.default_rng(1)
     payloads = [webp.payload_of(t)[1] for t in [*HARD, "aaa" * 9000, "".join(map(chr, rng.integers(1, 2000, 3000)))]]
