@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,3 +30,9 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of `written` that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of data frames that nothing holds any more."""
+    gc.collect()
+    spark._jvm.System.gc()

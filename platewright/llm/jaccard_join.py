@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewright.llm import components as cc
-from platewright.llm._shared import removed, written
+from platewright.llm._shared import freed, removed, written
 from platewright.llm._text import slices
 
 #: Sets of a region that one task compares; strips of larger regions have half as many.
@@ -252,6 +252,8 @@ def candidate_edges(df: DataFrame, words: int, percent: int, key: str, text: str
                 least = docs[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else docs
                 rest = np.unique(np.stack([docs[~head], least[~head]]), axis=1)
                 rest = rest[:, rest[0] != rest[1]]
+                first = np.argsort(docs[head], kind="stable")  # a document's rows together: its id compresses
+                keys, docs, head = keys[head][first], docs[head][first], head[head]
                 own = mix(rest[0].astype(np.uint64) * A + rest[1].astype(np.uint64))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([keys[head], own]).view(np.int64)), pa.array(np.concatenate([docs[head], rest[0]])), pa.array(np.concatenate([np.full(int(head.sum()), -1), rest[1]]), mask=np.concatenate([np.ones(int(head.sum()), bool), np.zeros(rest.shape[1], bool)]))],
@@ -282,22 +284,22 @@ def split(regions: DataFrame, percent: int) -> DataFrame:
     chosen = drawn.select("region", F.explode(F.slice("all", F.lit(1), number)).alias("p")).select("region", F.col("p.u").alias("u"))
     pivots = regions.join(chosen, ["region", "u"]).select("region", F.col("u").alias("pivot"), F.col("set").alias("pivot_set"))
     far = regions.join(pivots, "region").select("region", "u", "pivot", distance("set", "pivot_set").alias("d"))
-    near = far.groupBy("region", "u").agg(F.collect_list(F.struct("d", "pivot")).alias("all")).withColumn("first", F.array_min("all"))
+    near = far.groupBy("region", "u").agg(F.collect_set(F.struct("d", "pivot")).alias("all")).withColumn("first", F.array_min("all"))
     mine = F.filter("all", lambda p: (p["pivot"] == F.col("first.pivot")) | (p["pivot"] < F.col("first.pivot")) & (p["d"] <= F.col("first.d") + reach))
     return near.select("region", "u", "first", F.explode(mine).alias("p")).select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("p.pivot") == F.col("first.pivot")).alias("home"))
 
 
 def rarer_blocks(regions: DataFrame, percent: int) -> DataFrame:
-    """Regions of (region, u, set) split by their rarest shingles; sets that cannot have a link go."""
+    """Where sets of (region, u, home, need, set) go by their rarest shingles; sets that cannot have a link go away."""
     each = regions.select("region", "u", F.size("set").alias("n"), F.explode("set").alias("h")).select("u", "n", F.xxhash64("region", "h").alias("k"))
     shared = each.withColumn("f", F.count("*").over(Window.partitionBy("k"))).where("f > 1")
-    sets = shared.groupBy("u", "n").agg(F.sort_array(F.collect_list(F.struct("f", "k"))).alias("all"))
+    sets = shared.groupBy("u", "n").agg(F.sort_array(F.collect_set(F.struct("f", "k"))).alias("all"))
     # shingles of one set only are the rarest and need no edge
     first = sets.withColumn("first", F.expr(f"int(n - ({percent}L * n + 99) div 100 + 1 - (n - size(all)))")).where("first > 0")
     keys = first.select("u", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("s")).select("u", "s.k")
     found = cc.components(keys.withColumn("v", F.min("u").over(Window.partitionBy("k"))).where("u <> v").select("u", "v"))
     blocks = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    return regions.join(blocks, F.col("u") == F.col("node")).select(F.col("component").alias("region"), "u", "home", "need", "set")
+    return regions.select("u", "home", "need").join(blocks, F.col("u") == F.col("node")).select(F.col("component").alias("region"), "u", "home", "need").distinct()
 
 
 def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
@@ -308,7 +310,7 @@ def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = sized.where("home").select("*", row.alias("row"), upto("across").alias("column"))
     others = sized.withColumn("home", F.lit(False)).select("*", upto("down").alias("row"), column.alias("column"))
-    return own.unionByName(others).select(F.xxhash64("region", "row", "column").alias("region"), "u", "home", "need", "set")
+    return own.unionByName(others).select(F.xxhash64("region", "row", "column").alias("region"), "u", "home", "need")
 
 
 def leaf_edges(regions: DataFrame, percent: int) -> DataFrame:
@@ -351,6 +353,7 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
     """
     spark = df.sparkSession
     blocks, blocks_path = written(cc.components(candidate_edges(df, words, percent, key, text)), "blocks")
+    freed(spark)
     members = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,15 +366,22 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
                 held = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), pa.array(digest, pa.binary()), held], ["block", "u", "digest", "set"])
 
-    # few members go to the texts; more of them meet the texts in a shuffle
-    few = members.count() <= BROADCAST_ROWS
-    found = df.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(F.broadcast(members) if few else members, F.col("_key") == F.col("node")).select("component", "node", text)
+    # few rows go to the texts or sets; more of them meet in a shuffle
+    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    found = df.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(small(members), F.col("_key") == F.col("node")).select("component", "node", text)
     hashed, hashed_path = written(found.mapInArrow(sets, "block long, u long, digest binary, set array<long>"), "sets")
-    one = hashed.groupBy("block", "digest").agg(F.min("u").alias("least"))
-    copies = hashed.select("block", "digest", "u").join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()
-    alone = hashed.join(one, ["block", "digest"]).where("u = least").dropDuplicates(["block", "u"]).select(F.col("block").alias("region"), "u", F.lit(True).alias("home"), "set")
-
-    ready, paths, level, rarer, regions = [], [], 0, False, alone.withColumn("need", F.lit(True))
+    named = hashed.select("block", "u", "digest").distinct()
+    one = named.groupBy("block", "digest").agg(F.min("u").alias("least"))
+    copies = named.join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()
+    # an id with several texts keeps one of them
+    chosen, chosen_path = written(one.groupBy("block", F.col("least").alias("u")).agg(F.min("digest").alias("digest")), "chosen")
+    alone = chosen.select(F.col("block").alias("region"), "u", F.lit(True).alias("home"), F.lit(True).alias("need"))
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        rows = rows.join(chosen.select("u", "digest"), "u")
+        return hashed.select("u", "digest", "set").join(small(rows), ["u", "digest"]).select("region", "u", "home", "need", "set")
+
+    ready, paths, level, rarer, regions = [], [chosen_path], 0, False, alone
     while True:
         sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes")).where("size > 1 and homes > 0")
         sized, path = written(regions.join(sizes, "region"), "regions")
@@ -381,25 +391,27 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
         if not large.take(1):
             break
         if not rarer:
-            rarer, regions = True, rarer_blocks(large.drop("size", "homes"), percent)
+            rarer, regions = True, rarer_blocks(with_sets(large), percent)
             continue
         wide = large.where(F.col("homes") > 2 * PER_PIVOT).drop("size", "homes")
         if level == LEVELS or not wide.take(1):
             ready.append(tiles(large.drop("size", "homes")))
             break
-        moved, path = written(split(wide, percent), "moved")
+        moved, path = written(split(with_sets(wide), percent), "moved")
         paths.append(path)
         # a split that leaves more than half of the comparisons isn't worth its copies
         cost = moved.groupBy("region", "new").agg((F.count("*") * F.sum(F.col("home").cast("long"))).alias("cost")).groupBy("region").agg(F.sum("cost").alias("cost"))
         better = large.select("region", "size", "homes").distinct().join(cost, "region").where("2 * cost < size * homes").select("region")
         ready.append(tiles(large.drop("size", "homes").join(better, "region", "left_anti")))
-        kept = large.join(better, "region").select("region", "u", F.col("home").alias("need"), "set")
-        regions = kept.join(moved, ["region", "u"]).select(F.col("new").alias("region"), "u", "home", "need", "set")
+        kept = large.join(better, "region").select("region", "u", F.col("home").alias("need"))
+        regions = kept.join(moved, ["region", "u"]).select(F.col("new").alias("region"), "u", "home", "need")
         level += 1
     leaves = ready[0]
     for r in ready[1:]:
         leaves = leaves.unionByName(r)
-    links, links_path = written(leaf_edges(leaves, percent).unionByName(copies), "links")
+    leaves, path = written(leaves, "leaves")
+    paths.append(path)
+    links, links_path = written(leaf_edges(with_sets(leaves), percent).unionByName(copies), "links")
     result, result_path = written(cc.components(links), "components")
     for path in (blocks_path, hashed_path, links_path, *paths):
         removed(spark, path)
