@@ -1,19 +1,20 @@
 """Main text of web pages by site template removal.
 
 Every page is parsed into elements; a subtree's hash covers its tag, attributes' names, text and
-children.  Spark counts on how many pages of its host each subtree occurs, and subtrees that recur
-across many pages of that host are deleted.  Elements that are page furniture by their tag, role or
+children.  Spark counts with how many different page contents of its host each subtree occurs, and
+subtrees that recur across many of them are deleted.  Elements that are page furniture by their tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) go
 whether or not they recur.  Of the rest the article is taken: the content of the outermost
 `article` or `main` elements, or the whole body of a page that has none.
 
 Paragraphs, headings and inline elements inside an article are never counted as template: pages
-may quote or repeat each other.  A subtree recurs when it is on at least MIN_PAGES pages and on
-MIN_SHARE of the host's pages.
+may quote or repeat each other.  Pages of a host with equal text but for furniture are copies and
+count as one page, that of the least list of subtrees.  A subtree recurs when it is on at least
+MIN_PAGES of these pages and on MIN_SHARE of them.
 
 Defined results: null or empty html gives an empty text; a null or unreadable url is a host of its
 own (the empty one); unclosed and misplaced tags are repaired as browsers do for paragraphs and
-lists; repeated rows give repeated results and count as so many pages.
+lists; repeated rows give repeated results and count as one page.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewright.llm._shared import written
 from platewright.llm._text import slices
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -144,15 +146,18 @@ def hashes(root: Element) -> dict[int, int]:
     return out
 
 
-def subtrees(source: str | None) -> list[int]:
-    return sorted(set(hashes(parse(source)).values())) if source else []
+def subtrees(source: str | None) -> tuple[list[int], bytes]:
+    """Subtrees that may be template, and the digest of the text without furniture."""
+    root = parse(source or "")
+    return sorted(set(hashes(root).values())), blake2b(text_of(root, set()).encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def main_text(source: str | None, template: set[int]) -> str:
     """Blocks of the article, without furniture and without subtrees in `template`."""
-    if not source:
-        return ""
-    root = parse(source)
+    return text_of(parse(source), template) if source else ""
+
+
+def text_of(root: Element, template: set[int]) -> str:
     mark = hashes(root) if template else {}
     gone = lambda e: e.drop or mark.get(id(e)) in template if template else e.drop
 
@@ -197,13 +202,15 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, html):
-                found = [subtrees(s) for s in part.column(html).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(key), part.column("host"), pa.array(found, pa.list_(pa.int64()))], [key, "host", "subtrees"])
+                found, content = zip(*map(subtrees, part.column(html).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(key), part.column("host"), pa.array(content, pa.binary()), pa.array(found, pa.list_(pa.int64()))], [key, "host", "content", "subtrees"])
 
-    each = base.select(key, "host", html).mapInArrow(seen, f"`{key}` {kind}, host string, subtrees array<long>").select(key, "host", F.explode("subtrees").alias("subtree"))
-    counted = each.groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
-    sizes = base.groupBy("host").agg(F.count("*").alias("size"))
+    # read three times: pages are parsed once for it
+    parsed, _ = written(base.select(key, "host", html).mapInArrow(seen, f"`{key}` {kind}, host string, content binary, subtrees array<long>"), "subtrees")
+    counted = parsed.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")).select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
+    sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("size"))
     recurring = counted.join(sizes, "host").where(F.col("on") >= min_share * F.col("size")).select("host", "subtree")
+    each = parsed.select(key, "host", F.explode("subtrees").alias("subtree"))
     mine = each.join(recurring, ["host", "subtree"]).groupBy(F.col(key).alias("_key")).agg(F.collect_set("subtree").alias("template"))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

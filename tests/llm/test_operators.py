@@ -257,6 +257,23 @@ def test_html(spark):
     assert got[3] == "text 3 & more\ntwo 3 words" and got[100] == got[101] == "" and got[102] == "A\nb"
 
 
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "{}"])
+def test_html_copies_are_one_page(spark, wrap):
+    """Copies, alone on a host or a third of it, keep their text; what different pages share still goes."""
+    bodies = {"div": "<div><p>first</p>second</div>", "section": "<section><p>first</p><p>second</p></section>", "ul": "<ul><li>first</li><li>second</li></ul>"}
+    page = "<html><body><div>shared block</div>" + wrap + "</body></html>"
+    rows = []
+    for host, body in bodies.items():
+        for share in (0, 16):
+            rows += [(f"{host}{share}", page.format(body)) for _ in range(8)]
+            rows += [(f"{host}{share}", page.format(f"<div><p>text {i}</p></div>")) for i in range(share)]
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", t) for i, (h, t) in enumerate(rows)], "page_id long, url string, html string")
+    for r in html_extract.extract(df).collect():
+        host, html = rows[r.page_id]
+        alone = "shared block\n" if wrap == "{}" and not host.endswith("16") else ""
+        assert r.text == alone + ("first\nsecond" if "first" in html else re.search("text [0-9]+", html)[0])
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice("the of a in house river walks slowly under green trees and".split()) for _ in range(60)) + "." for _ in range(60)]
