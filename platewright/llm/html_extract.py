@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -73,14 +74,21 @@ def parse(source: str) -> Element:
     """Element tree; text is kept as decoded strings among the children."""
     root = Element("html")
     stack, at = [root], 0
+    opened, mains = Counter(), 0  # open elements by tag, and those that are main
 
     def text(raw: str) -> None:
         if raw:
             stack[-1].children.append(entities.unescape(raw))
 
     def close(tag: str, until: set = frozenset()) -> None:
+        nonlocal mains
+        if not opened[tag]:
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag == tag:
+                for e in stack[i:]:
+                    opened[e.tag] -= 1
+                    mains -= e.main
                 del stack[i:]
                 return
             if stack[i].tag in until:
@@ -102,8 +110,7 @@ def parse(source: str) -> Element:
         for other in SAME_LEVEL.get(tag, ()):
             close(other, LEVEL_ENDS[tag])
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"].strip(" /\n\t") else {}
-        inside = any(e.main for e in stack)
-        element = Element(tag, tuple(sorted(attributes)), furniture(tag, attributes, inside), tag in MAIN or attributes.get("role", "").lower() == "main")
+        element = Element(tag, tuple(sorted(attributes)), furniture(tag, attributes, mains > 0), tag in MAIN or attributes.get("role", "").lower() == "main")
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
@@ -111,8 +118,9 @@ def parse(source: str) -> Element:
                 element.children.append(entities.unescape(source[at : end.start() if end else len(source)]))
             at = end.end() if end else len(source)
         elif tag not in VOID:
-            if len(stack) < 400:  # deeper elements stay flat
-                stack.append(element)
+            stack.append(element)
+            opened[tag] += 1
+            mains += element.main
     text(source[at:])
     return root
 
@@ -125,24 +133,26 @@ def hashes(root: Element) -> dict[int, int]:
     """Hash of each subtree that may be template, by element id; subtrees without text have none."""
     out: dict[int, int] = {}
 
-    def walk(e: Element, in_main: bool) -> tuple[bytes, bool]:
-        parts, any_text, inside = [e.tag, *e.names], False, in_main or e.main
-        held = []
-        for c in e.children:
+    # elements under way: what is left of their children, these children's digests, whether they have text, whether in main
+    stack = [(root, iter(root.children), [], [False], root.main)]
+    while stack:
+        e, children, held, some, inside = stack[-1]
+        for c in children:
             if isinstance(c, str):
                 s = squeeze(c)
-                any_text = any_text or bool(s)
+                some[0] = some[0] or bool(s)
                 held.append(s.encode())
             else:
-                digest, some = walk(c, inside)
-                any_text = any_text or some
-                held.append(digest)
-        digest = blake2b(b"\0".join([*(p.encode() for p in parts), b"", *held]), digest_size=8).digest()
-        if any_text and not e.main and e.tag not in ("html", "body") and not (inside and e.tag in CONTENT) and e.tag not in RAW:
-            out[id(e)] = int.from_bytes(digest, "little", signed=True)
-        return digest, any_text
-
-    walk(root, False)
+                stack.append((c, iter(c.children), [], [False], inside or c.main))
+                break
+        else:
+            stack.pop()
+            digest = blake2b(b"\0".join([e.tag.encode(), *(p.encode() for p in e.names), b"", *held]), digest_size=8).digest()
+            if some[0] and not e.main and e.tag not in ("html", "body") and not (inside and e.tag in CONTENT) and e.tag not in RAW:
+                out[id(e)] = int.from_bytes(digest, "little", signed=True)
+            if stack:
+                stack[-1][2].append(digest)
+                stack[-1][3][0] = stack[-1][3][0] or some[0]
     return out
 
 
@@ -162,10 +172,13 @@ def text_of(root: Element, template: set[int]) -> str:
     gone = lambda e: e.drop or mark.get(id(e)) in template if template else e.drop
 
     def mains(e: Element) -> list[Element]:
-        found = []
-        for c in e.children:
-            if not isinstance(c, str) and not gone(c):
-                found += [c] if c.main else mains(c)
+        found, left = [], [e]
+        while left:
+            here = left.pop()
+            if here.main and here is not e:
+                found.append(here)
+            else:
+                left += [c for c in reversed(here.children) if not isinstance(c, str) and not gone(c)]
         return found
 
     blocks, line = [], []
@@ -176,16 +189,22 @@ def text_of(root: Element, template: set[int]) -> str:
         line.clear()
 
     def walk(e: Element) -> None:
-        for c in e.children:
-            if isinstance(c, str):
-                line.append(c)
-            elif c.tag in BLOCKS:
-                end()
+        left = [(e, iter(e.children))]
+        while left:
+            here, children = left[-1]
+            for c in children:
+                if isinstance(c, str):
+                    line.append(c)
+                    continue
+                if c.tag in BLOCKS:
+                    end()
                 if not gone(c):
-                    walk(c)
-                end()
-            elif not gone(c):
-                walk(c)
+                    left.append((c, iter(c.children)))
+                    break
+            else:
+                left.pop()
+                if left and here.tag in BLOCKS:
+                    end()
 
     for e in mains(root) or [root]:
         walk(e)

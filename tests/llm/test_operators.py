@@ -274,6 +274,18 @@ def test_html_copies_are_one_page(spark, wrap):
         assert r.text == alone + ("first\nsecond" if "first" in html else re.search("text [0-9]+", html)[0])
 
 
+@pytest.mark.parametrize("deep", [500, 20000])
+def test_html_deep_nesting(deep):
+    inner = "deep<nav>menu</nav><section class=comments><p>comment</p></section><p hidden>hidden</p><p>text</p>"
+    page = "<body><div><article>" + "<div>" * deep + inner + "</div>" * deep + "<p>rest</p></article></div><p>out</p></body>"
+    assert html_extract.main_text(page, set()) == "deep\ntext\nrest"
+    assert html_extract.main_text(page, {1}) == "deep\ntext\nrest"
+    # the deepest div is template: the article's other text stays
+    shared = set(html_extract.subtrees("<div>deep<p>text</p></div>")[0])
+    own = "<body><article>" + "<b>" * deep + "<div>deep<p>text</p></div>" + "</b>" * deep + "<p>rest</p></article></body>"
+    assert html_extract.main_text(own, shared) == "rest"
+
+
 def test_quality(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choice("the of a in house river walks slowly under green trees and".split()) for _ in range(60)) + "." for _ in range(60)]
