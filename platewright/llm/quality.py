@@ -51,7 +51,7 @@ CACHE_ENTRIES = 500_000
 
 def shape(word: str) -> str:
     """A word's pattern: runs of A capitals, a small letters, 0 digits, and other characters as they are."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return RUNS.sub(r"\1\1", kinds)
 
 

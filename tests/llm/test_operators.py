@@ -294,6 +294,14 @@ def test_quality(spark):
     assert all(keep[i] for i in range(60)) and not any(keep[i] for i in range(60, 78))
 
 
+def test_quality_reads_whole_runs():
+    """Two texts without blanks that differ only behind character 64 have different features."""
+    same = "漢字,かな、" * 20
+    one, other = (quality.describe(quality.Words(), same + end)[1].tolist() for end in ("終わり。", "<a=1>{b;}"))
+    assert one != other
+    assert quality.shape("a1" * 40 + "B") == "a0" * 40 + "A" and quality.shape("x" * 5000) == "aa"
+
+
 def test_url_filter(spark):
     e = spark.createDataFrame([("l", "domain", "b.com", "added", 10), ("l", "domain", "b.com", "added", 12), ("l", "domain", "b.com", "removed", 20), ("l", "prefix", "c.com/x/", "added", 5), ("l", "host", "d.com", "removed", 1)], "list string, kind string, pattern string, action string, at long")
     c = spark.createDataFrame([(1, "http://a.b.com/", 10), (2, "http://a.b.com/", 20), (3, "http://b.com.org/", 15), (4, "https://C.com:80/x/y?z", 6), (5, "http://d.com/", 9), (6, None, 9), (7, "http://a.b.com/", None), (1, "http://a.b.com/", 10)], "id long, url string, fetched long").withColumn("lists", F.lit("old"))
