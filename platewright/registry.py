@@ -440,13 +440,25 @@ def bit_signature(spark, sf_dir):
 @query(f"""with p as {PLATES_SQL}, s as (select a.x, a.y, a.ink, b.cov as moved, a.cov from p a left join p b on b.ink = a.ink and b.x = a.x - 1 and b.y = a.y where a.ink = 2)
 select count(*) filter (coalesce(moved, 0) < 100 and cov >= 100) as gaps, count(*) filter (coalesce(moved, 0) >= 100 and cov < 100) as overlaps, count(*) as pixels from s""")
 def movement_test(spark, sf_dir):
-    """Ink 2 moved one pixel to the right against its own place."""
+    """Ink 2 moved one pixel to the right against its own place; movement_gaps moves every ink in 8 directions."""
     p = _plates(spark, sf_dir).where("ink = 2")
     w = Window.partitionBy("y").orderBy("x")
     left = F.when(F.lag("x").over(w) == F.col("x") - 1, F.lag("cov").over(w)).otherwise(0)
     return p.withColumn("moved", F.coalesce(left, F.lit(0))).agg(F.count_if((F.col("moved") < 100) & (F.col("cov") >= 100)).alias("gaps"), F.count_if((F.col("moved") >= 100) & (F.col("cov") < 100)).alias("overlaps"), F.count("*").alias("pixels"))
 
 
+DIRECTIONS_SQL = ", ".join(map(str, plates.DIRECTIONS))
+
+
+@query(f"""with p as (select x, y, ink from {PLATES_SQL} where cov >= 128), d(dx, dy) as (values {DIRECTIONS_SQL}),
+lost as (select a.ink, dx, dy, count(*) as gaps from p a, d where not exists (select 1 from p o where o.x = a.x and o.y = a.y and o.ink <> a.ink)
+  and not exists (select 1 from p m where m.ink = a.ink and m.x = a.x - dx and m.y = a.y - dy) group by all)
+select i.ink, d.dx, d.dy, coalesce(gaps, 0) as gaps from (select distinct ink from p) i cross join d left join lost l on l.ink = i.ink and l.dx = d.dx and l.dy = d.dy""")
+def movement_gaps(spark, sf_dir):
+    """Every ink moved one pixel in 8 directions: pixels that no ink covers any more."""
+    return plates.movement_gaps(_plates(spark, sf_dir), 128)
+
+
 @query("""
 select a.s_suppkey as a, b.s_suppkey as b, case when a.s_nationkey = b.s_nationkey then 'none' when a.s_acctbal < b.s_acctbal then 'a under b' else 'b under a' end as spread
 from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey < b.s_suppkey

@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from platewright.functions import colour, text
-from platewright.operators import rules, spatial
+from platewright.operators import plates, rules, spatial
 from platewright.plans import history
 from platewright.sources import landing
 from platewright.streaming import arrivals
@@ -57,3 +59,17 @@ def test_arrivals(spark, tmp_path):
             spark.range(3).write.mode("append").parquet(src)
         arrivals.drain(arrivals.arrivals(spark, src, spark.range(1).schema), str(tmp_path / "cp"), take)
     assert seen == [5, 3]
+
+
+def test_every_ink_moves_in_all_directions(spark):
+    rng = random.Random(3)
+    cov = {(x, y, i): rng.randrange(256) for x in range(9) for y in range(9) for i in (1, 2, 3) if rng.random() < 0.6}
+    on = {i: {(x, y) for (x, y, k), c in cov.items() if k == i and c >= 128} for i in (1, 2, 3)}
+    want = {}
+    for i in on:
+        others = set().union(*(on[j] for j in on if j != i))
+        for dx, dy in plates.DIRECTIONS:
+            moved = {(x + dx, y + dy) for x, y in on[i]}
+            want[i, dx, dy] = len((on[i] | others) - (moved | others))
+    df = spark.createDataFrame([(*k, c) for k, c in cov.items()], "x int, y int, ink int, cov int")
+    assert {(r.ink, r.dx, r.dy): r.gaps for r in plates.movement_gaps(df, 128).collect()} == want
