@@ -465,7 +465,7 @@ from supplier a join supplier b on a.s_nationkey = b.s_nationkey and a.s_suppkey
 union all select s_suppkey, null, case when s_acctbal < 0 then 'choke' else 'spread' end from supplier
 """)
 def trap_decide(spark, sf_dir):
-    """Who spreads under whom among inks of one group, and the default of each ink alone."""
+    """The default of each ink alone; pairs of one group are never trapped here, trap_decisions applies the rules."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
     a, b = s.alias("a"), s.alias("b")
     pairs = a.join(b, (F.col("a.s_nationkey") == F.col("b.s_nationkey")) & (F.col("a.s_suppkey") < F.col("b.s_suppkey")))
@@ -474,6 +474,26 @@ def trap_decide(spark, sf_dir):
     return pairs.select(F.col("a.s_suppkey").alias("a"), F.col("b.s_suppkey").alias("b"), spread.alias("spread")).unionByName(alone)
 
 
+INKS_SQL = """(select s_nationkey::bigint as page, s_suppkey as id, (s_acctbal + 1000) / 110.0::double as lightness, (s_suppkey * 37 % 11) / 10.0::double as opacity,
+  case s_suppkey % 10 when 0 then 'varnish' when 1 then 'technical' when 2 then 'white' when 3 then 'process' else 'spot' end as kind from supplier)"""
+
+
+@query(f"""
+with i as {INKS_SQL}, p as (select a.page, a.id as a, b.id as b, a.lightness as la, b.lightness as lb, a.opacity >= 0.8::double as oa, b.opacity >= 0.8::double as ob
+  from i a join i b on a.page = b.page and a.id < b.id where a.kind in ('process', 'spot') and b.kind in ('process', 'spot')),
+r as (select *, case when oa <> ob then 'R6' when (la < 25) <> (lb < 25) then 'R3' when abs(la - lb) >= 8 and not (la < 25 and lb < 25) then 'R4' else 'R5' end as rule from p),
+s as (select *, case rule when 'R6' then ob when 'R3' then lb < 25 when 'R4' then la > lb end as a_spreads from r)
+select page, a, b, case when a_spreads then a else b end as spread, case when a_spreads then b else a end as under, 1.0::double as fraction, rule from s where rule <> 'R5'
+union all select page, a, b, a, b, 0.5::double, rule from s where rule = 'R5' union all select page, a, b, b, a, 0.5::double, rule from s where rule = 'R5'
+""")
+def trap_decisions(spark, sf_dir):
+    """Rules R1 to R6 on the pairs of each nation's suppliers, taken as a page of inks."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 10 == 0, "varnish").when(k % 10 == 1, "technical").when(k % 10 == 2, "white").when(k % 10 == 3, "process").otherwise("spot")
+    inks = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("bigint").alias("page"), k.alias("id"), ((F.col("s_acctbal") + 1000) / F.lit(110.0)).alias("lightness"), kind.alias("kind"), ((k * 37 % 11) / F.lit(10.0)).alias("opacity"))
+    return plates.trap_decisions(inks)
+
+
 @query("""
 select p_partkey, greatest(0, cast(floor((1000 - 20 + 4) / (p_size * 3 + 10.0::double + 4)) as integer)) as columns, greatest(0, cast(floor((700 - 20 + 4) / (p_size * 2 + 15.0::double + 4)) as integer)) as rows,
        round(2 * 3.141592653589793 * 1.7 / (p_size * 10 + 200) * 100, 6) as distortion from part
