@@ -8,7 +8,7 @@ bound reaches the k-th best lower bound survive; they alone are recomputed in do
 the original components.  A query's lists of all tiles are merged by heaps.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part,
-as query or candidate, and neither do vectors of another dimension than the first query's.
+as query or candidate.  A query's candidates are the vectors of its own dimension.
 Candidates with equal cosine rank by smaller id; a query is no candidate of its own; fewer
 candidates than k give fewer rows; repeated ids are separate rows of one id.
 """
@@ -91,23 +91,23 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, key: str = "vec_id", vecto
     """
     spark = vectors.sparkSession
     good = usable(vectors.where(F.col(key).isNotNull()).select(key, vector, is_query.alias("_query")), vector)
-    sizes = good.agg(F.count("*").alias("n"), F.sum(F.col("_query").cast("long")).alias("q"), F.max(F.when(F.col("_query"), F.size("v"))).alias("d")).first()
+    sizes = good.agg(F.count("*").alias("n"), F.sum(F.col("_query").cast("long")).alias("q")).first()
     schema = "query_id long, vec_id long, score double"
     if not sizes["n"] or not sizes["q"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    good = good.where(F.size("v") == sizes["d"])
     blocks, strips = -(-sizes["n"] // CANDIDATES), -(-sizes["q"] // QUERIES)
+    good = good.withColumn("d", F.size("v"))  # a tile's vectors have one dimension
     # a block's rows travel packed; each tile gets one copy of its two blocks
     part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     pieces = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks, 1) if blocks < 12 else 1
-    candidates = good.withColumn("block", part(blocks * pieces)).select(F.col("block").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("cs"), F.col(key).alias("cid"), F.col("v").alias("cv"))
-    queries = good.where("_query").select(F.explode(F.sequence(F.lit(0), F.lit(blocks * pieces - 1))).alias("qb"), part(strips).alias("qs"), F.col(key).alias("qid"), F.col("v").alias("qv"))
+    candidates = good.withColumn("block", part(blocks * pieces)).select(F.col("d").alias("cd"), F.col("block").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("cs"), F.col(key).alias("cid"), F.col("v").alias("cv"))
+    queries = good.where("_query").select(F.col("d").alias("qd"), F.explode(F.sequence(F.lit(0), F.lit(blocks * pieces - 1))).alias("qb"), part(strips).alias("qs"), F.col(key).alias("qid"), F.col("v").alias("qv"))
 
     def work(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = tile(left["qid"].to_numpy(), np.array(left["qv"].tolist()), right["cid"].to_numpy(), np.array(right["cv"].tolist()), k) if len(left) and len(right) else []
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    found = queries.groupBy("qb", "qs").cogroup(candidates.groupBy("cb", "cs")).applyInPandas(work, schema)
+    found = queries.groupBy("qd", "qb", "qs").cogroup(candidates.groupBy("cd", "cb", "cs")).applyInPandas(work, schema)
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         best = heapq.nsmallest(k, zip((-group["score"]).tolist(), group["vec_id"].tolist(), strict=True))

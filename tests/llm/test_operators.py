@@ -249,6 +249,20 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_within_each_dimension(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=4 + 2 * (i % 3 == 0)).tolist()) for i in range(60)] + [(100, [1.0] * 9)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = {}
+    for q in (0, 50):
+        v = np.array(rows[q][1])
+        others = [(-float(v @ np.array(x)) / np.linalg.norm(v) / np.linalg.norm(x), i) for i, x in rows if len(x) == len(v) and i != q]
+        want[q] = list(enumerate((i for _, i in sorted(others)[:5]), 1))
+    assert {q: sorted(r) for q, r in got.items()} == want
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><script>var a='</p>'</script></head><body><nav><a>m</a></nav><div class=ad>x</div>{}<footer>f</footer></body>"
     rows = [(i, "http://h.example/x", page.format(f"<div><p>same widget</p></div><section><p>text&nbsp;{i} &amp; more<br><p>two {i} \n words</section>")) for i in range(8)]
