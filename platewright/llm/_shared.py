@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Most bytes that are broadcast.
+BROADCAST_BYTES = 32 << 20
+_thread = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,10 +25,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def live() -> list[str]:
+    """Paths of this thread's `written` tables that nobody has removed yet."""
+    if not hasattr(_thread, "live"):
+        _thread.live = []
+    return _thread.live
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """`df` written as Parquet and read again, and its path."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    live().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -30,6 +44,23 @@ def removed(spark: SparkSession, path: str) -> None:
     """Delete a table of `written` that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in live():
+        live().remove(path)
+
+
+def swept(spark: SparkSession, start: int, keep: str) -> None:
+    """Remove what `written` made since `live` had `start` tables, but for `keep`."""
+    for path in live()[start:]:
+        if path != keep:
+            removed(spark, path)
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """`rows` marked for broadcast if they have at most BROADCAST_BYTES; larger ones meet the others in a shuffle.
+
+    A row of numbers, flags and digests takes 24 bytes and 24 for each column at most.
+    """
+    return F.broadcast(rows) if rows.count() * (24 + 24 * len(rows.columns)) <= BROADCAST_BYTES else rows
 
 
 def freed(spark: SparkSession) -> None:

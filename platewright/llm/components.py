@@ -2,7 +2,8 @@
 
 Edges are rows (u, v).  Every round points each node's neighbours at the least of them, first those
 above the node and then those below, until the edges are stars around each component's least
-node.  Minima are pre-aggregated before they are shuffled, and joins may be split at hot nodes.
+node.  Minima are pre-aggregated before they are shuffled; nodes with a large part of all edges
+meet them by broadcast.
 """
 
 from __future__ import annotations
@@ -12,23 +13,35 @@ from pyspark.sql import functions as F
 
 from platewright.llm._shared import removed, written
 
+#: A key is heavy when it has more than one in HEAVY of all rows, so that there are fewer heavy ones.
+HEAVY = 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """`rows` with the other columns of `table`, which has a row for every `on` and the number `n` of its rows.
+
+    Rows of heavy keys stay where they are: fewer than HEAVY rows of `table` are broadcast to them.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(table.where(F.col("n") * HEAVY > F.lit(total) + HEAVY).drop("n"))
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(table.drop("n"), on))
+
 
 def _least(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u").where("v > u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
+    return joined(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     # rows hold u > v here: a node's smaller neighbours
     least = _least(edges)
-    joined = edges.join(least, "u")
-    return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    turned = joined(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return turned.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -39,14 +52,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     mark = None
     for _ in range(rounds):
         state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.count_distinct("u").alias("nodes")).first()
-        if (state["n"], state["h"]) == mark:
+        if (state["n"], state["h"]) == mark or not state["n"]:
             break
         mark = (state["n"], state["h"])
-        if not state["n"]:
-            break
-        turned, new = written(_small(_large(current)), "edges")
+        # each half is written: it is read three times by the next
+        larger, between = written(_large(current), "edges")
         removed(spark, path)
-        current, path = turned, new
+        current, path = written(_small(larger), "edges")
+        removed(spark, between)
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -4,58 +4,64 @@ A document's set holds 64-bit hashes of its distinct shingles.  Jaccard distance
 join works in its space by pivots.  Documents without a common shingle are at distance 1 from each
 other and from every pivot, so pivots cannot part them; a first exact step does:
 
-1. Blocks.  Two linked sets differ in at most D shingles.  Shingles are dealt by hash into more
-   than D + E parts, so at least E + 1 parts of the two sets are equal; as a set has at most E
-   empty parts (or else its empty parts count too), some part that is not empty is equal.  Equal
-   parts give edges to the least document, and connected documents form a block.  No link leaves
-   its block.
-2. Copies.  Documents with equal sets become one.
-3. Rare shingles.  In a block of more than REGION sets, shingles are ordered by the number of its
-   sets that hold them.  Linked sets share one of their first (those that would be left if as many
-   shingles were taken off as a link needs in common), so these give edges and finer blocks; shared
-   passages come late in the order and join nothing.  A set whose first ones are its own has no link.
-4. Regions.  A block that is still larger is split by pivots into Voronoi regions.  A set is at
-   home in its nearest pivot's region and is copied into the regions of lesser pivots that are no
-   more than twice the linking distance farther: by the triangle inequality a linked pair then
-   meets in the lesser of its two homes.  Regions are split again in the same way while that halves
-   the comparisons.  What stays large (sets that are all about as far from each other) is dealt in
-   tiles, every strip of home sets with every strip of the region.
-5. Leaves.  In a region or tile the pairs are compared exactly, and each document found linked gets
-   an edge to its group's least document; components of these edges are the result.
+1. Blocks.  Shingles are counted in a sketch of fixed size and each set is ordered by count.  Linked
+   sets have a shingle in common among their first ones (those left if as many shingles were taken
+   off as a link needs in common, less one), whatever the order is; counts only make sure that
+   passages of many documents come last and join nothing.  A common first shingle gives an edge, and
+   connected documents form a block.  No link leaves its block.
+2. Copies.  Documents with equal sets become one.  Blocks of more than REGION sets are counted and
+   ordered once more, by themselves.
+3. Regions.  Pivots part a block into Voronoi regions.  A set is at home in its nearest pivot's
+   region and is copied into the regions of lesser pivots that are no more than twice the linking
+   distance farther: by the triangle inequality a linked pair then meets in the lesser of its two
+   homes.  Sets within the linking distance of a pivot are linked with it, so that pairs of two such
+   need no comparison; a region that has no other sets is done.
+4. Recursion.  A region is parted again in the same way: as long as it has more than REGION sets by
+   Spark, where that halves the comparisons, and then within a task.  What stays large (sets that
+   are all about as far from each other) is dealt in tiles, every strip of home sets with every
+   strip of the region.
+5. Leaves.  Pairs whose distances from the pivot don't differ by more than the linking distance are
+   compared exactly.  Components of all links are the result.
 
 Defined results: a null text, or one without words, has an empty set and is linked with nothing;
-a text with fewer words than a shingle has its whole sequence as its one shingle; repeated rows and
-ids are one document; rows without an id are a component of their own (null).
+a text with fewer words than a shingle has its whole sequence as its one shingle; rows that repeat
+an id and its text are one document; an id with several texts is one document for each of them;
+rows without an id are a component of their own (null).  Ids are whole numbers; a document is known
+by a 64-bit hash of id and text.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewright.llm import components as cc
-from platewright.llm._shared import freed, removed, written
+from platewright.llm._shared import freed, live, small, swept, written
 from platewright.llm._text import slices
 
 #: Sets of a region that one task compares; strips of larger regions have half as many.
 REGION = 256
-#: Most pivots of a region, home sets for each pivot, and levels of splitting.
-PIVOTS, PER_PIVOT, LEVELS = 256, 128, 3
-CACHE_ENTRIES = 1_000_000
-#: Most rows of two numbers that are broadcast (some 32 MB).
-BROADCAST_ROWS = 2_000_000
-#: Growth of size classes.
-STEP = 1.3
+#: Most pivots of a region, home sets for each pivot, and levels of splitting by Spark.
+PIVOTS, PER_PIVOT, LEVELS = 256, 64, 4
+#: Regions of a task: home sets for each pivot, sets that are compared without one.
+TASK_PER_PIVOT, LEAF = 16, 4
+CACHE_ENTRIES = 300_000
+#: Counters of the sketch, and of one of its rows.
+CELLS, CHUNK = 1 << 24, 1 << 14
+#: Frequent keys that a task remembers with their document.
+HELD_KEYS = 200_000
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
+#: Makes a task's reader of batches: parts of a batch, each with its rows' sets.
+Sets = Callable[[], Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]]]
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
@@ -92,214 +98,289 @@ class Shingler:
         return np.unique(out)
 
 
-# ---------------------------------------------------------------- parts
-
-
-@lru_cache
-def size_class(size: int) -> int:
-    return 0 if size < 1 else int(math.log(size) / math.log(STEP) + 1e-9) + 1
-
-
-@lru_cache
-def class_sizes(number: int) -> tuple[int, int]:
-    """Least and greatest size of a class; neighbours in number may be empty."""
-    low = math.ceil(STEP ** (number - 1) - 1e-6)
-    while size_class(low) < number:
-        low += 1
-    while low > 1 and size_class(low - 1) >= number:
-        low -= 1
-    high = low
-    step = 1
-    while size_class(high + step) <= number:
-        high += step
-        step *= 2
-    while step:
-        while size_class(high + step) <= number:
-            high += step
-        step //= 2
-    return low, high
-
-
-@lru_cache
-def parts_of(number: int, percent: int) -> tuple[int, int]:
-    """Parts and allowed empty parts for pairs whose smaller set is in this class."""
-    low, high = class_sizes(number)
-    differ = (100 - percent) * high // percent  # |x ^ y| of a linked pair at most
-    empty = 0
-    if high >= 64:
-        for _ in range(30):
-            mean = (differ + 1 + empty) * math.exp(-low / (differ + 1 + empty))
-            grown = math.ceil(mean + 3 * math.sqrt(mean))
-            if grown <= empty:
-                break
-            empty = grown
-    return differ + 1 + empty, empty
-
-
-def part_keys(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, index of their set): each linked pair of sets has a key in common."""
-    entries = []  # (set, class)
-    for i, s in enumerate(sets):
-        n = len(s)
-        if n:
-            first = size_class(-(-percent * n // 100))  # the least size of a linked set
-            entries += [(i, c) for c in range(first, size_class(n) + 1)]
-    if not entries:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    which, classes = np.array(entries, np.int64).T
-    sizes = np.array([parts_of(int(c), percent) for c in classes], np.int64)
-    counts, allowed = sizes[:, 0], sizes[:, 1]
-    lengths = np.array([len(s) for s in sets], np.int64)[which]
-    flat = np.concatenate([sets[i] for i in which.tolist()])
-    entry = np.repeat(np.arange(len(which)), lengths)
-    base = np.cumsum(counts) - counts
-    slot = base[entry] + ((mix(flat ^ A) >> np.uint64(11)) % counts[entry].astype(np.uint64)).astype(np.int64)
-    sums = np.zeros(int(counts.sum()), np.uint64)
-    np.add.at(sums, slot, mix(flat + B))
-    held = np.bincount(slot, minlength=len(sums))
-    owner = np.repeat(np.arange(len(which)), counts)
-    part = np.arange(len(sums)) - base[owner]
-    empties = np.bincount(owner[held == 0], minlength=len(which))
-    use = (held > 0) | (empties > allowed)[owner]
-    label = mix(classes[owner].astype(np.uint64) << np.uint64(40) | part.astype(np.uint64))
-    return mix(sums ^ label)[use], which[owner[use]]
-
-
-# ---------------------------------------------------------------- exact comparison
+def of_texts(words: int) -> Sets:
+    """Sets of the column `text`."""
 
+    def make():
+        shingle = Shingler(words)
 
-def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes a and b with `both` common elements link, in whole numbers."""
-    return 100 * both >= percent * (a + b - both)
+        def parts(batch):
+            for part in slices(batch, "text"):
+                yield part, [shingle(t) for t in part.column("text").to_pylist()]
 
+        return parts
 
-def compare(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, need: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges (id, least id of its group) from all linked pairs with one of them in `left` and one in `need`."""
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    parent = list(range(n))
+    return make
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    def unite(i: int, j: int) -> None:
-        i, j = root(i), root(j)
-        if i != j:
-            if ids[i] > ids[j]:
-                i, j = j, i
-            parent[j] = i
-
-    if n <= 4:
-        for i in range(n):
-            for j in range(i):
-                if (left[i] or left[j]) and (need[i] or need[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if linked(sizes[i], sizes[j], both, percent):
-                        unite(i, j)
-    else:
-        rows = np.flatnonzero(left)
-        both = np.zeros((len(rows), n), np.float32)
-        values, inverse, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        number = np.cumsum(shared > 1) - 1  # values of one set cannot be common
-        owner = np.repeat(np.arange(n), sizes)
-        keep = shared[inverse] > 1
-        owner, column = owner[keep], number[inverse[keep]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        for at in range(0, int((shared > 1).sum()), 4096):
-            lo, hi = np.searchsorted(column, [at, at + 4096])
-            strip = np.zeros((n, 4096), np.float32)
-            strip[owner[lo:hi], column[lo:hi] - at] = 1
-            both += strip[rows] @ strip.T
-        found = linked(sizes[rows, None], sizes[None, :], both.astype(np.int64), percent) & (need[rows, None] | need[None, :])
-        for i, j in zip(*np.nonzero(found), strict=True):
-            unite(int(rows[i]), int(j))
-    return [(int(ids[i]), int(ids[root(i)])) for i in range(n) if root(i) != i]
+def of_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The column `set`."""
+    held = batch.column("set")
+    values, offsets = held.values.to_numpy().view(np.uint64), held.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-# ---------------------------------------------------------------- Spark
+def of_sets() -> Sets:
+    return lambda: lambda batch: iter([(batch, of_lists(batch))])
 
 
-def shingle_counts(df: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """`key` and n_shingles of every row."""
+# ---------------------------------------------------------------- counts and first shingles
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+
+def cells(sets: np.ndarray, block: np.ndarray | int, salt: int) -> np.ndarray:
+    """Counters of a block's shingles."""
+    return (mix((sets ^ np.uint64(salt)) + B * block) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: twelve for each doubling; 0 and 1 have a byte of their own."""
+    return np.minimum(255, np.floor(12 * np.log2(1 + counts.astype(np.float64)) + 1e-9)).astype(np.uint8)
+
+
+ONCE = int(levels_of(np.array([1]))[0])
+
+
+def shingle_levels(rows: DataFrame, make: Sets, salt: int) -> Broadcast:
+    """Levels of the counts of all shingles of (block, text or set), CELLS bytes whatever the input."""
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = make(), np.zeros(CELLS, np.uint32)
         for batch in batches:
-            for part in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array([len(shingle(t)) for t in part.column(text).to_pylist()], pa.int64())], [key, "n_shingles"])
+            for part, sets in parts(batch):
+                blocks = np.repeat(part.column("block").to_numpy().astype(np.uint64), [len(s) for s in sets])
+                np.add.at(held, cells(np.concatenate(sets), blocks, salt), 1)
+        chunks = held.reshape(-1, CHUNK)
+        for i in np.flatnonzero(chunks.any(axis=1)):
+            thin = chunks[i].astype(np.uint8) if chunks[i].max() < 256 else chunks[i]
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([thin.itemsize], pa.int32()), pa.array([pa.compress(thin.tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "wide", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, total = None, np.zeros(CHUNK, np.int64)
 
-    return df.select(key, text).mapInArrow(apply, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long")
+        def done():
+            if chunk is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([levels_of(total).tobytes()], pa.binary())], ["chunk", "levels"])
 
+        for batch in batches:
+            for at, wide, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "wide", "counts")), strict=True):
+                if at != chunk:
+                    yield from done()
+                    chunk, total = at, np.zeros(CHUNK, np.int64)
+                total += np.frombuffer(pa.decompress(counts, CHUNK * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint32)
+        yield from done()
+
+    counted = rows.mapInArrow(count, "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    levels = np.zeros(CELLS, np.uint8)
+    for row in counted.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
+        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
+    return spark.sparkContext.broadcast(levels.tobytes())
+
+
+def first_shingles(shingles: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Places of a set's first shingles that others may have."""
+    n = len(shingles)
+    first = n - -(-percent * n // 100) + 1
+    if first < n:
+        found = np.argpartition(level.astype(np.uint64) << np.uint64(56) | shingles >> np.uint64(8), first - 1)[:first]
+    else:
+        found = np.arange(n)
+    return found[level[found] > ONCE]  # a shingle that was counted once is in no other set
 
-def candidate_edges(df: DataFrame, words: int, percent: int, key: str, text: str) -> DataFrame:
-    """Edges (u, v) between documents with an equal part; v is the least document with the part."""
 
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, percent: int) -> DataFrame:
+    """Edges (u, v) between documents of a block that have a first shingle in common; rows (block, u, text or set)."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, level_of = make(), np.frombuffer(levels.value, np.uint8)
+        copies: dict[bytes, int] = {}  # of a set's digest, its first document here
+        held: dict[int, int] = {}  # of a key, its first document here
         for batch in batches:
-            for part in slices(batch, text):
-                ids = part.column(key).to_numpy(zero_copy_only=False)
-                keys, which = part_keys([shingle(t) for t in part.column(text).to_pylist()], percent)
-                docs = ids[which].astype(np.int64)
-                # a key goes out once, with its least document here; the others get their edge at once
-                order = np.lexsort((docs, keys))
-                keys, docs = keys[order], docs[order]
-                head = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
-                least = docs[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(keys) else docs
-                rest = np.unique(np.stack([docs[~head], least[~head]]), axis=1)
-                rest = rest[:, rest[0] != rest[1]]
-                first = np.argsort(docs[head], kind="stable")  # a document's rows together: its id compresses
-                keys, docs, head = keys[head][first], docs[head][first], head[head]
-                own = mix(rest[0].astype(np.uint64) * A + rest[1].astype(np.uint64))
+            for part, sets in parts(batch):
+                edges, out, owner = set(), [], []
+                for u, block, s in zip(part.column("u").to_pylist(), part.column("block").to_pylist(), sets, strict=True):
+                    if not len(s):
+                        continue
+                    v = copies.setdefault(xxhash.xxh3_128_digest(s.tobytes()), u)
+                    if v != u:
+                        edges.add((u, v))
+                        continue
+                    block = np.uint64(block % (1 << 64))
+                    found = mix(s[first_shingles(s, level_of[cells(s, block, salt)], percent)] + B * block)
+                    new = []
+                    for k in found.tolist():
+                        v = held.get(k)
+                        if v is None:
+                            new.append(k)
+                            if len(held) < HELD_KEYS:
+                                held[k] = u
+                        elif v != u:
+                            edges.add((u, v))
+                    out += new
+                    owner += [u] * len(new)
+                pairs = np.array(sorted(edges), np.int64).reshape(-1, 2)
+                part_key = np.concatenate([np.array(out, np.uint64), mix(pairs[:, 0].astype(np.uint64) * A + pairs[:, 1].astype(np.uint64))]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([keys[head], own]).view(np.int64)), pa.array(np.concatenate([docs[head], rest[0]])), pa.array(np.concatenate([np.full(int(head.sum()), -1), rest[1]]), mask=np.concatenate([np.ones(int(head.sum()), bool), np.zeros(rest.shape[1], bool)]))],
+                    [pa.array(part_key), pa.array(np.concatenate([np.array(owner, np.int64), pairs[:, 0]])), pa.array(np.concatenate([np.zeros(len(owner), np.int64), pairs[:, 1]]), mask=np.arange(len(part_key)) < len(owner))],
                     ["part", "u", "v"],
                 )
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias(key), text).mapInArrow(apply, "part long, u long, v long")
-    least = F.min(F.when(F.col("v").isNull(), F.col("u"))).over(Window.partitionBy("part"))
-    return rows.select("u", F.coalesce("v", least).alias("v")).where("u <> v").distinct()
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last_u = None, 0
+        for batch in batches:
+            known = batch.column("v").is_valid().to_numpy(zero_copy_only=False)
+            key, u = batch.column("part").to_numpy()[~known], batch.column("u").to_numpy()[~known]
+            pairs = np.stack([batch.column("u").to_numpy()[known], batch.column("v").drop_null().to_numpy()], axis=1)
+            if len(key):
+                head = np.append(True, key[1:] != key[:-1])
+                starts = np.flatnonzero(head)
+                least = u[starts].copy()
+                if last_key is not None and key[0] == last_key:
+                    least[0] = last_u
+                v = least[np.cumsum(head) - 1]
+                last_key, last_u = key[-1], v[-1]
+                pairs = np.concatenate([pairs, np.stack([u, v], axis=1)[u != v]])
+            pairs = np.unique(pairs, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    return rows.mapInArrow(keys, "part long, u long, v long").repartition("part").sortWithinPartitions("part").mapInArrow(edges, "u long, v long")
+
+
+def blocks_of(rows: DataFrame, make: Sets, salt: int, percent: int) -> DataFrame:
+    """(block, u) of every document that may have a link; rows (block, u, text or set)."""
+    levels = shingle_levels(rows.drop("u", "id"), make, salt)
+    found = cc.components(candidate_edges(rows, make, levels, salt, percent))
+    levels.destroy()
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).select(F.col("component").alias("block"), F.col("node").alias("u"))
+
+
+# ---------------------------------------------------------------- a region within a task
 
 
-def distance(a: str, b: str):
-    both = F.size(F.array_intersect(a, b))
-    return 1 - both / (F.size(a) + F.size(b) - both)
+def linked(a: np.ndarray, b: np.ndarray, both: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b with `both` common elements link, in whole numbers."""
+    return 100 * both >= percent * (a + b - both)
+
+
+class Region:
+    """Sets of a region; `edges` joins what links: pairs with one set at home, one far from the last pivot and one needed."""
+
+    def __init__(self, ids: np.ndarray, sets: list[np.ndarray], percent: int):
+        self.ids, self.percent, self.reach = ids, percent, (100 - percent) / 100 + 1e-9
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values, inverse, shared = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        keep = shared[inverse] > 1  # values of one set cannot be common
+        column = (np.cumsum(shared > 1) - 1)[inverse[keep]]
+        order = np.argsort(column, kind="stable")
+        self.owner, self.column = np.repeat(np.arange(len(ids)), self.sizes)[keep][order], column[order]
+        self.width = int((shared > 1).sum())
+        self.parent = list(range(len(ids)))
+        self.compared = self.visits = 0
+
+    def root(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def unite(self, left: np.ndarray, right: np.ndarray) -> None:
+        for i, j in zip(left.tolist(), right.tolist(), strict=True):
+            i, j = self.root(i), self.root(j)
+            if i != j:
+                if self.ids[i] > self.ids[j]:
+                    i, j = j, i
+                self.parent[j] = i
+
+    def common(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        """Numbers of common elements."""
+        n, both = len(self.ids), np.zeros((len(rows), len(columns)), np.float32)
+        place, used = np.full(n, -1), np.union1d(rows, columns)
+        place[used] = np.arange(len(used))
+        for at in range(0, self.width, 4096):
+            lo, hi = np.searchsorted(self.column, [at, at + 4096])
+            owner, column = place[self.owner[lo:hi]], self.column[lo:hi] - at
+            strip = np.zeros((len(used), 4096), np.float32)
+            strip[owner[owner >= 0], column[owner >= 0]] = 1
+            both += strip[place[rows]] @ strip[place[columns]].T
+        self.compared += both.size
+        return both.astype(np.int64)
+
+    def join(self, members: np.ndarray, home: np.ndarray, far: np.ndarray, need: np.ndarray, away: np.ndarray | None = None) -> None:
+        """`away`: distances from the pivot of the region above."""
+        n = len(members)
+        homes = np.flatnonzero(home)
+        if n < 2 or not len(homes) or not far.any():
+            return
+        if n <= LEAF:
+            self.compare(members, home, far, need, away)
+            return
+        pivots = homes[np.argsort(mix(self.ids[members[homes]].astype(np.uint64) + A))[: max(1, -(-len(homes) // TASK_PER_PIVOT))]]
+        pivots.sort()
+        both = self.common(members[pivots], members)
+        a, b = self.sizes[members[pivots], None], self.sizes[None, members]
+        d, near = 1 - both / (a + b - both), linked(a, b, both, self.percent)
+        for p, row in zip(pivots, near, strict=True):
+            self.unite(np.full(int(row.sum()), members[p]), members[row])
+        nearest = d.argmin(axis=0)
+        least = d[nearest, np.arange(n)]
+        for k in range(len(pivots)):
+            at_home = nearest == k
+            visits = (nearest > k) & (d[k] <= least + 2 * self.reach)
+            inside = at_home | visits
+            if not (inside & ~near[k]).any() or not at_home.any():
+                continue
+            self.visits += int(visits.sum())
+            region = members[inside]
+            args = region, at_home[inside], ~near[k][inside], home[inside], d[k][inside]
+            if 2 * len(region) <= n:
+                self.join(*args)
+            else:
+                self.compare(*args)
+
+    def compare(self, members: np.ndarray, home: np.ndarray, far: np.ndarray, need: np.ndarray, away: np.ndarray | None) -> None:
+        rows = np.flatnonzero(home)
+        pairs = (far[rows, None] | far[None, :]) & (need[rows, None] | need[None, :])
+        if away is not None:
+            pairs &= np.abs(away[rows, None] - away[None, :]) <= self.reach
+        used = pairs.any(axis=1)
+        if not used.any():
+            return
+        rows, pairs = rows[used], pairs[used]
+        both = self.common(members[rows], members)
+        i, j = np.nonzero(pairs & linked(self.sizes[members[rows], None], self.sizes[None, members], both, self.percent))
+        self.unite(members[rows[i]], members[j])
+
+    def edges(self, home: np.ndarray, far: np.ndarray, need: np.ndarray) -> list[tuple[int, int]]:
+        """(id, least id of its group)."""
+        self.join(np.arange(len(self.ids)), home, far, need)
+        return [(int(self.ids[i]), int(self.ids[self.root(i)])) for i in range(len(self.ids)) if self.root(i) != i]
+
+
+# ---------------------------------------------------------------- regions by Spark
 
 
 def split(regions: DataFrame, percent: int) -> DataFrame:
-    """Where sets go when regions of (region, u, home, need, set) are split by pivots.
+    """Where sets go when regions of (region, u, home, size, set) are split by pivots.
 
-    Rows (region, u, new, home): the set's new regions.  A set is at home with its nearest pivot and
-    visits the pivots of lesser id that its window reaches; a linked pair meets at the lesser home.
+    Rows (region, u, new, home, pivot, near): the set's new regions.  A set is at home with its nearest
+    pivot and visits the pivots of lesser id that its window reaches; a linked pair meets at the lesser
+    home.  `near` sets are linked with the pivot.
     """
     reach = 2 * (100 - percent) / 100 + 1e-9
-    ranked = regions.where("home").select("region", "u", F.xxhash64("u", "region").alias("luck"))
-    # the pivots of a region: its sets of least hash, one for each PER_PIVOT sets
-    drawn = ranked.groupBy("region").agg(F.sort_array(F.collect_list(F.struct("luck", "u"))).alias("all"))
-    number = F.greatest(F.lit(2), F.least(F.lit(PIVOTS), F.ceil(F.size("all") / PER_PIVOT))).cast("int")
-    chosen = drawn.select("region", F.explode(F.slice("all", F.lit(1), number)).alias("p")).select("region", F.col("p.u").alias("u"))
+    # pivots are the home sets of lowest hash: some one in PER_PIVOT, and the lowest in any case
+    luck = F.xxhash64("u", "region", F.lit(7)).cast("double") / 2.0**64 + 0.5
+    drawn = regions.where("home").select("region", "u", "size", luck.alias("luck"))
+    part = F.greatest(F.lit(2.0), F.least(F.lit(float(PIVOTS)), F.col("size") / PER_PIVOT)) / F.col("size")
+    lowest = drawn.groupBy("region").agg(F.min_by("u", "luck").alias("u"))
+    chosen = drawn.where(F.col("luck") < part).select("region", "u").unionByName(lowest).distinct()
     pivots = regions.join(chosen, ["region", "u"]).select("region", F.col("u").alias("pivot"), F.col("set").alias("pivot_set"))
-    far = regions.join(pivots, "region").select("region", "u", "pivot", distance("set", "pivot_set").alias("d"))
-    near = far.groupBy("region", "u").agg(F.collect_set(F.struct("d", "pivot")).alias("all")).withColumn("first", F.array_min("all"))
+    both = F.size(F.array_intersect("set", "pivot_set"))
+    sizes = F.size("set") + F.size("pivot_set")
+    met = regions.join(pivots, "region").select("region", "u", "pivot", both.alias("both"), sizes.alias("sizes"))
+    far = met.select("region", "u", F.struct((1 - F.col("both") / (F.col("sizes") - F.col("both"))).alias("d"), "pivot", (100 * F.col("both") >= percent * (F.col("sizes") - F.col("both"))).alias("near")).alias("p"))
+    near = far.groupBy("region", "u").agg(F.collect_set("p").alias("all")).withColumn("first", F.array_min("all"))
     mine = F.filter("all", lambda p: (p["pivot"] == F.col("first.pivot")) | (p["pivot"] < F.col("first.pivot")) & (p["d"] <= F.col("first.d") + reach))
-    return near.select("region", "u", "first", F.explode(mine).alias("p")).select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("p.pivot") == F.col("first.pivot")).alias("home"))
-
-
-def rarer_blocks(regions: DataFrame, percent: int) -> DataFrame:
-    """Where sets of (region, u, home, need, set) go by their rarest shingles; sets that cannot have a link go away."""
-    each = regions.select("region", "u", F.size("set").alias("n"), F.explode("set").alias("h")).select("u", "n", F.xxhash64("region", "h").alias("k"))
-    shared = each.withColumn("f", F.count("*").over(Window.partitionBy("k"))).where("f > 1")
-    sets = shared.groupBy("u", "n").agg(F.sort_array(F.collect_set(F.struct("f", "k"))).alias("all"))
-    # shingles of one set only are the rarest and need no edge
-    first = sets.withColumn("first", F.expr(f"int(n - ({percent}L * n + 99) div 100 + 1 - (n - size(all)))")).where("first > 0")
-    keys = first.select("u", F.explode(F.slice("all", F.lit(1), F.col("first"))).alias("s")).select("u", "s.k")
-    found = cc.components(keys.withColumn("v", F.min("u").over(Window.partitionBy("k"))).where("u <> v").select("u", "v"))
-    blocks = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
-    return regions.select("u", "home", "need").join(blocks, F.col("u") == F.col("node")).select(F.col("component").alias("region"), "u", "home", "need").distinct()
+    return near.select("region", "u", "first", F.explode(mine).alias("p")).select("region", "u", F.xxhash64("region", "p.pivot").alias("new"), (F.col("p.pivot") == F.col("first.pivot")).alias("home"), F.col("p.pivot").alias("pivot"), F.col("p.near").alias("near"))
 
 
 def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
@@ -310,125 +391,152 @@ def tiles(regions: DataFrame, strip: int = REGION // 2) -> DataFrame:
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = sized.where("home").select("*", row.alias("row"), upto("across").alias("column"))
     others = sized.withColumn("home", F.lit(False)).select("*", upto("down").alias("row"), column.alias("column"))
-    return own.unionByName(others).select(F.xxhash64("region", "row", "column").alias("region"), "u", "home", "need")
+    return own.unionByName(others).select(F.xxhash64("region", "row", "column").alias("region"), "u", "home", "far", "need")
 
 
 def leaf_edges(regions: DataFrame, percent: int) -> DataFrame:
-    """Edges (u, v) of linked sets within each region."""
+    """Edges (u, v) of linked sets within each region of (region, u, home, far, need, set)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bool, bool, np.ndarray]] = []
+        held: dict[int, tuple[bool, bool, bool, np.ndarray]] = {}
         current = None
 
         def done() -> list[tuple[int, int]]:
-            seen = {}
-            for u, home, need, s in held:
-                seen[u] = (u in seen and seen[u][0] or home, need, s)
-            ids = sorted(seen)
-            home, need, sets = zip(*(seen[u] for u in ids), strict=True) if len(ids) > 1 else ((), (), ())
-            return compare(np.array(ids), list(sets), np.array(home), np.array(need), percent) if len(ids) > 1 else []
+            ids = sorted(held)
+            if len(ids) < 2:
+                return []
+            home, far, need, sets = zip(*(held[u] for u in ids), strict=True)
+            return Region(np.array(ids), list(sets), percent).edges(np.array(home), np.array(far), np.array(need))
 
         def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["u", "v"])
 
         for batch in batches:
             edges = []
-            sets = batch.column("set")
-            values, offsets = sets.values.to_numpy().view(np.uint64), sets.offsets.to_numpy()
-            for i, (region, u, home, need) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("region", "u", "home", "need")), strict=True)):
+            for region, u, home, far, need, s in zip(*(batch.column(c).to_pylist() for c in ("region", "u", "home", "far", "need")), of_lists(batch), strict=True):
                 if region != current:
                     edges += done()
-                    held, current = [], region
-                held.append((u, home, need, values[offsets[i] : offsets[i + 1]].copy()))
+                    held, current = {}, region
+                if u in held:
+                    held[u] = held[u][0] or home, far, need, held[u][3]
+                else:
+                    held[u] = home, far, need, s.copy()
             yield batch_of(edges)
         yield batch_of(done())
 
-    return regions.select("region", "u", "home", "need", "set").repartition("region").sortWithinPartitions("region").mapInArrow(apply, "u long, v long")
+    return regions.select("region", "u", "home", "far", "need", "set").repartition("region").sortWithinPartitions("region").mapInArrow(apply, "u long, v long")
+
+
+def sets_of_members(members: DataFrame, words: int) -> DataFrame:
+    """(block, u, id, first, digest, set) of (block, u, id, text); a task's later documents of an equal set have its `first` document and no set."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = of_texts(words)()
+        seen: dict[bytes, int] = {}
+        for batch in batches:
+            for part, sets in parts(batch):
+                digests, firsts, kept = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [], []
+                for u, digest, s in zip(part.column("u").to_pylist(), digests, sets, strict=True):
+                    kept.append(None if digest in seen else s.view(np.int64))
+                    firsts.append(seen.setdefault(digest, u))
+                yield pa.RecordBatch.from_arrays([part.column("block"), part.column("u"), part.column("id"), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["block", "u", "id", "first", "digest", "set"])
+
+    return members.mapInArrow(apply, "block long, u long, id long, first long, digest binary, set array<long>")
+
+
+def node_of(key: str, text: str) -> Column:
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
 def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, component) of every document that is linked to a lesser one: the least it reaches by links.
+    """(node, component, chief) of every document that has a link: the least id it reaches by links, and whether it is the one of its group to stay.
 
-    Two documents link when 100 * common shingles >= percent * all shingles of both.
+    Two documents link when 100 * common shingles >= percent * all shingles of both.  `node` is
+    `node_of` the document; of texts with the group's least id the one of the least node is the chief.
     """
     spark = df.sparkSession
-    blocks, blocks_path = written(cc.components(candidate_edges(df, words, percent, key, text)), "blocks")
+    start = len(live())
+    held = lambda table, name: written(table, name)[0]
+    docs = df.where(F.col(key).isNotNull()).select(F.lit(0).cast("long").alias("block"), node_of(key, text).alias("u"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    blocks = held(blocks_of(docs, of_texts(words), 1, percent), "blocks")
     freed(spark)
-    members = blocks.unionByName(blocks.select(F.col("component").alias("node"), "component").distinct())
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
-        for batch in batches:
-            for part in slices(batch, text):
-                made = [shingle(t) for t in part.column(text).to_pylist()]
-                digest = [xxhash.xxh3_128_digest(s.tobytes()) for s in made]
-                lengths = np.cumsum([0, *map(len, made)])
-                held = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("component"), part.column("node"), pa.array(digest, pa.binary()), held], ["block", "u", "digest", "set"])
-
     # few rows go to the texts or sets; more of them meet in a shuffle
-    small = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-    found = df.select(F.col(key).cast("long").alias("_key"), F.col(text)).join(small(members), F.col("_key") == F.col("node")).select("component", "node", text)
-    hashed, hashed_path = written(found.mapInArrow(sets, "block long, u long, digest binary, set array<long>"), "sets")
-    named = hashed.select("block", "u", "digest").distinct()
+    members = docs.select("u", "id", "text").join(small(blocks), "u").select("block", "u", "id", "text")
+    hashed = held(sets_of_members(members, words), "sets")
+    kept = hashed.where("set is not null")
+    named = kept.select("block", "u", "digest").distinct()
     one = named.groupBy("block", "digest").agg(F.min("u").alias("least"))
-    copies = named.join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")).distinct()
-    # an id with several texts keeps one of them
-    chosen, chosen_path = written(one.groupBy("block", F.col("least").alias("u")).agg(F.min("digest").alias("digest")), "chosen")
-    alone = chosen.select(F.col("block").alias("region"), "u", F.lit(True).alias("home"), F.lit(True).alias("need"))
+    copies = hashed.where("u <> first").select("u", F.col("first").alias("v")).unionByName(named.join(one, ["block", "digest"]).where("u <> least").select("u", F.col("least").alias("v")))
+    alone = one.select(F.col("block").alias("region"), F.col("least").alias("u"), F.lit(True).alias("home"), F.lit(True).alias("far"), F.lit(True).alias("need"))
+    with_sets = lambda rows: kept.select("u", "set").join(small(rows), "u")
 
-    def with_sets(rows: DataFrame) -> DataFrame:
-        rows = rows.join(chosen.select("u", "digest"), "u")
-        return hashed.select("u", "digest", "set").join(small(rows), ["u", "digest"]).select("region", "u", "home", "need", "set")
-
-    ready, paths, level, rarer, regions = [], [chosen_path], 0, False, alone
+    links, ready, level, counted, regions = [copies], [], 0, False, alone
     while True:
-        sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.sum(F.col("home").cast("long")).alias("homes")).where("size > 1 and homes > 0")
-        sized, path = written(regions.join(sizes, "region"), "regions")
-        paths.append(path)
+        sizes = regions.groupBy("region").agg(F.count("*").alias("size"), F.count_if("home").alias("homes"), F.count_if("far").alias("fars")).where("size > 1 and homes > 0 and fars > 0").drop("fars")
+        sized = held(regions.join(sizes, "region"), "regions")
         ready.append(sized.where(F.col("size") <= REGION).drop("size", "homes"))
         large = sized.where(F.col("size") > REGION)
         if not large.take(1):
             break
-        if not rarer:
-            rarer, regions = True, rarer_blocks(with_sets(large), percent)
+        if not counted:
+            counted = True
+            finer = blocks_of(with_sets(large.select(F.col("region").alias("block"), "u")), of_sets(), 2, percent)
+            regions = large.drop("region", "size", "homes").join(finer, "u").select(F.col("block").alias("region"), "u", "home", "far", "need")
             continue
-        wide = large.where(F.col("homes") > 2 * PER_PIVOT).drop("size", "homes")
+        wide = large.where(F.col("homes") > 2 * PER_PIVOT)
         if level == LEVELS or not wide.take(1):
             ready.append(tiles(large.drop("size", "homes")))
             break
-        moved, path = written(split(with_sets(wide), percent), "moved")
-        paths.append(path)
+        moved = held(split(with_sets(wide), percent), "moved")
+        links.append(moved.where("near and u <> pivot").select("u", F.col("pivot").alias("v")))
         # a split that leaves more than half of the comparisons isn't worth its copies
-        cost = moved.groupBy("region", "new").agg((F.count("*") * F.sum(F.col("home").cast("long"))).alias("cost")).groupBy("region").agg(F.sum("cost").alias("cost"))
+        cost = moved.groupBy("region", "new").agg(F.when(F.count_if(~F.col("near")) > 0, F.count("*") * F.count_if("home")).otherwise(0).alias("cost")).groupBy("region").agg(F.sum("cost").alias("cost"))
         better = large.select("region", "size", "homes").distinct().join(cost, "region").where("2 * cost < size * homes").select("region")
         ready.append(tiles(large.drop("size", "homes").join(better, "region", "left_anti")))
-        kept = large.join(better, "region").select("region", "u", F.col("home").alias("need"))
-        regions = kept.join(moved, ["region", "u"]).select(F.col("new").alias("region"), "u", "home", "need")
+        parted = large.join(better, "region").select("region", "u", F.col("home").alias("need"))
+        regions = parted.join(moved.select("region", "u", "new", "home", (~F.col("near")).alias("far")), ["region", "u"]).select(F.col("new").alias("region"), "u", "home", "far", "need")
         level += 1
     leaves = ready[0]
     for r in ready[1:]:
         leaves = leaves.unionByName(r)
-    leaves, path = written(leaves, "leaves")
-    paths.append(path)
-    links, links_path = written(leaf_edges(with_sets(leaves), percent).unionByName(copies), "links")
-    result, result_path = written(cc.components(links), "components")
-    for path in (blocks_path, hashed_path, links_path, *paths):
-        removed(spark, path)
+    links.append(leaf_edges(with_sets(held(leaves, "leaves")), percent))
+    found = links[0]
+    for r in links[1:]:
+        found = found.unionByName(r)
+    groups = held(cc.components(found), "groups")
+    everyone = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    # sizes of groups and of ids are known only here: a large group's least id goes to its rows by broadcast
+    named = everyone.join(hashed.select(F.col("u").alias("node"), "id").distinct(), "node")
+    chiefs = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("chief"), F.count("*").alias("n"))
+    result, path = written(cc.joined(named.select("node", "component"), chiefs, "component").select("node", F.col("chief.id").alias("component"), (F.col("node") == F.col("chief.node")).alias("chief")), "components")
+    swept(spark, start, path)
     return result
 
 
 def components(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`key`, n_shingles and component_id of every row: the least key it reaches by links, itself included."""
+    """`key`, n_shingles and component_id of every row: the least key it reaches by links, itself included.
+
+    Other columns of `df` are not looked at.
+    """
     groups = joined_groups(df, words, percent, key, text)
-    joined = shingle_counts(df, words, key, text).join(groups, F.col(key) == F.col("node"), "left")
-    return joined.select(key, "n_shingles", F.coalesce("component", F.col(key)).alias("component_id"))
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = of_texts(words)()
+        for batch in batches:
+            for part, sets in parts(batch):
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array([len(s) for s in sets], pa.int64())], ["key", "node", "n_shingles"])
+
+    counts = df.select(F.col(key).alias("key"), node_of(key, text).alias("node"), F.col(text).alias("text")).mapInArrow(apply, f"key {df.schema[key].dataType.simpleString()}, node long, n_shingles long")
+    return counts.join(groups.select("node", "component"), "node", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component_id"))
 
 
 def deduplicate(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`df` with one document of each group of linked ones: that of the least key.
 
-    Rows that repeat an id are one document and stay or go together.
+    Rows that repeat an id and its text are one document and stay or go together.
     """
-    gone = joined_groups(df, words, percent, key, text).select(F.col("node").alias("_gone"))
-    return df.join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    gone = joined_groups(df, words, percent, key, text).where("not chief").select("node")
+    name = "node"
+    while name in df.columns:
+        name += "_"
+    return df.join(small(gone.withColumnRenamed("node", name)), (node_of(key, text) == F.col(name)) & F.col(key).isNotNull(), "left_anti")

@@ -142,16 +142,16 @@ def test_jaccard_components(spark, monkeypatch, k, percent):
 
 @pytest.mark.parametrize("percent", [80, 90])
 def test_jaccard_shared_passages(spark, monkeypatch, percent):
-    """Documents that share passages meet in one block; rare shingles part it and lose no link."""
-    sizes, plain = [], jaccard_join.rarer_blocks
+    """Passages of many documents come last in the order of counts: they join no blocks, and no link is lost."""
+    edges, plain = [], jaccard_join.candidate_edges
 
-    def counted(regions, percent):
-        out = plain(regions, percent)
-        sizes.append((regions.count(), out.count()))
+    def counted(*args):
+        out = plain(*args)
+        edges.append(out.distinct().count())
         return out
 
     monkeypatch.setattr(jaccard_join, "REGION", 8)
-    monkeypatch.setattr(jaccard_join, "rarer_blocks", counted)
+    monkeypatch.setattr(jaccard_join, "candidate_edges", counted)
     rng, rows = random.Random(9), []
     draw = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
     passages = [draw(60) for _ in range(3)]
@@ -164,7 +164,84 @@ def test_jaccard_shared_passages(spark, monkeypatch, percent):
             rows.append((len(rows), " ".join(copy)))
     got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, percent).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 5, percent)
-    assert len(sizes) == 1 and sizes[0][1] < sizes[0][0]
+    assert edges[0] < 2 * len(rows)
+
+
+def near_copies(rng, n, length, edits, vocabulary=4000):
+    words = [f"w{rng.randrange(vocabulary)}" for _ in range(length)]
+    for _ in range(n):
+        copy = list(words)
+        for _ in range(rng.randrange(edits + 1)):
+            copy[rng.randrange(length)] = f"w{rng.randrange(vocabulary)}"
+        yield " ".join(copy)
+
+
+@pytest.mark.parametrize(("percent", "edits"), [(90, 5), (80, 12), (60, 30)])
+def test_jaccard_region_in_a_task(percent, edits):
+    """Pivots, windows and recursion of one region find the links of brute force; pivots save comparisons."""
+    rng = random.Random(percent)
+    texts = [t for n in (1, 1, 3, 30, 60) for t in near_copies(rng, n, 100, edits, 400)]
+    shingle = jaccard_join.Shingler(3)
+    region = jaccard_join.Region(np.arange(len(texts)), [shingle(t) for t in texts], percent)
+    every = np.ones(len(texts), bool)
+    edges = dict(region.edges(every, every, every))
+    assert {i: edges.get(i, i) for i in range(len(texts))} == {d: c for d, (_, c) in brute_components(list(enumerate(texts)), 3, percent).items()}
+    if percent == 90:
+        assert region.compared < len(texts) ** 2 and region.visits
+
+
+def test_jaccard_spark_splits(spark, monkeypatch):
+    """A block of more than REGION sets is split by Spark's pivots; their links join the result."""
+    moved, plain = [], jaccard_join.split
+
+    def counted(*args):
+        out = plain(*args)
+        moved.append(out.where("near and u <> pivot").count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "REGION", 16)
+    monkeypatch.setattr(jaccard_join, "PER_PIVOT", 4)
+    monkeypatch.setattr(jaccard_join, "split", counted)
+    rng = random.Random(2)
+    rows = list(enumerate(t for _ in range(3) for t in near_copies(rng, 40, 80, 3)))
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 3, 80)
+    assert moved and sum(moved) > 60
+
+
+def test_jaccard_edge_cases(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(5, text), (5, text), (5, other), (7, text + " x"), (9, other + " y"), (None, text), (11, None), (12, ""), (13, "solo run of words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("node", "node_", "component", "u", "block", "id", "_gone", "key")})
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard_join.components(df).collect())
+    assert got == sorted([(False, 5, 56, 5)] * 3 + [(False, 7, 57, 5), (False, 9, 57, 5), (True, 0, 56, None), (False, 11, 0, 11), (False, 12, 0, 12), (False, 13, 1, 13)])
+    kept = jaccard_join.deduplicate(df)
+    assert kept.columns == df.columns
+    # an id's two texts are two documents; both stay, with their repeated rows
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(False, 5, text)] * 2 + [(False, 5, other), (True, 0, text), (False, 11, ""), (False, 12, ""), (False, 13, "solo run of words here")])
+    for limit in (0, 1):
+        assert jaccard_join.components(df.limit(limit)).count() == jaccard_join.deduplicate(df.limit(limit)).count() == limit
+
+
+def test_jaccard_leaves_one_table(spark):
+    import os
+
+    from platewright.llm import _shared
+
+    folder = _shared.shared_dir(spark)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = list(enumerate(near_copies(random.Random(3), 12, 60, 2)))
+    jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("components-")
+
+
+def test_components_with_a_hub(spark):
+    from platewright.llm import components as cc
+
+    edges = [(i, 0) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(7000, 2999)]
+    got = {r.node: r.component for r in cc.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 3000)}, 7000: 0, **{i: 5000 for i in range(5001, 5041)}}
 
 
 def test_webp_round_trip():
