@@ -8,7 +8,7 @@ meet them by broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from platewright.llm._shared import removed, written
@@ -17,13 +17,12 @@ from platewright.llm._shared import removed, written
 HEAVY = 1000
 
 
-def joined(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
-    """`rows` with the other columns of `table`, which has a row for every `on` and the number `n` of its rows.
+def joined(rows: DataFrame, table: DataFrame, on: str, total: int) -> DataFrame:
+    """`rows` with the other columns of `table`, which has a row for every `on` and the number `n` of its rows; `total` is the number of all rows.
 
     Rows of heavy keys stay where they are: fewer than HEAVY rows of `table` are broadcast to them.
     """
-    total = table.agg(F.sum("n")).first()[0] or 0
-    heavy = F.broadcast(table.where(F.col("n") * HEAVY > F.lit(total) + HEAVY).drop("n"))
+    heavy = F.broadcast(table.where(F.col("n") * HEAVY > total + HEAVY).drop("n"))
     return rows.join(heavy, on).unionByName(rows.join(heavy.select(on), on, "left_anti").join(table.drop("n"), on))
 
 
@@ -31,35 +30,41 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("u", F.least("u", "m").alias("m"), "n")
-    return joined(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return joined(both, least, "u", 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, total: int) -> DataFrame:
     # rows hold u > v here: a node's smaller neighbours
     least = _least(edges)
-    turned = joined(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    turned = joined(edges, least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return turned.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
+def _kept(edges: DataFrame) -> tuple[DataFrame, str, tuple[int, object]]:
+    """Edges written, their path, and (number, sum of hashes), which the write counts on its way."""
+    seen = Observation()
+    table, path = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+    return table, path, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Rows (node, component) of all nodes but the components' least ones; `edges` has (u, v)."""
     spark = edges.sparkSession
-    start = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current, path = written(start, "edges")
-    mark = None
+    current, path, mark = _kept(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(rounds):
-        state = current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.count_distinct("u").alias("nodes")).first()
-        if (state["n"], state["h"]) == mark or not state["n"]:
+        if not mark[0]:
             break
-        mark = (state["n"], state["h"])
-        # each half is written: it is read three times by the next
-        larger, between = written(_large(current), "edges")
+        # each half is written: the next reads it three times
+        larger, between, (n, _) = _kept(_large(current, mark[0]))
         removed(spark, path)
-        current, path = written(_small(larger), "edges")
+        current, path, after = _kept(_small(larger, n))
         removed(spark, between)
+        if after == mark:
+            break
+        mark = after
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("component"))

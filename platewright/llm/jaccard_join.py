@@ -4,11 +4,13 @@ A document's set holds 64-bit hashes of its distinct shingles.  Jaccard distance
 join works in its space by pivots.  Documents without a common shingle are at distance 1 from each
 other and from every pivot, so pivots cannot part them; a first exact step does:
 
-1. Blocks.  Shingles are counted in a sketch of fixed size and each set is ordered by count.  Linked
-   sets have a shingle in common among their first ones (those left if as many shingles were taken
-   off as a link needs in common, less one), whatever the order is; counts only make sure that
-   passages of many documents come last and join nothing.  A common first shingle gives an edge, and
-   connected documents form a block.  No link leaves its block.
+1. Blocks.  Shingles are counted in a sketch and each set is ordered by count.  Linked sets have a
+   key in common among their first ones, whatever the order is; counts only make sure that passages
+   of many documents come last and join nothing.  A key is one of the shingles left if as many were
+   taken off as a link needs in common, less one; or, at high similarities, two neighbours of the
+   order: linked sets differ in D shingles, each parts two neighbours, so of the first 2 D + 2 some
+   two are neighbours in both.  A common key gives an edge, and connected documents form a block.
+   No link leaves its block.
 2. Copies.  Documents with equal sets become one.  Blocks of more than REGION sets are counted and
    ordered once more, by themselves.
 3. Regions.  Pivots part a block into Voronoi regions.  A set is at home in its nearest pivot's
@@ -32,6 +34,7 @@ by a 64-bit hash of id and text.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -52,9 +55,11 @@ PIVOTS, PER_PIVOT, LEVELS = 256, 64, 4
 #: Regions of a task: home sets for each pivot, sets that are compared without one.
 TASK_PER_PIVOT, LEAF = 16, 4
 CACHE_ENTRIES = 300_000
-#: Counters of the sketch, and of one of its rows.
-CELLS, CHUNK = 1 << 24, 1 << 14
-#: Frequent keys that a task remembers with their document.
+#: Shingles for each counter of the sketch, most bits of a counter's number (64 MB), counters of a row.
+PER_CELL, MOST_BITS, CHUNK_BITS = 8, 26, 14
+#: Rows of a batch that go to Python at once: sets are long.
+BATCH_ROWS = 1000
+#: Keys that a task remembers with their document.
 HELD_KEYS = 200_000
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -127,9 +132,9 @@ def of_sets() -> Sets:
 # ---------------------------------------------------------------- counts and first shingles
 
 
-def cells(sets: np.ndarray, block: np.ndarray | int, salt: int) -> np.ndarray:
+def cells(shingles: np.ndarray, block: np.ndarray | np.uint64, salt: int, bits: int) -> np.ndarray:
     """Counters of a block's shingles."""
-    return (mix((sets ^ np.uint64(salt)) + B * block) >> np.uint64(40)).astype(np.int64) & (CELLS - 1)
+    return (mix((shingles ^ np.uint64(salt)) + B * block) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def levels_of(counts: np.ndarray) -> np.ndarray:
@@ -140,23 +145,24 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 ONCE = int(levels_of(np.array([1]))[0])
 
 
-def shingle_levels(rows: DataFrame, make: Sets, salt: int) -> Broadcast:
-    """Levels of the counts of all shingles of (block, text or set), CELLS bytes whatever the input."""
+def shingle_levels(rows: DataFrame, make: Sets, salt: int, bits: int) -> Broadcast:
+    """Levels of the counts of all shingles of (block, text or set), a byte for each of 2 ** bits counters."""
     spark = rows.sparkSession
+    chunk_size = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = make(), np.zeros(CELLS, np.uint32)
+        parts, held = make(), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part, sets in parts(batch):
                 blocks = np.repeat(part.column("block").to_numpy().astype(np.uint64), [len(s) for s in sets])
-                np.add.at(held, cells(np.concatenate(sets), blocks, salt), 1)
-        chunks = held.reshape(-1, CHUNK)
+                np.add.at(held, cells(np.concatenate(sets), blocks, salt, bits), 1)
+        chunks = held.reshape(-1, chunk_size)
         for i in np.flatnonzero(chunks.any(axis=1)):
             thin = chunks[i].astype(np.uint8) if chunks[i].max() < 256 else chunks[i]
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([thin.itemsize], pa.int32()), pa.array([pa.compress(thin.tobytes(), "zstd", asbytes=True)], pa.binary())], ["chunk", "wide", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total = None, np.zeros(CHUNK, np.int64)
+        chunk, total = None, np.zeros(chunk_size, np.int64)
 
         def done():
             if chunk is not None:
@@ -166,30 +172,37 @@ def shingle_levels(rows: DataFrame, make: Sets, salt: int) -> Broadcast:
             for at, wide, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "wide", "counts")), strict=True):
                 if at != chunk:
                     yield from done()
-                    chunk, total = at, np.zeros(CHUNK, np.int64)
-                total += np.frombuffer(pa.decompress(counts, CHUNK * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint32)
+                    chunk, total = at, np.zeros(chunk_size, np.int64)
+                total += np.frombuffer(pa.decompress(counts, chunk_size * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint32)
         yield from done()
 
     counted = rows.mapInArrow(count, "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
-    levels = np.zeros(CELLS, np.uint8)
+    levels = np.zeros(1 << bits, np.uint8)
     for row in counted.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
-        levels[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["levels"], np.uint8)
+        levels[row["chunk"] << CHUNK_BITS : (row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(row["levels"], np.uint8)
     return spark.sparkContext.broadcast(levels.tobytes())
 
 
-def first_shingles(shingles: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
-    """Places of a set's first shingles that others may have."""
+def first_keys(shingles: np.ndarray, level: np.ndarray, percent: int) -> np.ndarray:
+    """Keys of a set that others may have: each set that links with it has one of them.
+
+    Neighbours are used where that takes at most a quarter of the shingles.
+    """
     n = len(shingles)
-    first = n - -(-percent * n // 100) + 1
-    if first < n:
-        found = np.argpartition(level.astype(np.uint64) << np.uint64(56) | shingles >> np.uint64(8), first - 1)[:first]
-    else:
-        found = np.arange(n)
-    return found[level[found] > ONCE]  # a shingle that was counted once is in no other set
+    rank = level.astype(np.uint64) << np.uint64(56) | shingles >> np.uint64(8)
+    if 8 * (100 - percent) > percent or n < 2:
+        first = n - -(-percent * n // 100) + 1
+        found = np.argpartition(rank, first - 1)[:first] if first < n else np.arange(n)
+        return shingles[found[level[found] > ONCE]]  # a shingle that was counted once is in no other set
+    first = min(n, 2 * ((100 - percent) * n // percent) + 2)
+    found = np.argpartition(rank, first - 1)[:first] if first < n else np.arange(n)
+    found = found[np.argsort(rank[found])]
+    often = level[found] > ONCE
+    return mix(shingles[found[:-1]] * A + shingles[found[1:]])[often[:-1] & often[1:]]
 
 
-def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, percent: int) -> DataFrame:
-    """Edges (u, v) between documents of a block that have a first shingle in common; rows (block, u, text or set)."""
+def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, bits: int, percent: int) -> DataFrame:
+    """Edges (u, v) between documents of a block that have a key in common; rows (block, u, text or set)."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, level_of = make(), np.frombuffer(levels.value, np.uint8)
@@ -206,7 +219,7 @@ def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, p
                         edges.add((u, v))
                         continue
                     block = np.uint64(block % (1 << 64))
-                    found = mix(s[first_shingles(s, level_of[cells(s, block, salt)], percent)] + B * block)
+                    found = mix(first_keys(s, level_of[cells(s, block, salt, bits)], percent) + B * block)
                     new = []
                     for k in found.tolist():
                         v = held.get(k)
@@ -246,10 +259,16 @@ def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, p
     return rows.mapInArrow(keys, "part long, u long, v long").repartition("part").sortWithinPartitions("part").mapInArrow(edges, "u long, v long")
 
 
-def blocks_of(rows: DataFrame, make: Sets, salt: int, percent: int) -> DataFrame:
-    """(block, u) of every document that may have a link; rows (block, u, text or set)."""
-    levels = shingle_levels(rows.drop("u", "id"), make, salt)
-    found = cc.components(candidate_edges(rows, make, levels, salt, percent))
+def blocks_of(rows: DataFrame, make: Sets, shingles: Column, salt: int, percent: int) -> DataFrame:
+    """(block, u) of every document that may have a link; rows (block, u, text or set).
+
+    The sketch grows with the number of shingles (an expression of the rows) up to MOST_BITS; beyond it
+    orders less well, which costs time and loses nothing.
+    """
+    total = rows.agg(F.sum(shingles)).first()[0] or 0
+    bits = min(max(int(total // PER_CELL).bit_length(), CHUNK_BITS), MOST_BITS)
+    levels = shingle_levels(rows.drop("u", "id"), make, salt, bits)
+    found = cc.components(candidate_edges(rows, make, levels, salt, bits, percent))
     levels.destroy()
     return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).select(F.col("component").alias("block"), F.col("node").alias("u"))
 
@@ -448,6 +467,23 @@ def node_of(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
+def in_small_batches(join):
+    """`join` with BATCH_ROWS rows a batch, as a batch of long sets must fit into a task's memory."""
+
+    @functools.wraps(join)
+    def joined(df: DataFrame, *args, **kwargs):
+        conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = conf.get(name)
+        conf.set(name, BATCH_ROWS)
+        try:
+            return join(df, *args, **kwargs)
+        finally:
+            conf.set(name, before)
+
+    return joined
+
+
+@in_small_batches
 def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(node, component, chief) of every document that has a link: the least id it reaches by links, and whether it is the one of its group to stay.
 
@@ -458,7 +494,8 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
     start = len(live())
     held = lambda table, name: written(table, name)[0]
     docs = df.where(F.col(key).isNotNull()).select(F.lit(0).cast("long").alias("block"), node_of(key, text).alias("u"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    blocks = held(blocks_of(docs, of_texts(words), 1, percent), "blocks")
+    letters = (F.octet_length("text") / 6).cast("long")  # a word of five letters and a blank
+    blocks = held(blocks_of(docs, of_texts(words), letters, 1, percent), "blocks")
     freed(spark)
     # few rows go to the texts or sets; more of them meet in a shuffle
     members = docs.select("u", "id", "text").join(small(blocks), "u").select("block", "u", "id", "text")
@@ -480,7 +517,7 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
             break
         if not counted:
             counted = True
-            finer = blocks_of(with_sets(large.select(F.col("region").alias("block"), "u")), of_sets(), 2, percent)
+            finer = blocks_of(with_sets(large.select(F.col("region").alias("block"), "u")), of_sets(), F.size("set"), 2, percent)
             regions = large.drop("region", "size", "homes").join(finer, "u").select(F.col("block").alias("region"), "u", "home", "far", "need")
             continue
         wide = large.where(F.col("homes") > 2 * PER_PIVOT)
@@ -508,7 +545,7 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
     # sizes of groups and of ids are known only here: a large group's least id goes to its rows by broadcast
     named = everyone.join(hashed.select(F.col("u").alias("node"), "id").distinct(), "node")
     chiefs = named.groupBy("component").agg(F.min(F.struct("id", "node")).alias("chief"), F.count("*").alias("n"))
-    result, path = written(cc.joined(named.select("node", "component"), chiefs, "component").select("node", F.col("chief.id").alias("component"), (F.col("node") == F.col("chief.node")).alias("chief")), "components")
+    result, path = written(cc.joined(named.select("node", "component"), chiefs, "component", everyone.count()).select("node", F.col("chief.id").alias("component"), (F.col("node") == F.col("chief.node")).alias("chief")), "components")
     swept(spark, start, path)
     return result
 
