@@ -8,13 +8,45 @@ from pyspark.sql import functions as F
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñçÁÀÂÄÃÉÈÊËÍÌÎÏÓÒÔÖÕÚÙÛÜÑÇ", "aaaaaeeeeiiiiooooouuuuncAAAAAEEEEIIIIOOOOOUUUUNC"
 
 
+#: Letters that take accents, with the accents of `ACCENTED`, in their decomposed form.
+MARKS = {"\u0300": "àèìòùÀÈÌÒÙ", "\u0301": "áéíóúÁÉÍÓÚ", "\u0302": "âêîôûÂÊÎÔÛ", "\u0303": "ãõñÃÕÑ", "\u0308": "äëïöüÄËÏÖÜ", "\u0327": "çÇ"}
+
+
+def composed(text: Column) -> Column:
+    """Decomposed accents of `ACCENTED` as single characters."""
+    made = text
+    for mark, letters in MARKS.items():
+        plain = letters.translate(str.maketrans(ACCENTED, PLAIN))
+        for c, p in zip(letters, plain, strict=True):
+            made = F.replace(made, F.lit(p + mark), F.lit(c))
+    # most texts have no combining mark
+    return F.when(text.rlike("[\u0300-\u036f]"), made).otherwise(text)
+
+
+def strip_punct(word: Column) -> Column:
+    """Letters, marks and digits only."""
+    return F.regexp_replace(word, r"[^\p{L}\p{M}\p{N}]", "")
+
+
 def word_key(word: Column) -> Column:
-    """Letters and digits in small letters: what two words are compared by."""
-    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]", ""))
+    """Letters and digits in small letters, accents composed: what two words are compared by."""
+    return F.lower(F.regexp_replace(composed(word), r"[^\p{L}\p{N}]", ""))
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Without accents, single or combining."""
+    return F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[\u0300-\u036f]", "")
+
+
+def alnum_ok(token: Column) -> Column:
+    """Two characters or more, most of them letters or digits."""
+    n = F.length(F.regexp_replace(token, r"[^\p{L}\p{N}]", ""))
+    return (F.length(token) >= 2) & (n >= F.greatest(F.lit(2.0), F.length(token) * 0.6))
+
+
+def clean_glyphs(text: Column) -> Column:
+    """Without the glyph that report fonts lack; null is empty."""
+    return F.replace(F.coalesce(text, F.lit("")), F.lit("Δ"), F.lit("d"))
 
 
 def words(text: Column) -> Column:

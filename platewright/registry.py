@@ -279,11 +279,11 @@ def token_patterns(spark, sf_dir):
 
 
 @query(f"""
-with t as (select conv_id, turn, regexp_replace(substr(trim(regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[ \t\n\r]+', ' ', 'g')), 1, 200), '[^ -~]', '', 'g') as s from conversations)
+with t as (select conv_id, turn, regexp_replace(trim(regexp_replace(translate(lower(text), '{text.ACCENTED}', '{text.PLAIN}'), '[ \t\n\r]+', ' ', 'g')), '[^ -~]', '', 'g') as s from conversations)
 select a.conv_id, a.turn, round(case when length(a.s) = 0 then 0.0::double else least(1.0::double, levenshtein(a.s, b.s)::double / length(a.s)) end, 6) as rate from t a join t b on a.conv_id = b.conv_id and b.turn = a.turn + 1
 """)
 def char_error_rate(spark, sf_dir):
-    """Error rate of each turn's plain characters read as the next turn's; whole turns, which the SQL above still cuts."""
+    """Error rate of each turn's plain characters read as the next turn's, whole turns."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(text.plain_text(F.col("text")), "[^ -~]", "").alias("s"))
     after = F.lead(F.struct("turn", "s")).over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = c.withColumn("next", after).where("next.turn = turn + 1")

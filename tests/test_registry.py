@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from platewright import registry
+from platewright import queries as registry
 
 SF = "/root/testdata/sf0.001"
 
