@@ -216,4 +216,4 @@ def jpeg_quality(table: Column, standard_sum: float = 3688.0) -> Column:
 def jpeg_quality_of_mean(table: Column) -> Column:
     """Quality by the table's mean (57.6 at quality 50), held in 1..100; null without a table."""
     scale = F.aggregate(table, F.lit(0.0), lambda s, q: s + q) / F.nullif(F.size(table), F.lit(0)) / 57.6 * 100
-    return F.least(F.greatest(F.when(scale <= 100, (200 - scale) / 2).otherwise(5000 / scale), F.lit(1.0)), F.lit(100.0))
+    return F.when(F.size(table) > 0, F.least(F.greatest(F.when(scale <= 100, (200 - scale) / 2).otherwise(5000 / scale), F.lit(1.0)), F.lit(100.0)))

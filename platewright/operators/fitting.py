@@ -82,9 +82,9 @@ def palette(points: DataFrame, k: int = 12, merge: float = 6.0, least: float = 0
     """
     vectors = VectorAssembler(inputCols=["L", "a", "b"], outputCol="v").transform(points)
     model = KMeans(k=k, seed=seed, featuresCol="v", maxIter=30).fit(vectors)
-    sizes, centres = model.summary.clusterSizes, [list(map(float, c)) for c in model.clusterCenters()]
-    spark, total = points.sparkSession, float(sum(sizes))
-    held = [(n, *c) for n, c in zip(map(float, sizes), centres, strict=True) if n]
+    sizes = {r["prediction"]: float(r["count"]) for r in model.transform(vectors).groupBy("prediction").count().collect()}
+    spark, total = points.sparkSession, sum(sizes.values())
+    held = [(sizes[i], *map(float, c)) for i, c in enumerate(model.clusterCenters()) if i in sizes]
     while len(held) > 1:
         rows = [(i, j, *held[i][1:], *held[j][1:]) for i in range(len(held)) for j in range(i + 1, len(held))]
         pairs = spark.createDataFrame(rows, "i int, j int, L double, a double, b double, L2 double, a2 double, b2 double")

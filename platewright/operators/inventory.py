@@ -112,7 +112,7 @@ def to_process(objects: DataFrame, values: DataFrame) -> DataFrame:
     """
     v = values.select(normalized(F.col("name")).alias("_k"), *(F.col(i).alias(f"_{i}_") for i in "cmyk"))
     joined = objects.withColumn("_k", normalized(F.col("name"))).join(F.broadcast(v), "_k", "left")  # a hand-made list
-    held = {i: F.least(F.greatest(F.col(f"_{i}_") * F.col("tint"), F.lit(0.0)), F.lit(1.0)) for i in "cmyk"}
+    held = {i: F.when(F.col(f"_{i}_").isNotNull(), F.least(F.greatest(F.col(f"_{i}_") * F.col("tint"), F.lit(0.0)), F.lit(1.0))) for i in "cmyk"}
     return joined.withColumns(held | {"converted": F.col("_c_").isNotNull()}).drop("_k", *(f"_{i}_" for i in "cmyk"))
 
 

@@ -43,7 +43,7 @@ def ink_lines(lines: DataFrame) -> DataFrame:
     """
     first = lines.where("trim(value) <> ''").groupBy("source").agg(F.min_by("value", "line").alias("_f"))
     separator = F.when(F.contains("_f", F.lit(";")), ";").when(F.contains("_f", F.lit("\t")), "\t").otherwise(",")
-    cut = lines.join(F.broadcast(first), "source").withColumn("_p", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), separator), F.trim))  # a row a file
+    cut = lines.join(F.broadcast(first), "source").withColumn("_p", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), separator), lambda v: F.trim(v)))  # a row a file
     at = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
     rows = cut.where(at(0).isNotNull() & ~at(0).startswith("#")).select("source", "line", at(0).alias("name"), *(number(at(i + 1)).alias(c) for i, c in enumerate(("L", "a", "b"))), F.lower(at(4)).alias("_k"), number(at(5)).alias("_o"), (F.size("_p") < 4).alias("_few"))
     none = F.col("L").isNull() | F.col("a").isNull() | F.col("b").isNull()
@@ -56,7 +56,7 @@ def ink_lines(lines: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     # libraries are small files: each is one row, and its lines are numbered by an array
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("source"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     return whole.withColumn("line", F.col("line") + 1)
 
 

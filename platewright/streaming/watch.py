@@ -18,7 +18,7 @@ SUFFIXES = [".pdf", ".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".webp"]
 
 def files(spark: SparkSession, folder: str, per_trigger: int = 100) -> DataFrame:
     """Stream of new files of a folder, not of folders in it: file, kind, length, modified."""
-    raw = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(folder)
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", per_trigger).load(folder)
     return named(raw.select("path", "length", F.col("modificationTime").alias("modified")))
 
 
