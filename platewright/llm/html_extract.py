@@ -5,7 +5,9 @@ children.  Spark counts with how many different page contents of its host each s
 subtrees that recur across many of them are deleted.  Elements that are page furniture by their tag, role or
 class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) go
 whether or not they recur.  Of the rest the article is taken: the content of the outermost
-`article` or `main` elements, or the whole body of a page that has none.
+`article` or `main` elements, or the whole body of a page that has none.  Names, roles and forms only
+assist: where they would leave no article, elements around one stay, and an article keeps its own
+headings whatever their element is called.
 
 Paragraphs, headings and inline elements inside an article are never counted as template: pages
 may quote or repeat each other.  Pages of a host with equal text but for furniture are copies and
@@ -14,7 +16,9 @@ MIN_PAGES of these pages and on MIN_SHARE of them.
 
 Defined results: null or empty html gives an empty text; a null or unreadable url is a host of its
 own (the empty one); unclosed and misplaced tags are repaired as browsers do for paragraphs and
-lists; repeated rows give repeated results and count as one page.
+lists; repeated rows give repeated results and count as one page; a page_id on several pages is no
+page by itself: each row is judged by its own html and host.  An empty table gives no rows; columns
+but the id, the url and the html are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm._shared import written
+from platewright.llm._shared import BROADCAST_BYTES, written
 from platewright.llm._text import slices
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
@@ -54,20 +58,31 @@ CONTENT = set("p h1 h2 h3 h4 h5 h6 b i em strong a span code q cite small sub su
 
 
 class Element:
-    __slots__ = ("tag", "names", "drop", "children", "main")
+    __slots__ = ("tag", "names", "drop", "soft", "children", "main")
 
-    def __init__(self, tag: str, names: tuple = (), drop: bool = False, main: bool = False):
-        self.tag, self.names, self.drop, self.main, self.children = tag, names, drop, main, []
+    def __init__(self, tag: str, names: tuple = (), drop: bool = False, main: bool = False, soft: bool = False):
+        self.tag, self.names, self.drop, self.soft, self.main, self.children = tag, names, drop, soft, main, []
 
 
-def furniture(tag: str, attributes: dict[str, str], in_main: bool) -> bool:
+#: Names that an article's own heading may have too.
+HEADINGS = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner|nav\w*)(?:$|[-_\s])", re.I)
+
+
+def furniture(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is furniture, and whether only a name, a role or a form says so."""
     if tag in FURNITURE:
-        return not (tag == "header" and in_main)  # an article's own heading stays
+        return not (tag == "header" and in_main), tag == "form"  # an article's own heading stays
     if tag in ("html", "body"):
-        return False
-    if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    return bool(NAMES.search(f"{attributes.get('class', '')} {attributes.get('id', '')}".strip())) if "class" in attributes or "id" in attributes else False
+        return False, False
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+        return True, False
+    if attributes.get("role", "").lower() in ROLES:
+        return True, True
+    if "class" not in attributes and "id" not in attributes:
+        return False, False
+    name = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
+    found = NAMES.search(HEADINGS.sub(" ", HEADINGS.sub(" ", name)) if in_main else name)
+    return bool(found), bool(found)
 
 
 def parse(source: str) -> Element:
@@ -75,6 +90,7 @@ def parse(source: str) -> Element:
     root = Element("html")
     stack, at = [root], 0
     opened, mains = Counter(), 0  # open elements by tag, and those that are main
+    articles = hidden = False
 
     def text(raw: str) -> None:
         if raw:
@@ -110,8 +126,10 @@ def parse(source: str) -> Element:
         for other in SAME_LEVEL.get(tag, ()):
             close(other, LEVEL_ENDS[tag])
         attributes = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(m["rest"])} if m["rest"].strip(" /\n\t") else {}
-        element = Element(tag, tuple(sorted(attributes)), furniture(tag, attributes, mains > 0), tag in MAIN or attributes.get("role", "").lower() == "main")
+        drop, soft = furniture(tag, attributes, mains > 0)
+        element = Element(tag, tuple(sorted(attributes)), drop, tag in MAIN or attributes.get("role", "").lower() == "main", soft)
         stack[-1].children.append(element)
+        articles, hidden = articles or element.main, hidden or (drop and soft)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
             if tag in ("textarea", "title"):
@@ -122,9 +140,34 @@ def parse(source: str) -> Element:
             opened[tag] += 1
             mains += element.main
     text(source[at:])
+    if articles and hidden:
+        keep_around_articles(root)
     return root
 
 
+def keep_around_articles(root: Element) -> None:
+    """If names, roles and forms would leave no article, elements around one stay."""
+    around, hidden = [], []  # soft elements around an article; articles that nothing hides
+    stack: list[tuple[Element, Iterator, tuple[Element, ...], bool]] = [(root, iter(root.children), (), False)]
+    while stack:
+        _, children, soft, hard = stack[-1]
+        for c in children:
+            if isinstance(c, str):
+                continue
+            own = (*soft, c) if c.drop and c.soft else soft
+            gone = hard or (c.drop and not c.soft)
+            if c.main and not gone:
+                (around if own else hidden).append((c, own))
+            stack.append((c, iter(c.children), own, gone))
+            break
+        else:
+            stack.pop()
+    if not hidden:
+        for _, own in around:
+            for e in own:
+                e.drop = False
+
+
 def squeeze(s: str) -> str:
     return " ".join(s.split())
 
@@ -229,14 +272,25 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     counted = parsed.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")).select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
     sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("size"))
     recurring = counted.join(sizes, "host").where(F.col("on") >= min_share * F.col("size")).select("host", "subtree")
-    each = parsed.select(key, "host", F.explode("subtrees").alias("subtree"))
-    mine = each.join(recurring, ["host", "subtree"]).groupBy(F.col(key).alias("_key")).agg(F.collect_set("subtree").alias("template"))
+    # subtrees recur on a tenth of a host's pages, so a host has ten times those of a page at most
+    if recurring.count() * 40 <= BROADCAST_BYTES:
+        known: dict[str, set[int]] = {}
+        for row in recurring.toLocalIterator():
+            known.setdefault(row["host"], set()).add(row["subtree"])
+        template = pages.sparkSession.sparkContext.broadcast(known)
+        joined = base.withColumn("template", F.lit(None).cast("array<long>"))
+    else:
+        template = None
+        each = parsed.select(key, "host", F.explode("subtrees").alias("subtree"))
+        mine = each.join(recurring, ["host", "subtree"]).groupBy(F.col(key).alias("_key"), F.col("host").alias("_host")).agg(F.collect_set("subtree").alias("template"))
+        joined = base.join(mine, F.col(key).eqNullSafe(F.col("_key")) & (F.col("host") == F.col("_host")), "left")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, html):
-                texts = [main_text(s, set(t or ())) for s, t in zip(part.column(html).to_pylist(), part.column("template").to_pylist(), strict=True)]
+                hosts, own = part.column("host").to_pylist(), part.column("template").to_pylist()
+                found = [template.value.get(h, set()) for h in hosts] if template else [set(t or ()) for t in own]
+                texts = [main_text(s, t) for s, t in zip(part.column(html).to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column(url), pa.array(texts, pa.string())], [key, url, "text"])
 
-    joined = base.join(mine, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, url, html, "template")
-    return joined.mapInArrow(take, f"`{key}` {kind}, `{url}` {url_kind}, text string")
+    return joined.select(key, url, html, "host", "template").mapInArrow(take, f"`{key}` {kind}, `{url}` {url_kind}, text string")

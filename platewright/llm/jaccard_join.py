@@ -54,13 +54,15 @@ REGION = 256
 PIVOTS, PER_PIVOT, LEVELS = 256, 64, 4
 #: Regions of a task: home sets for each pivot, sets that are compared without one.
 TASK_PER_PIVOT, LEAF = 16, 4
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
+#: Bytes of text that are made into sets at a time.
+SLICE = 2 << 20
 #: Shingles for each counter of the sketch, most bits of a counter's number (64 MB), counters of a row.
 PER_CELL, MOST_BITS, CHUNK_BITS = 8, 26, 14
 #: Rows of a batch that go to Python at once: sets are long.
 BATCH_ROWS = 1000
 #: Keys that a task remembers with their document.
-HELD_KEYS = 200_000
+HELD_KEYS = 50_000
 
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -110,8 +112,9 @@ def of_texts(words: int) -> Sets:
         shingle = Shingler(words)
 
         def parts(batch):
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 yield part, [shingle(t) for t in part.column("text").to_pylist()]
+            pa.default_memory_pool().release_unused()  # workers stay for the next stages
 
         return parts
 

@@ -6,7 +6,9 @@ in decreasing length, and a segment tree over remaining capacities finds the tig
 that still holds the piece, or opens a new one.
 
 Defined results: a null or empty text is its end token alone; every id lies in exactly one piece;
-equal texts may lie in different windows.  Ties in length go to the smaller (doc_id, start).
+equal texts may lie in different windows.  Ties in length go to the smaller (doc_id, start).  Rows that
+repeat an id, and rows without one, are documents of their own; an empty table gives none; columns but
+the id and the text are not looked at.  Long texts are tokenised whole.
 """
 
 from __future__ import annotations
@@ -189,10 +191,12 @@ def best_fit_decreasing(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.n
 def pack(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """Adds sequence_id and offset.  A full window is a sequence by itself; the rest go to hashed groups.
 
-    A group's sequences are numbered from the group's number times 2^32.
+    A group's sequences are numbered from the group's number times 2^32.  Groups are cut in order of
+    hash, so that a task that runs again packs as before.
     """
     names = pieces.columns
-    dealt = pieces.repartition(F.xxhash64(key, "start"))  # without a number, small groups are merged at run time
+    hashed = F.xxhash64(key, "start")
+    dealt = pieces.repartition(hashed).sortWithinPartitions(hashed, key, "start")  # without a number, small groups are merged at run time
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

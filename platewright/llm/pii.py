@@ -15,7 +15,8 @@ corpus); they alone reach the driver.
 Defined results: a null or empty text has no spans; offsets count code points, ends are exclusive;
 matches of a kind are leftmost and do not overlap; a match that fails its test (parts over 255,
 Luhn, number of digits) is dropped and its characters are not tried again.  Long runs of digits or
-letters are scanned once, without recursion.
+letters are scanned once, without recursion.  Repeated rows and null ids give results like others; an
+empty table gives none; columns named like a result are replaced by it.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ Vote patterns are counted over all documents (3 to the power of the labellers at
 scorer is fitted on a hashed sample of some FIT_ROWS documents, a parameter.
 
 Defined results: a null or empty text gets no votes, scores 0 and is rejected;
-repeated rows get equal scores; scores do not depend on the order of rows or on partitions.
+repeated rows get equal scores; scores do not depend on the order of rows or on partitions.  Null ids
+are scored like others, an empty table gives no rows; of columns that have a result's name only the
+result is returned.  Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -218,7 +220,9 @@ def scorer(df: DataFrame, key: str, column: str, fit_rows: int):
 
     grains = 1 << 20
     below = grains if total <= fit_rows else max(1, int(grains * fit_rows / total))
-    sample = df.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(grains)) < below).select(column).mapInArrow(features, "pattern int, i array<int>, v array<float>")
+    # rows that repeat an id and its text are in the sample once, so that no row can fill it
+    drawn = df.select(F.xxhash64(F.col(key), F.lit(17)).alias("_luck"), F.xxhash64(F.col(key), F.col(column)).alias("_row"), F.col(column)).where(F.pmod("_luck", F.lit(grains)) < below).dropDuplicates(["_row"])
+    sample = drawn.select(column).mapInArrow(features, "pattern int, i array<int>, v array<float>")
     got = sample.toArrow() if total else None  # some fit_rows rows
     rows = sorted(((np.array(i, int), np.array(v, float), posterior.get(p, 0.5)) for p, i, v in zip(*(got[c].to_pylist() for c in ("pattern", "i", "v")), strict=True)), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())) if total else []
     return df.sparkSession.sparkContext.broadcast(fit(rows))

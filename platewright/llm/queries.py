@@ -64,21 +64,20 @@ def _day(n: Column | int) -> Column:
 def blocklists(captures: DataFrame) -> DataFrame:
     """Dated list entries for the hosts of `captures`; the tables hold no lists, so a rule makes them."""
     hosts = captures.select(url_filter.host_of(F.col("url")).alias("h")).distinct().withColumn("x", _share(F.col("h"), 1)).withColumn("y", _share(F.col("h"), 5))
-    host = hosts.where("x % 3 = 0")
-    entry = lambda rows, name, kind, pattern, action, at: rows.select(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), _day(at).alias("at"))
     h, x, y = F.col("h"), F.col("x"), F.col("y")
-    parts = [
-        entry(host, "hosts", "host", h, "added", x % 200),
-        entry(host.where("x % 2 = 0"), "hosts", "host", h, "removed", x % 200 + 40 + y % 60),
-        entry(host.where("x % 4 = 0"), "hosts", "host", h, "added", x % 200 + 120),
-        entry(hosts.where("x % 5 = 0"), "sections", "prefix", F.concat(h, F.lit("/en/")), "added", y % 300),
-        entry(hosts.where("y % 4 = 0"), "domains", "domain", F.regexp_replace(h, r"^(?:www|m|blog)\.", ""), "added", y % 250),
-        entry(hosts.where("y % 8 = 0"), "domains", "domain", F.regexp_replace(h, r"^(?:www|m|blog)\.", ""), "removed", y % 250 + 50),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    bare = F.regexp_replace(h, r"^(?:www|m|blog)\.", "")
+
+    def entry(test: Column, name: str, kind: str, pattern: Column, action: str, at: Column) -> Column:
+        return F.when(test, F.struct(F.lit(name).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), _day(at).alias("at")))
+
+    entries = F.array_compact(F.array(
+        entry(x % 3 == 0, "hosts", "host", h, "added", x % 200),
+        entry(x % 6 == 0, "hosts", "host", h, "removed", x % 200 + 40 + y % 60),
+        entry(x % 12 == 0, "hosts", "host", h, "added", x % 200 + 120),
+        entry(x % 5 == 0, "sections", "prefix", F.concat(h, F.lit("/en/")), "added", y % 300),
+        entry(y % 4 == 0, "domains", "domain", bare, "added", y % 250),
+        entry(y % 8 == 0, "domains", "domain", bare, "removed", y % 250 + 50)))
+    return hosts.select(F.explode(entries).alias("e")).select("e.*").distinct()
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ character's span.
 
 Defined results: a null or empty text has no tokens; a document without sections counts all its
 tokens as outside; sections must not overlap (they may touch, be empty, or leave gaps), and an
-empty or null-bounded one gets no token.  Whole texts are encoded, rows are never dropped.
+empty or null-bounded one gets no token.  Whole texts are encoded, rows are never dropped; repeated
+rows and null ids are counted like others, an empty table gives no rows, and columns but the id,
+the text and the sections are not looked at.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platewright.llm._text import CHUNK, FIRST_LATER, Pieces, settled, slices
 
@@ -143,9 +147,12 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str
     return df.select(key, column, bounds("start"), bounds("end")).mapInArrow(apply, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, n_sections long, section_tokens array<long>, n_crossing long, n_outside long")
 
 
-def line_sections(text: Column) -> Column:
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
+def line_sections(text: pd.Series) -> pd.Series:
     """A section for each line of `text`, its line feed included."""
-    sizes = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.length(s) + 1)
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    grown = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), empty.alias("out")), lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + n).alias("end")))).alias("out")))
-    return grown["out"]
+
+    def sections(t: str | None) -> list[dict[str, int]]:
+        ends = np.cumsum([len(line) + 1 for line in (t or "").split("\n")]).tolist()
+        return [{"start": a, "end": b} for a, b in zip([0, *ends], ends, strict=False)]
+
+    return text.map(sections, na_action=None)

@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewright.llm._shared import small
+
 
 def intervals(entries: DataFrame) -> DataFrame:
     """Validity intervals (list, kind, pattern, starts, ends) of (list, kind, pattern, action, at)."""
@@ -55,6 +57,7 @@ def check(captures: DataFrame, entries: DataFrame, url: str = "url", fetched: st
     asked = captures.select(F.col(url).alias("_url"), F.col(fetched).alias("_at")).where(F.col(url).isNotNull() & F.col(fetched).isNotNull()).distinct()
     keyed = asked.select("_url", "_at", F.explode(keys_of(F.col("_url"))).alias("k")).select("_url", "_at", "k.kind", "k.pattern")
     active = (F.col("starts") <= F.col("_at")) & (F.col("ends").isNull() | (F.col("_at") < F.col("ends")))
-    hits = keyed.join(valid, ["kind", "pattern"]).where(active).groupBy("_url", "_at").agg(F.count("*").alias("n_hits"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
+    # intervals of a checked size go to the captures' keys, which then need no shuffle; larger lists meet them in one
+    hits = keyed.join(small(valid), ["kind", "pattern"]).where(active).groupBy("_url", "_at").agg(F.count("*").alias("n_hits"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"))
     joined = captures.join(hits, (F.col(url) == F.col("_url")) & (F.col(fetched) == F.col("_at")), "left").drop("_url", "_at")
     return joined.withColumn("n_hits", F.coalesce("n_hits", F.lit(0).cast("long"))).withColumn("lists", F.coalesce("lists", F.lit(""))).withColumn("blocked", F.col("n_hits") > 0)

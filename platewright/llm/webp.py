@@ -6,12 +6,15 @@ many images whose headers are equal in step, a pixel of each image at a time, an
 with transforms or an entropy image to `decode_webp`.
 
 `encode_many` writes payloads (multiples of 3 bytes) as RGB images with one fixed set of prefix
-codes, a colour cache, and back-references for runs of a pixel.  Stored bytes depend on the
-payload only, so equal texts give equal files.
+codes, a colour cache, and back-references for runs of a pixel.  Images that a transform may suit
+(few colours: palette; rows that repeat: predictor; grey pixels: cross-colour) are also written with
+it and with codes of their own, and the smallest file is stored.  Stored bytes depend on the payload
+only, so equal texts give equal files.
 
 Defined results: a null or empty text is one row of 64 blanks (192 bytes).  A payload that needs
 more than 16,384 rows becomes several images, one after another, each with its own file header.
-Texts are never cut short; repeated rows give repeated results.
+Texts are never cut short; repeated rows and null ids give results like others, an empty table gives
+none, and columns but the id and the text (or the media) are not looked at.
 """
 
 from __future__ import annotations
@@ -599,6 +602,143 @@ def encode_many(payloads: list[bytes], width: int = WIDTH) -> list[bytes]:
     return files
 
 
+# ---------------------------------------------------------------- writing with transforms
+
+#: Most colours of a palette, share of pixels like the one above, share of grey pixels that make a transform worth a try.
+FEW_COLOURS, REPEATED, GREY = 16, 0.6, 0.6
+TILE = 5
+
+
+class Bits(list):
+    """Bits of a stream, least first; linear in its length."""
+
+    def write(self, value: int, n: int) -> None:
+        if n:
+            self.append(format(int(value), f"0{int(n)}b")[::-1])
+
+    def symbol(self, s: int, lengths: np.ndarray, codes: np.ndarray) -> None:
+        if np.count_nonzero(lengths) > 1:
+            self.write(codes[s], lengths[s])
+
+    def data(self) -> bytes:
+        stream = "".join(self)
+        return int(stream[::-1] or "0", 2).to_bytes((len(stream) + 7) // 8, "little")
+
+
+def own_code(counts: np.ndarray) -> np.ndarray:
+    """Code lengths of an image's own symbols; none used is as the first one alone."""
+    out, used = np.zeros(len(counts), int), np.flatnonzero(counts)
+    out[used] = 1 if len(used) == 1 else code_lengths(counts[used]) if len(used) else 0
+    out[0] += not len(used)
+    return out
+
+
+def write_pixels(w: Bits, pixels: np.ndarray, main: bool) -> None:
+    """ARGB pixels with prefix codes of their own; runs of a pixel are back-references."""
+    w.write(0, 1)  # no cache
+    if main:
+        w.write(0, 1)  # one group of codes
+    starts = np.flatnonzero(np.append(True, pixels[1:] != pixels[:-1]))
+    tokens: list[tuple[int, int]] = []  # (pixel, length of the run behind it, or 0)
+    for at, n in zip(starts.tolist(), np.diff(np.append(starts, len(pixels))).tolist(), strict=True):
+        tokens.append((int(pixels[at]), 0))
+        n -= 1
+        while n >= MIN_RUN:
+            tokens.append((-1, min(n, MAX_COPY)))
+            n -= min(n, MAX_COPY)
+        tokens += [(int(pixels[at]), 0)] * n
+    parts = channels(np.array([p for p, n in tokens if not n], np.int64))
+    prefixes = [256 + value_prefix(n)[0] for _, n in tokens if n]
+    counts = [np.bincount(np.append(parts[:, 2], prefixes).astype(int), minlength=280), *(np.bincount(parts[:, k], minlength=256) for k in (1, 3, 0)), np.bincount([1] * bool(prefixes), minlength=40)]
+    lengths = [own_code(c) for c in counts]
+    codes = [canonical(x) for x in lengths]
+    for x in lengths:
+        write_code(w, x)
+    for p, n in tokens:
+        if n:
+            prefix, extra, m = value_prefix(n)
+            w.symbol(256 + prefix, lengths[0], codes[0])
+            w.write(extra, m)
+            w.symbol(1, lengths[4], codes[4])  # distance code 2: the pixel before
+        else:
+            for k, shift in ((0, 8), (1, 16), (2, 0), (3, 24)):
+                w.symbol((p >> shift) & 255, lengths[k], codes[k])
+
+
+def file_of(width: int, height: int, write) -> bytes:
+    w = Bits()
+    for v, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        w.write(v, n)
+    write(w)
+    data = w.data()
+    data += bytes(len(data) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
+def with_palette(pixels: np.ndarray, width: int) -> bytes:
+    palette, index = np.unique(pixels, return_inverse=True)
+    bundle = bundling(len(palette))
+    each, wide = 8 >> bundle, -(-width >> bundle)
+    held = np.zeros((len(pixels) // width, wide << bundle), np.int64)
+    held[:, :width] = index.reshape(-1, width)
+    packed = (held.reshape(len(held), wide, -1) << (each * np.arange(1 << bundle))).sum(2)
+
+    def write(w: Bits) -> None:
+        w.write(1, 1), w.write(3, 2), w.write(len(palette) - 1, 8)
+        write_pixels(w, joined(np.diff(channels(palette), axis=0, prepend=0)), False)
+        w.write(0, 1)
+        write_pixels(w, 0xFF << 24 | packed.reshape(-1) << 8, True)
+
+    return file_of(width, len(held), write)
+
+
+def with_tiles(pixels: np.ndarray, width: int, predict: bool, cross: bool) -> bytes:
+    """Pixels after the predictor (each tile by the pixel above or the one before) and the cross-colour transform (grey pixels keep one channel)."""
+    height = len(pixels) // width
+    across, down = -(-width >> TILE), -(-height >> TILE)
+    modes = np.full(across * down, 2)
+    if predict:
+        rows = pixels.reshape(height, width)
+        above, before = np.zeros((height, width)), np.zeros((height, width))
+        above[1:] = rows[1:] == rows[:-1]
+        before[:, 1:] = rows[:, 1:] == rows[:, :-1]
+        at = (np.arange(height) >> TILE)[:, None] * across + (np.arange(width) >> TILE)
+        better = np.bincount(at.reshape(-1), (before - above).reshape(-1), across * down) > 0
+        modes[better] = 1
+    factors = np.full(across * down, 32 << 8 | 32)  # from green to red and to blue: all of it
+
+    def write(w: Bits) -> None:
+        coded = pixels
+        if predict:
+            w.write(1, 1), w.write(0, 2), w.write(TILE - 2, 3)
+            write_pixels(w, 0xFF << 24 | modes << 8, False)
+            coded = add_predictions(coded, width, modes, TILE, -1)
+        if cross:
+            w.write(1, 1), w.write(1, 2), w.write(TILE - 2, 3)
+            write_pixels(w, 0xFF << 24 | factors, False)
+            coded = add_cross_colour(coded, width, factors, TILE, -1)
+        w.write(0, 1)
+        write_pixels(w, coded, True)
+
+    return file_of(width, height, write)
+
+
+def transformed(payload: bytes, width: int = WIDTH) -> list[bytes]:
+    """Files of an image with the transforms that may suit it."""
+    flat = np.frombuffer(payload, np.uint8).reshape(-1, 3).astype(np.int64)
+    pixels = 0xFF << 24 | flat[:, 0] << 16 | flat[:, 1] << 8 | flat[:, 2]
+    out = []
+    if len(np.unique(pixels[:4096])) <= FEW_COLOURS and len(np.unique(pixels)) <= FEW_COLOURS:
+        out.append(with_palette(pixels, width))
+    predict = len(pixels) > width and (pixels[width:] == pixels[:-width]).mean() >= REPEATED
+    cross = ((flat[:, 0] == flat[:, 1]) & (flat[:, 1] == flat[:, 2])).mean() >= GREY
+    if predict:
+        out.append(with_tiles(pixels, width, True, False))
+    if cross:
+        out.append(with_tiles(pixels, width, predict, True))
+    return out
+
+
 # ---------------------------------------------------------------- columns
 
 
@@ -624,7 +764,8 @@ def write_media(payloads: list[bytes], budget: int = 2 << 20) -> list[bytes]:
     for i, x in enumerate(images):
         total += len(x)
         if total >= budget or i + 1 == len(images):  # bounds the working arrays
-            done += encode_many(images[start : i + 1])
+            plain = encode_many(images[start : i + 1])
+            done += [min([f, *transformed(x)], key=len) for f, x in zip(plain, images[start : i + 1], strict=True)]
             start, total = i + 1, 0
     files = iter(done)
     return [b"".join(next(files) for _ in c) for c in cut]
