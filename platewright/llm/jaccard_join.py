@@ -12,7 +12,7 @@ other and from every pivot, so pivots cannot part them; a first exact step does:
    two are neighbours in both.  A common key gives an edge, and connected documents form a block.
    No link leaves its block.
 2. Copies.  Documents with equal sets become one.  Blocks of more than REGION sets are counted and
-   ordered once more, by themselves.
+   ordered once more, by themselves, with a counter for each of their shingles.
 3. Regions.  Pivots part a block into Voronoi regions.  A set is at home in its nearest pivot's
    region and is copied into the regions of lesser pivots that are no more than twice the linking
    distance farther: by the triangle inequality a linked pair then meets in the lesser of its two
@@ -57,8 +57,8 @@ TASK_PER_PIVOT, LEAF = 16, 4
 CACHE_ENTRIES = 100_000
 #: Bytes of text that are made into sets at a time.
 SLICE = 2 << 20
-#: Shingles for each counter of the sketch, most bits of a counter's number (64 MB), counters of a row.
-PER_CELL, MOST_BITS, CHUNK_BITS = 8, 26, 14
+#: Shingles for each counter of the first sketch and of a large block's own, most bits of a counter's number (64 MB), counters of a row.
+PER_CELL, BLOCK_PER_CELL, MOST_BITS, CHUNK_BITS = 8, 1, 26, 14
 #: Rows of a batch that go to Python at once: sets are long.
 BATCH_ROWS = 1000
 #: Keys that a task remembers with their document.
@@ -262,14 +262,14 @@ def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, b
     return rows.mapInArrow(keys, "part long, u long, v long").repartition("part").sortWithinPartitions("part").mapInArrow(edges, "u long, v long")
 
 
-def blocks_of(rows: DataFrame, make: Sets, shingles: Column, salt: int, percent: int) -> DataFrame:
+def blocks_of(rows: DataFrame, make: Sets, shingles: Column, salt: int, percent: int, per_cell: int = PER_CELL) -> DataFrame:
     """(block, u) of every document that may have a link; rows (block, u, text or set).
 
     The sketch grows with the number of shingles (an expression of the rows) up to MOST_BITS; beyond it
     orders less well, which costs time and loses nothing.
     """
     total = rows.agg(F.sum(shingles)).first()[0] or 0
-    bits = min(max(int(total // PER_CELL).bit_length(), CHUNK_BITS), MOST_BITS)
+    bits = min(max(int(total // per_cell).bit_length(), CHUNK_BITS), MOST_BITS)
     levels = shingle_levels(rows.drop("u", "id"), make, salt, bits)
     found = cc.components(candidate_edges(rows, make, levels, salt, bits, percent))
     levels.destroy()
@@ -520,7 +520,7 @@ def joined_groups(df: DataFrame, words: int = 5, percent: int = 80, key: str = "
             break
         if not counted:
             counted = True
-            finer = blocks_of(with_sets(large.select(F.col("region").alias("block"), "u")), of_sets(), F.size("set"), 2, percent)
+            finer = blocks_of(with_sets(large.select(F.col("region").alias("block"), "u")), of_sets(), F.size("set"), 2, percent, BLOCK_PER_CELL)
             regions = large.drop("region", "size", "homes").join(finer, "u").select(F.col("block").alias("region"), "u", "home", "far", "need")
             continue
         wide = large.where(F.col("homes") > 2 * PER_PIVOT)
