@@ -357,3 +357,145 @@ def nearest(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     d = lambda c: F.pow(c["L"] - F.col("L"), F.lit(2)) + F.pow(c["a"] - F.col("a"), F.lit(2)) + F.pow(c["b"] - F.col("b"), F.lit(2))
     least = F.array_min(F.transform("_pal", lambda c: F.struct(d(c).alias("d"), c["i"].alias("i"))))
     return pixels.join(F.broadcast(held), "page").withColumn("label", least["i"]).drop("_pal")
+
+
+# ---------------------------------------------------------------- composed operations
+
+
+def composed(plates: DataFrame, inks: DataFrame, substrate: tuple | None = None, n: float = 1.7, gain: float = 0.0) -> DataFrame:
+    """(page, x, y, L, a, b) of plates (page, x, y, ink, cov 0..255) printed with inks (ink, L, a, b, opacity, rank), opaque ones first, then by rank.
+
+    `gain` is dot gain at one half.  A pixel's inks are one array, so nothing but the pixel's own rows meet.
+    """
+    from platewright.functions import colour
+
+    cov = F.col("cov") / 255.0
+    grown = F.least(F.greatest(cov + gain * 4 * cov * (1 - cov), F.lit(0.0)), F.lit(1.0))
+    p = plates.join(F.broadcast(inks), "ink")  # a press has a dozen inks
+    ink = F.struct(F.when(F.col("opacity") >= 0.5, 0).otherwise(1).alias("o"), "rank", "ink", F.col("L").cast("double").alias("L"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), F.col("opacity").cast("double").alias("opacity"), grown.alias("cov"))
+    pixels = p.groupBy("page", "x", "y").agg(F.array_sort(F.collect_list(ink)).alias("_all"))
+    made = colour.with_mixture(pixels, "_all", substrate or colour.PAPER, n)
+    return made.select("page", "x", "y", F.col("mL").alias("L"), F.col("ma").alias("a"), F.col("mb_").alias("b"))
+
+
+def textured(pixels: DataFrame, amplitude: float, cell: int = 3, seed: int = 3) -> DataFrame:
+    """Adds `factor`, the fibre of a substrate: noise of a seed, the same within a cell, held in 0.85 to 1.1."""
+    draw = lambda salt: (F.pmod(F.xxhash64("page", F.floor(F.col("x") / cell), F.floor(F.col("y") / cell), F.lit(seed), F.lit(salt)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    normal = F.sqrt(-2 * F.log(draw(0))) * F.cos(2 * math.pi * draw(1))
+    return pixels.withColumn("factor", F.least(F.greatest(1 + amplitude * normal, F.lit(0.85)), F.lit(1.1)))
+
+
+def separated_flat(pixels: DataFrame, palette: DataFrame, least: int) -> DataFrame:
+    """Labels of pixels (page, x, y, L, a, b): the nearest palette colour, without islands, numbered without gaps."""
+    return compacted(without_islands(nearest(pixels, palette).select("page", "x", "y", "label"), least))
+
+
+def symmetrized(labels: DataFrame, ground: int, least: float = 0.97) -> DataFrame:
+    """Labels whose content mirrors itself almost: the right half is the left one's image, where the share is high enough."""
+    share = mirror_share(labels, ground)
+    box = labels.where(F.col("label") != ground).groupBy("page").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    near = box.join(share.where(F.col("vertical") >= least), "page").select("page", "x0", "x1")
+    d = labels.join(F.broadcast(near), "page", "left")  # a row a page
+    half = F.col("x0") + F.floor((F.col("x1") - F.col("x0") + 1) / 2)
+    right = F.col("x0").isNotNull() & F.col("x").between(F.col("x1") - (half - F.col("x0")) + 1, F.col("x1"))
+    source = d.select("page", F.col("x").alias("_sx"), "y", F.col("label").alias("_l"))
+    moved = d.withColumn("_sx", F.when(right, F.col("x0") + F.col("x1") - F.col("x")).otherwise(F.col("x")))
+    return moved.join(source, ["page", "_sx", "y"]).select("page", "x", "y", F.col("_l").alias("label"))
+
+
+def thickened(labels: DataFrame, width: int, ground: int) -> DataFrame:
+    """Details thinner than `width` grow by a pixel, over the ground only."""
+    thin = opening_loss(labels.where(F.col("label") != ground), width).join(labels, ["page", "x", "y"])
+    grown = thin.select("page", "label", "x", "y", _shifts(NEAR4)).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("label").alias("_l"))
+    over = labels.where(F.col("label") == ground).join(grown, ["page", "x", "y"]).groupBy("page", "x", "y").agg(F.min("_l").alias("_l"))
+    return labels.join(over, ["page", "x", "y"], "left").select("page", "x", "y", F.coalesce("_l", "label").alias("label"))
+
+
+def trapped(plates: DataFrame, decisions: DataFrame, rx: int, ry: int, solid: int = 128) -> DataFrame:
+    """Plates (page, ink, x, y, cov) with traps: an ink spreads under its neighbour by `decisions` (page, spread, under, fraction).
+
+    A spread pixel is where the other ink prints, within the trap's ellipse of the spreading ink's border
+    with it, and gets the greatest coverage of the spreading pixels in reach.
+    """
+    on = plates.where(F.col("cov") >= solid)
+    parts = []
+    for fraction in (1.0, 0.5):
+        some = decisions.where(F.col("fraction") == fraction)
+        kernel = ellipse(max(1, math.ceil(rx * fraction)) - 0.5, max(1, math.ceil(ry * fraction)) - 0.5)
+        spread = on.join(F.broadcast(some.select("page", F.col("spread").alias("ink"), "under")), ["page", "ink"])  # pairs of a page's inks
+        moved = spread.select("page", "ink", "under", "cov", "x", "y", _shifts(kernel)).select("page", "ink", "under", "cov", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
+        below = on.select("page", F.col("ink").alias("under"), "x", "y")
+        parts.append(moved.join(below, ["page", "under", "x", "y"]).groupBy("page", "ink", "x", "y").agg(F.max("cov").alias("cov")))
+    every = plates.select("page", "ink", "x", "y", "cov").unionByName(parts[0]).unionByName(parts[1])
+    return every.groupBy("page", "ink", "x", "y").agg(F.max("cov").alias("cov"))
+
+
+def choked(plates: DataFrame, white: str, rx: int, ry: int, solid: int = 128) -> DataFrame:
+    """The white plate drawn in by an ellipse, so that it does not look out under the colours."""
+    w = plates.where((F.col("ink") == white) & (F.col("cov") >= solid)).select("page", "x", "y")
+    kept = eroded(w, ellipse(rx - 0.5, ry - 0.5)).withColumn("ink", F.lit(white))
+    rest = plates.where(F.col("ink") != white)
+    return rest.unionByName(plates.join(kept, ["page", "ink", "x", "y"], "left_semi").select(*rest.columns))
+
+
+def gap_boxes(gaps: DataFrame, dpi: float, grow: int = 9, most: int = 40) -> DataFrame:
+    """(page, x, y, w, h, mm2) of gaps (page, x, y), grown together; the first `most` of a page, which is what a report shows."""
+    parts = components(dilated(gaps.select("page", "x", "y").distinct(), square(grow)))
+    boxes = component_boxes(parts)
+    own = gaps.select("page", "x", "y").distinct().join(pixels_of(parts), ["page", "x", "y"]).groupBy("page", "component").agg((F.count("*") * (25.4 / dpi) ** 2).alias("mm2"))
+    ranked = boxes.join(own, ["page", "component"]).withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("y", "x")))
+    return ranked.where(F.col("k") <= most).select("page", "x", "y", "w", "h", "mm2")
+
+
+def text_mask(spans: DataFrame, below_pt: float) -> DataFrame:
+    """Pixels (page, x, y) under spans (page, x, y, w, h, pt) that are too small to be trapped."""
+    upto = lambda at, size: F.explode(F.sequence(F.col(at), F.col(at) + F.col(size) - 1))
+    small = spans.where((F.col("pt") < below_pt) & (F.col("w") > 0) & (F.col("h") > 0))
+    return small.select("page", "y", "h", upto("x", "w").alias("px")).select("page", F.col("px").alias("x"), upto("y", "h").alias("y")).distinct()
+
+
+def structural_similarity(one: DataFrame, two: DataFrame, k: int = 7, range_: float = 255.0) -> DataFrame:
+    """(page, similarity): mean structural similarity of two rasters (page, x, y, value) over k by k windows; pages of different size have 0."""
+    both = one.join(two.withColumnRenamed("value", "other"), ["page", "x", "y"])
+    moved = both.select("page", "x", "y", "value", "other", _shifts(square(k))).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("value").cast("double").alias("p"), F.col("other").cast("double").alias("q"))
+    w = moved.groupBy("page", "x", "y").agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("q").alias("mq"), F.var_samp("p").alias("vp"), F.var_samp("q").alias("vq"), F.covar_samp("p", "q").alias("c")).where(F.col("n") == k * k)
+    c1, c2 = (0.01 * range_) ** 2, (0.03 * range_) ** 2
+    s = (2 * F.col("mp") * F.col("mq") + c1) * (2 * F.col("c") + c2) / ((F.col("mp") ** 2 + F.col("mq") ** 2 + c1) * (F.col("vp") + F.col("vq") + c2))
+    size = lambda df, name: df.groupBy("page").agg(F.struct(F.max("x"), F.max("y")).alias(name))
+    sizes = size(one, "_a").join(size(two, "_b"), "page", "full")
+    scored = w.groupBy("page").agg(F.avg(s).alias("s"))
+    return sizes.join(scored, "page", "left").select("page", F.when(F.col("_a") == F.col("_b"), F.coalesce("s", F.lit(1.0))).otherwise(0.0).alias("similarity"))
+
+
+def local_threshold(pixels: DataFrame, k: int = 15, weight: float = 0.2, range_: float = 128.0) -> DataFrame:
+    """Adds `on` by a threshold of mean and deviation of each pixel's k by k window."""
+    moved = pixels.select("page", "x", "y", "value", _shifts(square(k))).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "value")
+    w = moved.groupBy("page", "x", "y").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
+    return pixels.join(w, ["page", "x", "y"]).withColumn("on", F.col("value") > F.col("_m") * (1 + weight * (F.col("_s") / range_ - 1))).drop("_m", "_s")
+
+
+def text_colours(spans: DataFrame, tolerance: float) -> DataFrame:
+    """Spans (page, id, pt, and ink colours cr, cg, cb of the client, dr, dg, db of the design) whose colours differ, with de and severity.
+
+    Small text loses contrast when it is sampled again, so it may differ more.
+    """
+    from platewright.functions import colour
+
+    s = colour.with_lab_d65(colour.with_lab_d65(spans, "cr", "cg", "cb", "c"), "dr", "dg", "db", "d")
+    s = colour.with_delta_e2000(s, ("cL", "ca", "cb_"), ("dL", "da", "db_"))
+    allowed = tolerance * F.greatest(F.lit(1.0), 24.0 / F.greatest(F.col("pt"), F.lit(1.0)))
+    found = F.struct(F.round("de", 1).alias("de"), F.when(F.col("de") > 3 * tolerance, "high").otherwise("medium").alias("severity"))
+    # a filter would be moved below the steps of the formula, and their expressions into it
+    return s.select("page", "id", F.explode(F.filter(F.array(found), lambda _: F.col("de") > allowed)).alias("f")).select("page", "id", "f.*")
+
+
+def probed(plates: DataFrame, x: int, y: int, radius: int, width: int, height: int) -> DataFrame:
+    """(page, inks map of percentages, total, outside): a densitometer's window, clipped to the page."""
+    x0, x1, y0, y1 = max(0, x - radius), min(width, x + radius + 1), max(0, y - radius), min(height, y + radius + 1)
+    pages = plates.select("page").distinct()
+    if x1 <= x0 or y1 <= y0:
+        return pages.select("page", F.create_map().cast("map<string,double>").alias("inks"), F.lit(0.0).alias("total"), F.lit(True).alias("outside"))
+    n = (x1 - x0) * (y1 - y0)
+    inside = plates.where(F.col("x").between(x0, x1 - 1) & F.col("y").between(y0, y1 - 1)).groupBy("page", F.col("ink").cast("string").alias("ink")).agg(F.round(F.sum("cov") / n / 255 * 100, 1).alias("v"))
+    by = inside.groupBy("page").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ink", "v")))).alias("inks"), F.round(F.sum("v"), 1).alias("total"))  # a page's inks
+    return pages.join(by, "page", "left").select("page", F.coalesce("inks", F.create_map().cast("map<string,double>")).alias("inks"), F.coalesce("total", F.lit(0.0)).alias("total"), F.lit(False).alias("outside"))
