@@ -218,7 +218,9 @@ SPLIT_SQL = r"unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lamb
 @query(rf"select word, count(*) as n from (select lower(regexp_replace(w, '[^\p{{L}}\p{{N}}]', '', 'g')) as word from (select {SPLIT_SQL} as w from documents)) where word <> '' group by 1")
 def word_keys(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select(F.explode(text.words(F.col("text"))).alias("w")).groupBy(text.word_key(F.col("w")).alias("word")).agg(F.count("*").alias("n")).where("word <> ''")
+    # raw words are counted first, so that the key is made once for each
+    raw = d.select(F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    return raw.groupBy(text.word_key(F.col("w")).alias("word")).agg(F.sum("c").alias("n")).where("word <> ''")
 
 
 @query(f"select lang, count(*) as docs, sum(length(translate(text, '{text.ACCENTED}', '{text.PLAIN}')))::bigint as chars, count(*) filter (translate(text, '{text.ACCENTED}', '{text.PLAIN}') <> text) as accented from documents group by 1")
@@ -253,8 +255,8 @@ def unknown_words(spark, sf_dir):
     """Words of three letters or more that no good document has."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     word = F.lower(F.regexp_replace("w", r"[^\p{L}]", "")).alias("word")
-    each = d.select(F.col("quality").eqNullSafe(F.lit(1)).alias("good"), F.explode(text.words(F.col("text"))).alias("w")).select("good", word)
-    by = each.groupBy("word").agg(F.bool_or("good").alias("known"), F.count("*").alias("n"))
+    raw = d.select(F.col("quality").eqNullSafe(F.lit(1)).alias("good"), F.explode(text.words(F.col("text"))).alias("w")).groupBy("w").agg(F.bool_or("good").alias("good"), F.count("*").alias("c"))
+    by = raw.select("good", "c", word).groupBy("word").agg(F.bool_or("good").alias("known"), F.sum("c").alias("n"))
     return by.where("not known and length(word) >= 3").select("word", "n")
 
 
