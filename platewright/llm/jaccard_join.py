@@ -57,10 +57,10 @@ TASK_PER_PIVOT, LEAF = 16, 4
 CACHE_ENTRIES = 100_000
 #: Bytes of text that are made into sets at a time.
 SLICE = 2 << 20
-#: Shingles for each counter of the first sketch and of a large block's own, most bits of a counter's number (64 MB), counters of a row.
-PER_CELL, BLOCK_PER_CELL, MOST_BITS, CHUNK_BITS = 8, 1, 26, 14
+#: Shingles for each counter of the first sketch and of a large block's own, most bits of a counter's number (16 MB of levels), counters of a row.
+PER_CELL, BLOCK_PER_CELL, MOST_BITS, CHUNK_BITS = 8, 1, 24, 14
 #: Rows of a batch that go to Python at once: sets are long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Keys that a task remembers with their document.
 HELD_KEYS = 50_000
 
@@ -129,7 +129,11 @@ def of_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
 
 
 def of_sets() -> Sets:
-    return lambda: lambda batch: iter([(batch, of_lists(batch))])
+    def parts(batch):
+        yield batch, of_lists(batch)
+        pa.default_memory_pool().release_unused()
+
+    return lambda: parts
 
 
 # ---------------------------------------------------------------- counts and first shingles
@@ -154,11 +158,12 @@ def shingle_levels(rows: DataFrame, make: Sets, salt: int, bits: int) -> Broadca
     chunk_size = 1 << CHUNK_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = make(), np.zeros(1 << bits, np.uint32)
+        parts, held = make(), np.zeros(1 << bits, np.uint16)
         for batch in batches:
             for part, sets in parts(batch):
                 blocks = np.repeat(part.column("block").to_numpy().astype(np.uint64), [len(s) for s in sets])
-                np.add.at(held, cells(np.concatenate(sets), blocks, salt, bits), 1)
+                at, n = np.unique(cells(np.concatenate(sets), blocks, salt, bits), return_counts=True)
+                held[at] = np.minimum(held[at] + n, 65535)
         chunks = held.reshape(-1, chunk_size)
         for i in np.flatnonzero(chunks.any(axis=1)):
             thin = chunks[i].astype(np.uint8) if chunks[i].max() < 256 else chunks[i]
@@ -176,7 +181,7 @@ def shingle_levels(rows: DataFrame, make: Sets, salt: int, bits: int) -> Broadca
                 if at != chunk:
                     yield from done()
                     chunk, total = at, np.zeros(chunk_size, np.int64)
-                total += np.frombuffer(pa.decompress(counts, chunk_size * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint32)
+                total += np.frombuffer(pa.decompress(counts, chunk_size * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint16)
         yield from done()
 
     counted = rows.mapInArrow(count, "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
