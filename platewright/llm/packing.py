@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from platewright.llm._text import Numbers, Pieces, Ragged, rows_of, slices, solid_words
 
 WINDOW = 2048
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 300_000
+#: Bytes of text that are tokenised at a time.
+SLICE = 2 << 20
 # The tokeniser's own cut of words in small letters below U+0180: letters and numbers there are fixed values.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼-¾"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \\t-\\r\x85\xa0{LETTERS}{NUMBERS}]+|\\n")
@@ -119,7 +121,7 @@ def tokenize_and_cut(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
         tokens = None
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, SLICE):
                 tokens = tokens or WordTokens(serialized.value)
                 rows = []
                 keys = part.column(key)
