@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platewright.llm import ann, bpe, html_extract, jaccard_join, packing, pii, quality, token_counts, url_filter, webp
+from platewright.llm import alignment, ann, bpe, decontaminate, html_extract, jaccard_join, packing, pii, quality, source_audit, token_counts, url_filter, webp
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,6 +85,19 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.check(captures, blocklists(captures)).select("page_id", "url", F.col("fetched").cast("string").alias("fetched"), "n_hits", "lists", "blocked")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"), least=3, ranks=200)
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), words=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP9_SQL = """
 with good as (
   select vec_id, embedding::double[] as v,
@@ -142,5 +155,60 @@ select c.page_id, c.url, strftime(c.fetched, '%Y-%m-%d %H:%M:%S') as fetched, co
 from captures c left join hits h on c.page_id = h.page_id and c.url = h.url
 """
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_token_counts, op3_main_text, op4_packed_documents, op5_personal_data, op6_jaccard_components, op7_media_features, op8_quality, op9_nearest_vectors, op10_url_filter)}
-ORACLES = {"op9_nearest_vectors": OP9_SQL, "op10_url_filter": OP10_SQL}
+OP11_SQL = r"""
+with d as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+groups as (select distinct lang, source from d),
+found as (select rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term from found group by lang, term having count(distinct rid) >= 3),
+counts as (select lang, source, term, count(*) as c from found semi join kept using (lang, term) group by all),
+sizes as (select lang, count(*) as v from kept group by lang),
+sums as (select g.lang, g.source, coalesce(sum(c), 0) as n from groups g left join counts using (lang, source) group by all),
+shares as (
+  select k.lang, k.term, s.source, coalesce(c.c, 0) as c, 1 + (1000000000::hugeint * (coalesce(c.c, 0) + 1)::hugeint) // (s.n + z.v)::hugeint as p
+  from kept k join sizes z using (lang) join sums s using (lang) left join counts c on c.lang = k.lang and c.term = k.term and c.source = s.source),
+whole as (
+  select c.lang, c.term, 1 + (1000000000::hugeint * (sum(c.c) + 1)::hugeint) // (any_value(t.n) + any_value(z.v))::hugeint as q
+  from counts c join sizes z using (lang) join (select lang, sum(n) as n from sums group by lang) t using (lang) group by c.lang, c.term),
+pairs as (
+  select g.lang, g.source, 'pair' as part, h.source as item, coalesce(value, 0) as value
+  from groups g join groups h on h.lang = g.lang and h.source <> g.source
+  left join (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+             from shares a join shares b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all) x
+    on x.lang = g.lang and x.source = g.source and x.item = h.source),
+terms as (
+  select s.lang, s.source, 'term' as part, s.term as item, ((p - q) * (p - q)) // q as value
+  from shares s join whole w using (lang, term) where s.c > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as integer) as rank
+from ranked where part = 'pair' or rank <= 200
+"""
+
+OP12_SQL = r"""
+with d as (
+  select row_number() over () as rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents),
+b as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark),
+windows as (
+  select distinct item_id, least(10, len(w)) as k, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as words
+  from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) as t(i) where len(w) > 0),
+places as (
+  select rid, k, i, array_to_string(w[i:i + k - 1], ' ') as words
+  from d, (select distinct k from windows) s, unnest(range(1, len(w) - k + 2)) as t(i) where len(w) >= k),
+met as (select rid, p.k, i, item_id from places p join windows x on x.k = p.k and x.words = p.words),
+hits as (select rid, count(distinct i + j) as n_hit from (select distinct rid, k, i from met), unnest(range(0, k)) as t(j) group by rid),
+items as (select rid, count(distinct item_id) as n_items, array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as ids from met group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (rid) left join items using (rid)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_line_token_counts, op3_main_text, op4_packed_documents, op5_personal_data, op6_jaccard_components, op7_media_features, op8_quality, op9_nearest_vectors, op10_url_filter, op11_source_divergence, op12_decontamination, op13_token_alignment)}
+ORACLES = {"op9_nearest_vectors": OP9_SQL, "op10_url_filter": OP10_SQL, "op11_source_divergence": OP11_SQL, "op12_decontamination": OP12_SQL}

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platewright.llm import ann, bpe, html_extract, jaccard_join, packing, pii, quality, queries, token_counts, url_filter, webp
+from platewright.llm import alignment, ann, bpe, decontaminate, html_extract, jaccard_join, packing, pii, quality, queries, source_audit, token_counts, url_filter, webp
 
 LONG = "lang " * 1_800_000  # over the eight megabytes that a slice holds
 TEXTS = ["", None, "one line", "a\nb\n\nc ñandú 😀\n", "x" * 700, "word " * 400 + "\n" + "more words here\n" * 30, "same", "same"]
@@ -193,6 +193,9 @@ OPERATORS = {
     "quality": lambda df: quality.classify(df),
     "html": lambda df: html_extract.extract(df.select(F.col("doc_id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("text").alias("html"), "host", "content")),
     "urls": lambda df: url_filter.check(df.select("doc_id", F.col("text").alias("url"), F.lit(1).alias("fetched"), "lists", "kind"), df.sparkSession.createDataFrame([("l", "host", "a", "added", 1)], "list string, kind string, pattern string, action string, at int")),
+    "alignment": lambda df: alignment.align(df, P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")),
+    "decontamination": lambda df: decontaminate.find(df, df.select(F.col("doc_id").alias("item_id"), "text").where(F.col("doc_id") > 1)),
+    "audit": lambda df: source_audit.audit(df.select("text", F.col("doc_id").cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), "rank", "kind")).join(df.select(F.lit(1).alias("one")), F.lit(True), "right"),
     "vectors": lambda df: ann.nearest(df.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), "rank", "score"), F.col("vec_id") >= 0),
 }
 CLASHES = "host content lists kind rank score n_tokens spans base media quality keep component node u block set start length template _key _t k".split()
@@ -208,7 +211,7 @@ def test_edge_rows(spark, name):
     assert OPERATORS[name](df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["token_counts", "packing", "media", "redact", "quality"])
+@pytest.mark.parametrize("name", ["token_counts", "packing", "media", "redact", "quality", "alignment", "decontamination"])
 def test_very_long_text(spark, name):
     text = LONG[:2_000_000] if name == "redact" else LONG  # native: a row and its copies must fit into the test's small heap
     df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
