@@ -24,6 +24,7 @@ are not looked at, but for those named in `keep`, which give way to results of t
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -71,12 +72,22 @@ class Aligner:
         self.b_bytes = [piece_bytes(p) for p in pieces]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("a piece of B goes over a blank: its texts cannot be cut at blanks")
+        self.a_sizes, self.b_sizes = (np.fromiter(map(len, table), np.int64, len(table)) for table in (self.a_bytes, self.b_bytes))
+        # ids as text: within a group, and at the end of its A or B part
+        self.texts = [np.array([[b"%d%s" % (i, end) for i in range(len(table))] for end in ends], object) for table, ends in ((self.a_bytes, (b",", b"|")), (self.b_bytes, (b",", b";")))]
         self.clear()
 
     def clear(self) -> None:
         self.chunks, self.pairs, self.links, self.held = Numbers(), Numbers(), Ragged(np.int32), 0
-        self.figures: list[tuple[int, int, int]] = []  # tokens of A and B, groups; -1: bytes differ
-        self.groups: list[str] = []
+        self.figures = np.zeros((0, 3), np.int64)  # of each chunk: tokens of A and B, groups; -1: bytes differ
+        self.groups: list[bytes] = []  # each group with a semicolon behind it
+
+    def same(self, chunks: list[bytes], ids: list[list[int]], table: list[bytes]) -> list[bool] | None:
+        """Whether the tokens' bytes are each chunk's; None if all are."""
+        joined = lambda own: b"".join(map(table.__getitem__, own))
+        if joined(itertools.chain.from_iterable(ids)) == b"".join(chunks) and all(map(len, ids)):
+            return None
+        return [joined(own) == c for own, c in zip(ids, chunks, strict=True)]
 
     def learn(self, chunks: list[str]) -> None:
         """Tokenise and align new chunks; each begins with a blank, which B's tokenizer puts there itself."""
@@ -84,59 +95,62 @@ class Aligner:
         a_ids = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
         b_ids = self.b.encode([c[1:] for c in chunks], num_threads=1)
         raw = [c.encode() for c in chunks]
-        same = [b"".join([self.a_bytes[i] for i in a]) == r == b"".join([self.b_bytes[i] for i in b]) for a, b, r in zip(a_ids, b_ids, raw, strict=True)]
-        good = [k for k, s in enumerate(same) if s]
-        sizes = np.array([len(raw[k]) for k in good], np.int64)
-        labels = np.zeros(int(sizes.sum()), np.uint8)
-        for ids, table, bit in ((a_ids, self.a_bytes, 1), (b_ids, self.b_bytes, 2)):
-            ends = np.cumsum([len(table[i]) for k in good for i in ids[k]], dtype=np.int64)
-            labels[ends - 1] |= bit
-        scanned = LABELS[labels].tobytes()
-        spans, at, links, counts = SPAN.finditer(scanned), 0, [], []
-        ends = dict(zip(good, np.cumsum(sizes).tolist(), strict=True))
-        for k, (a, b) in enumerate(zip(a_ids, b_ids, strict=True)):
-            if k not in ends:
-                self.figures.append((-1, 0, 0))
-                self.groups.append("")
-                counts.append(0)
-                continue
-            i = j = 0
-            written_groups, first = [], len(links)
-            while at < ends[k]:
-                span = next(spans)
-                label, low, at = span[0], span.start(), span.end()
-                n, m = label.count(b"a") + 1, label.count(b"b") + 1
-                own, other = a[i : i + n], b[j : j + m]
-                if n == 1 or m == 1:
-                    links += [(x, y) for x in own for y in other]
-                else:
-                    x = y = 0
-                    links.append((own[0], other[0]))
-                    for c in scanned[low : at - 1]:
-                        if c != 110:
-                            x, y = (x + 1, y) if c == 97 else (x, y + 1)
-                            links.append((own[x], other[y]))
-                written_groups.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-                i, j = i + n, j + m
-            self.figures.append((len(a), len(b), len(written_groups)))
-            self.groups.append(";".join(written_groups))
-            counts.append(len(links) - first)
-        self.links.extend(np.array(counts, np.int64), self.pairs.of(links))
-
-    def __call__(self, texts: list[str | None]) -> tuple[list[list[int]], np.ndarray]:
-        """Numbers of the chunks of each text (none if its bytes differ) and the figures of all chunks."""
+        checks = [x for x in (self.same(raw, a_ids, self.a_bytes), self.same(raw, b_ids, self.b_bytes)) if x]
+        good = np.ones(len(chunks), bool)
+        for x in checks:
+            good &= np.array(x)
+        if checks:
+            a_ids, b_ids, raw = ([v for v, g in zip(values, good.tolist(), strict=True) if g] for values in (a_ids, b_ids, raw))
+        figures, links, groups = self._aligned(raw, a_ids, b_ids)
+        every = np.zeros((len(chunks), 3), np.int64)
+        every[:, 0] = -1
+        every[good] = figures
+        self.figures = np.concatenate([self.figures, every])
+        counts = np.where(good, every[:, 0] + every[:, 1] - every[:, 2], 0)  # a group of n and m tokens has n + m - 1 links
+        self.links.extend(counts, self.pairs.of(links.tolist()))
+        rest = iter(groups)
+        self.groups += [next(rest) if g else b"" for g in good.tolist()]
+
+    def _aligned(self, chunks: list[bytes], a_ids: list[list[int]], b_ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Figures of the chunks, codes of all links in order, and the chunks' groups as text."""
+        chunk_ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        labels = np.zeros(int(chunk_ends[-1]) if len(chunks) else 0, np.uint8)
+        flat, ends = [], []
+        for ids, sizes, bit in ((a_ids, self.a_sizes, 1), (b_ids, self.b_sizes, 2)):
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.int64))
+            ends.append(np.cumsum(sizes[flat[-1]]) - 1)
+            labels[ends[-1]] |= bit
+        spans = np.fromiter((m.end() for m in SPAN.finditer(LABELS[labels].tobytes())), np.int64) - 1
+        # the labels that end in a span are its tokens
+        counts = [np.diff(np.searchsorted(e, spans, "right"), prepend=0) for e in ends]
+        group = [np.repeat(np.arange(len(spans)), n) for n in counts]
+        before = [np.cumsum(n) - n for n in counts]
+        places = [np.arange(len(flat[0])) + before[1][group[0]], np.arange(len(flat[1])) + (before[0] + counts[0])[group[1]]]
+        text = np.empty(len(flat[0]) + len(flat[1]), object)
+        for k in range(2):
+            last = np.append(group[k][1:] != group[k][:-1], True)[: len(flat[k])].astype(np.int64)
+            text[places[k]] = self.texts[k][last, flat[k]]
+        n = [np.fromiter(map(len, ids), np.int64, len(chunks)) for ids in (a_ids, b_ids)]
+        upto, words = np.cumsum(n[0] + n[1]).tolist(), text.tolist()
+        groups = [b"".join(words[x:y]) for x, y in zip([0, *upto], upto, strict=False)]
+        # every end of a token closes a stretch of bytes that one token of A and one of B share
+        shared = np.flatnonzero(labels)
+        a_bit, b_bit = (labels[shared] & 1).astype(np.int64), (labels[shared] >> 1).astype(np.int64)
+        links = flat[0][np.cumsum(a_bit) - a_bit] << 32 | flat[1][np.cumsum(b_bit) - b_bit]
+        return np.stack([*n, np.diff(np.searchsorted(spans, chunk_ends), prepend=0)], 1), links, groups
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Numbers of the chunks of each text, none if its bytes differ."""
         if len(self.chunks) > CACHE_ENTRIES or self.held > CACHE_CHARACTERS or len(self.pairs) > 4 * HELD_PAIRS:
             self.clear()
-        numbers = [self.chunks.of(CUT.split(" " + t)).tolist() if t else [] for t in texts]
+        numbers = [self.chunks.of(CUT.split(" " + t) if t else []) for t in texts]
         fresh, self.chunks.new = self.chunks.new, []
         for at in range(0, len(fresh), 50_000):
             self.learn(fresh[at : at + 50_000])
         self.pairs.new = []
-        figures = np.array(self.figures, np.int64).reshape(-1, 3)
-        bad = set(np.flatnonzero(figures[:, 0] < 0).tolist())
-        if bad:
-            numbers = [[] if not bad.isdisjoint(n) else n for n in numbers]
-        return numbers, figures
+        if (self.figures[:, 0] < 0).any():
+            numbers = [n[:0] if (self.figures[n, 0] < 0).any() else n for n in numbers]
+        return numbers
 
 
 _FIGURES = ("n_a", "n_b", "n_groups", "n_links")
@@ -165,14 +179,13 @@ def _linked(docs: DataFrame, a_path: str, b_path: str, keep: list[str], column:
         for batch in batches:
             for part in slices(batch, column, 2 << 20):
                 aligner = aligner or Aligner(*models.value)
-                numbers, figures = aligner(part.column(column).to_pylist())
-                lengths = np.array([len(n) for n in numbers], np.int64)
-                flat = np.array([n for text in numbers for n in text], np.int64)
-                text = np.repeat(np.arange(len(numbers)), lengths)
-                sums = [np.bincount(text, figures[flat, k], len(numbers)).astype(np.int64) for k in range(3)]
+                numbers = aligner(part.column(column).to_pylist())
+                flat = np.concatenate(numbers).astype(np.int64)
+                text = np.repeat(np.arange(len(numbers)), [len(n) for n in numbers])
+                sums = [np.bincount(text, aligner.figures[flat, k], len(numbers)).astype(np.int64) for k in range(3)]
                 sizes, links = aligner.links.gather(flat)
                 owner = np.repeat(text, sizes)
-                codes = np.array([a << 32 | b for a, b in aligner.pairs], np.int64)
+                codes = np.fromiter(aligner.pairs, np.int64, len(aligner.pairs))
                 keys, times = np.unique(owner << 32 | links, return_counts=True)
                 owners, kinds_of = keys >> 32, keys & 0xFFFFFFFF
                 found, texts = np.unique(kinds_of, return_counts=True)
@@ -180,7 +193,7 @@ def _linked(docs: DataFrame, a_path: str, b_path: str, keep: list[str], column:
                     held[c] = held.get(c, 0) + n
                 ends = np.searchsorted(owners, np.arange(len(numbers) + 1)).tolist()
                 pair, times = codes[kinds_of], times.astype(np.uint32)
-                digest = [hashlib.sha256(";".join([aligner.groups[n] for n in own]).encode()).hexdigest() if own else "" for own in numbers]
+                digest = [hashlib.sha256(b"".join(map(aligner.groups.__getitem__, own.tolist()))[:-1]).hexdigest() if len(own) else "" for own in numbers]
                 columns = [pa.array([f"{partition}-{rows + i}" for i in range(len(numbers))]), *(pa.array(s) for s in sums), pa.array(np.bincount(owner, minlength=len(numbers)).astype(np.int64)), pa.array(digest)]
                 columns += [pa.array([pair[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary()), pa.array([times[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())]
                 rows += len(numbers)
