@@ -36,7 +36,7 @@ from platewright.llm._text import slices
 
 SHARES = 1_000_000_000
 #: Leaves, and counters, of a worker's tries before they are written out.
-TRIE_LEAVES, TRIE_COUNTERS = 200_000, 4_000_000
+TRIE_LEAVES, TRIE_COUNTERS = 400_000, 4_000_000
 #: Rows of an Arrow batch of leaves; counters of a block of terms in the traversal; sums of pairs held.
 LEAF_ROWS, BLOCK_CELLS, HELD_PAIRS = 20_000, 1 << 17, 1 << 21
 #: Bytes of terms stand, with capitals made small; all others are blanks.
@@ -153,7 +153,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers.clear()
 
     for batch in batches:
-        for part in slices(batch, "text", 4 << 20):
+        for part in slices(batch, "text", 8 << 20):
             documents: dict[str, Counter] = {}
             sources: dict[str, dict[int, Counter]] = {}
             texts = part.column("text").cast(pa.binary()).to_pylist()
