@@ -10,6 +10,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewright.operators import distance, windows
+
 NEAR4 = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 NEAR8 = [*NEAR4, (1, 1), (1, -1), (-1, 1), (-1, -1)]
 
@@ -111,10 +113,10 @@ def without_specks(mask: DataFrame, most: int = 4, side: int = 3) -> DataFrame:
 
 
 def tolerant_excess(design: DataFrame, client: DataFrame, k: int = 5) -> DataFrame:
-    """(page, x, y, excess): how far a client's pixel leaves the range of the design's k by k window."""
-    moved = design.select("page", "x", "y", "value", _shifts(square(k))).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "value")
-    around = moved.groupBy("page", "x", "y").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    return client.join(around, ["page", "x", "y"]).select("page", "x", "y", F.greatest(F.col("value") - F.col("high"), F.col("low") - F.col("value"), F.lit(0)).alias("excess"))
+    """(page, x, y, excess): how far a client's pixel leaves the range of the design's k by k window; client pixels without any design in reach have none."""
+    both = client.select("page", "x", "y", F.col("value").alias("_c")).join(design.select("page", "x", "y", "value"), ["page", "x", "y"], "full")
+    d = windows.extrema(both, k // 2, ["value"]).where("_c is not null and low_value is not null")
+    return d.select("page", "x", "y", F.greatest(F.col("_c") - F.col("high_value"), F.col("low_value") - F.col("_c"), F.lit(0)).alias("excess"))
 
 
 def best_channel(pixels: DataFrame) -> DataFrame:
@@ -269,20 +271,17 @@ def merged(labels: DataFrame, keep: int, gone: int) -> DataFrame:
     return compacted(labels.withColumn("label", F.when(F.col("label") == gone, keep).otherwise(F.col("label"))))
 
 
-def filled(labels: DataFrame, holes: DataFrame, rounds: int = 200) -> DataFrame:
-    """Labels (page, x, y, label) with pixels (page, x, y) of `holes` taken over by the nearest other label.
+def filled(labels: DataFrame, holes: DataFrame) -> DataFrame:
+    """Labels (page, x, y, label) with pixels (page, x, y) of `holes` taken over by the nearest other label, the least of equally near ones.
 
-    Rings grow from the rim; among neighbours of a ring the least label wins.
+    Every pixel comes back: on a page without other labels the holes keep theirs.
     """
-    known, open_ = labels.join(holes, ["page", "x", "y"], "left_anti").select("page", "x", "y", "label"), holes.select("page", "x", "y").distinct().checkpoint()
-    for _ in range(rounds):
-        around = known.select("page", "x", "y", "label", _shifts(NEAR8)).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "label")
-        ring = open_.join(around, ["page", "x", "y"]).groupBy("page", "x", "y").agg(F.min("label").alias("label")).checkpoint()
-        if not ring.take(1):
-            break
-        known = known.unionByName(ring).checkpoint()
-        open_ = open_.join(ring, ["page", "x", "y"], "left_anti").checkpoint()
-    return known
+    open_ = holes.select("page", "x", "y").distinct()
+    known = labels.select("page", "x", "y", "label").join(open_, ["page", "x", "y"], "left_anti")
+    own = labels.select("page", "x", "y", F.col("label").alias("_own")).join(open_, ["page", "x", "y"])
+    kind = {c: t for c, t in labels.dtypes}
+    near = distance.nearest_seeds(open_, known).select("page", F.col("x").cast(kind["x"]).alias("x"), F.col("y").cast(kind["y"]).alias("y"), "label")
+    return known.unionByName(own.join(near, ["page", "x", "y"]).select("page", "x", "y", F.coalesce("label", "_own").cast(kind["label"]).alias("label")))
 
 
 def without_islands(labels: DataFrame, least: int) -> DataFrame:
@@ -454,24 +453,33 @@ def text_mask(spans: DataFrame, below_pt: float) -> DataFrame:
     return small.select("page", "y", "h", upto("x", "w").alias("px")).select("page", F.col("px").alias("x"), upto("y", "h").alias("y")).distinct()
 
 
+def local_similarity(both: DataFrame, k: int = 7, range_: float = 255.0) -> DataFrame:
+    """(page, x, y, similarity) of whole k by k windows of two rasters (page, x, y, value, other) of whole numbers."""
+    p, q = F.col("value").cast("long"), F.col("other").cast("long")
+    w = windows.windowed(both.select("page", "x", "y", "value", "other"), k // 2, {"n": (F.lit(1), F.sum), "sp": (p, F.sum), "sq": (q, F.sum), "pp": (p * p, F.sum), "qq": (q * q, F.sum), "pq": (p * q, F.sum)}).where(F.col("n") == k * k)
+    n, c1, c2 = float(k * k), (0.01 * range_) ** 2, (0.03 * range_) ** 2
+    mp, mq = F.col("sp") / n, F.col("sq") / n
+    spread = lambda name, a, b: (F.col(name) - F.col(a) * F.col(b) / n) / (n - 1)
+    s = (2 * mp * mq + c1) * (2 * spread("pq", "sp", "sq") + c2) / ((mp * mp + mq * mq + c1) * (spread("pp", "sp", "sp") + spread("qq", "sq", "sq") + c2))
+    return w.select("page", "x", "y", s.alias("similarity"))
+
+
 def structural_similarity(one: DataFrame, two: DataFrame, k: int = 7, range_: float = 255.0) -> DataFrame:
     """(page, similarity): mean structural similarity of two rasters (page, x, y, value) over k by k windows; pages of different size have 0."""
     both = one.join(two.withColumnRenamed("value", "other"), ["page", "x", "y"])
-    moved = both.select("page", "x", "y", "value", "other", _shifts(square(k))).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), F.col("value").cast("double").alias("p"), F.col("other").cast("double").alias("q"))
-    w = moved.groupBy("page", "x", "y").agg(F.count("*").alias("n"), F.avg("p").alias("mp"), F.avg("q").alias("mq"), F.var_samp("p").alias("vp"), F.var_samp("q").alias("vq"), F.covar_samp("p", "q").alias("c")).where(F.col("n") == k * k)
-    c1, c2 = (0.01 * range_) ** 2, (0.03 * range_) ** 2
-    s = (2 * F.col("mp") * F.col("mq") + c1) * (2 * F.col("c") + c2) / ((F.col("mp") ** 2 + F.col("mq") ** 2 + c1) * (F.col("vp") + F.col("vq") + c2))
     size = lambda df, name: df.groupBy("page").agg(F.struct(F.max("x"), F.max("y")).alias(name))
     sizes = size(one, "_a").join(size(two, "_b"), "page", "full")
-    scored = w.groupBy("page").agg(F.avg(s).alias("s"))
+    scored = local_similarity(both, k, range_).groupBy("page").agg(F.avg("similarity").alias("s"))
     return sizes.join(scored, "page", "left").select("page", F.when(F.col("_a") == F.col("_b"), F.coalesce("s", F.lit(1.0))).otherwise(0.0).alias("similarity"))
 
 
 def local_threshold(pixels: DataFrame, k: int = 15, weight: float = 0.2, range_: float = 128.0) -> DataFrame:
-    """Adds `on` by a threshold of mean and deviation of each pixel's k by k window."""
-    moved = pixels.select("page", "x", "y", "value", _shifts(square(k))).select("page", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"), "value")
-    w = moved.groupBy("page", "x", "y").agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
-    return pixels.join(w, ["page", "x", "y"]).withColumn("on", F.col("value") > F.col("_m") * (1 + weight * (F.col("_s") / range_ - 1))).drop("_m", "_s")
+    """Adds `on` by a threshold of mean and deviation of each pixel's k by k window of whole numbers."""
+    v = F.col("value").cast("long")
+    w = windows.windowed(pixels, k // 2, {"_n": (F.lit(1), F.sum), "_s": (v, F.sum), "_q": (v * v, F.sum)})
+    mean = F.col("_s") / F.col("_n")
+    deviation = F.sqrt(F.greatest(F.col("_n") * F.col("_q") - F.col("_s") * F.col("_s"), F.lit(0))) / F.col("_n")
+    return w.withColumn("on", F.col("value") > mean * (1 + weight * (deviation / range_ - 1))).drop("_n", "_s", "_q")
 
 
 def text_colours(spans: DataFrame, tolerance: float) -> DataFrame:
