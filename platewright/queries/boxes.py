@@ -81,15 +81,15 @@ def global_stats(spark, sf_dir):
 
 
 @query("""
-with z as (select s_suppkey as id, s_nationkey::bigint as page, least(greatest(s_acctbal / 8000.0, 0), 1) as x, least(greatest((s_suppkey % 13) / 10.0, 0), 1) as y, s_suppkey % 7 / 5.0 as w0, (s_suppkey % 5 - 1) / 3.0 as h0, case s_suppkey % 4 when 0 then 'color' when 1 then 'text' when 2 then 'all' else 'odd' end as m from supplier)
-select id, round(x, 6) as x, round(y, 6) as y, round(least(greatest(w0, 0), 1 - x), 6) as w, round(least(greatest(h0, 0), 1 - y), 6) as h, case when m = 'odd' then 'all' else m end as mode from z
+with z as (select s_suppkey as id, s_nationkey::bigint as page, least(greatest(s_acctbal / 8000.0::double, 0), 1) as x, least(greatest((s_suppkey % 13) / 10.0::double, 0), 1) as y, s_suppkey % 7 / 5.0::double as w0, (s_suppkey % 5 - 1) / 3.0::double as h0, case s_suppkey % 4 when 0 then 'color' when 1 then 'text' when 2 then 'all' else 'odd' end as m from supplier)
+select id, x, y, least(greatest(w0, 0), 1 - x) as w, least(greatest(h0, 0), 1 - y) as h, case when m = 'odd' then 'all' else m end as mode from z
 """)
 def zones_clamped(spark, sf_dir):
     """Zones held in the unit square."""
     k = F.col("s_suppkey")
     mode = F.when(k % 4 == 0, "color").when(k % 4 == 1, "text").when(k % 4 == 2, "all").otherwise("odd")
     z = table(spark, sf_dir, "supplier").select(k.alias("id"), (F.col("s_acctbal") / 8000.0).alias("x"), ((k % 13) / F.lit(10.0)).alias("y"), (k % 7 / F.lit(5.0)).alias("w"), ((k % 5 - 1) / F.lit(3.0)).alias("h"), mode.alias("mode"))
-    return zones.clamped(z).select("id", *(F.round(c, 6).alias(c) for c in "xywh"), "mode")
+    return zones.clamped(z).select("id", *"xywh", "mode")
 
 
 @query(f"""with {BOXES_SQL}, z as (select page, id as zid, x, y, w, h, case when cat = 'A' then 'all' when cat = 'N' then 'color' else 'text' end as mode from boxes where side = 'O'),
