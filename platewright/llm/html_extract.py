@@ -7,7 +7,8 @@ class (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styl
 whether or not they recur.  Of the rest the article is taken: the content of the outermost
 `article` or `main` elements, or the whole body of a page that has none.  Names, roles and forms only
 assist: where they would leave no article, elements around one stay, and an article keeps its own
-headings whatever their element is called.
+headings whatever their element is called.  Inside an article a name counts only as a whole: a block
+`share-price` is the article's own unless the counts say that it recurs on the host.
 
 Paragraphs, headings and inline elements inside an article are never counted as template: pages
 may quote or repeat each other.  Pages of a host with equal text but for furniture are copies and
@@ -16,7 +17,8 @@ MIN_PAGES of these pages and on MIN_SHARE of them.
 
 Defined results: null or empty html gives an empty text; a null or unreadable url is a host of its
 own (the empty one); unclosed and misplaced tags are repaired as browsers do for paragraphs and
-lists; repeated rows give repeated results and count as one page; a page_id on several pages is no
+lists; a tag that is never closed is text, and a stray quote opens nothing; pages of any length are
+taken whole; repeated rows give repeated results and count as one page; a page_id on several pages is no
 page by itself: each row is judged by its own html and host.  An empty table gives no rows; columns
 but the id, the url and the html are not looked at.
 """
@@ -33,13 +35,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platewright.llm._shared import BROADCAST_BYTES, written
+from platewright.llm._shared import BROADCAST_BYTES, removed, written
 from platewright.llm._text import slices
 
 MIN_PAGES, MIN_SHARE = 5, 0.1
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
+#: Attributes as a browser's tokeniser takes them: a quote opens a value only right behind the equals sign and if it is closed again.
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_ATTRIBUTES = rf"(?:[\s/]++|=?[^\s/>=]++(?:{_VALUE})?+|=)*+"
+#: Comments, marked sections, declarations and tags; a tag that never ends is text.
+MARKUP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*+)(?P<rest>{_ATTRIBUTES})>", re.S)
+ATTRIBUTE = re.compile(r"""(=?[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -66,6 +72,21 @@ class Element:
 
 #: Names that an article's own heading may have too.
 HEADINGS = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner|nav\w*)(?:$|[-_\s])", re.I)
+#: Words beside a name that leave it furniture; with any other word (share-price) a block inside an article is its own.
+BESIDE = set("area bar block blocks body box button buttons container content count form group holder icon icons inner item items link links list main outer panel post posts row section slot stories thread title tools top bottom unit wrap wrapper zone".split())
+
+
+def named(name: str) -> bool:
+    """Whether a class or id inside an article names furniture as a whole: all its parts are such names or words beside them."""
+    for token in name.split():
+        rest = HEADINGS.sub(" ", HEADINGS.sub(" ", token))
+        parts = [p for p in re.split(r"[-_\s]+", rest.lower()) if p]
+        known = [bool(NAMES.search(p)) for p in parts]
+        if any(known) and all(k or p in BESIDE for k, p in zip(known, parts, strict=True)):
+            return True
+        if rest == token and NAMES.fullmatch(token):
+            return True
+    return False
 
 
 def furniture(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool, bool]:
@@ -81,8 +102,8 @@ def furniture(tag: str, attributes: dict[str, str], in_main: bool) -> tuple[bool
     if "class" not in attributes and "id" not in attributes:
         return False, False
     name = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-    found = NAMES.search(HEADINGS.sub(" ", HEADINGS.sub(" ", name)) if in_main else name)
-    return bool(found), bool(found)
+    found = named(name) if in_main else bool(NAMES.search(name))
+    return found, found
 
 
 def parse(source: str) -> Element:
@@ -268,7 +289,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 yield pa.RecordBatch.from_arrays([part.column(key), part.column("host"), pa.array(content, pa.binary()), pa.array(found, pa.list_(pa.int64()))], [key, "host", "content", "subtrees"])
 
     # read three times: pages are parsed once for it
-    parsed, _ = written(base.select(key, "host", html).mapInArrow(seen, f"`{key}` {kind}, host string, content binary, subtrees array<long>"), "subtrees")
+    parsed, path = written(base.select(key, "host", html).mapInArrow(seen, f"`{key}` {kind}, host string, content binary, subtrees array<long>"), "subtrees")
     counted = parsed.groupBy("host", "content").agg(F.min("subtrees").alias("subtrees")).select("host", F.explode("subtrees").alias("subtree")).groupBy("host", "subtree").agg(F.count("*").alias("on")).where(F.col("on") >= min_pages)
     sizes = parsed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("size"))
     recurring = counted.join(sizes, "host").where(F.col("on") >= min_share * F.col("size")).select("host", "subtree")
@@ -277,6 +298,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         known: dict[str, set[int]] = {}
         for row in recurring.toLocalIterator():
             known.setdefault(row["host"], set()).add(row["subtree"])
+        removed(pages.sparkSession, path)
         template = pages.sparkSession.sparkContext.broadcast(known)
         joined = base.withColumn("template", F.lit(None).cast("array<long>"))
     else:
