@@ -61,6 +61,84 @@ def fitted_circles(points: DataFrame, keys: tuple[str, ...] = ("chain",)) -> Dat
     return c.join(away, list(keys))
 
 
+def fitted_ellipses(points: DataFrame, keys: tuple[str, ...] = ("chain",), least: int = 12, shortest: float = 2.0) -> DataFrame:
+    """(keys, cx, cy, a, b, angle, error): ellipses through chains of `least` points or more, a >= b, the angle in radians of the long axis.
+
+    The conic of least squares that is an ellipse comes from the sums of products of a chain's points, six
+    by six, in one aggregation; the constrained eigenproblem of each chain is three by three.  Chains
+    that lie on no ellipse, lines above all, and ellipses with an axis below `shortest` have no row.
+    `error` is the greatest distance of a point from the ellipse.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    size = points.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("_s"), F.count("*").alias("_n")).where(F.col("_n") >= least)
+    d = points.join(size, list(keys)).withColumns({"_u": (F.col("x") - F.col("_mx")) / F.col("_s"), "_v": (F.col("y") - F.col("_my")) / F.col("_s")})
+    powers = {f"_{i}{j}": (i, j) for i in range(5) for j in range(5 - i)}
+    power = lambda c, n: F.lit(1.0) if n == 0 else _product((c,) * n)
+    sums = d.groupBy(*keys, "_mx", "_my", "_s").agg(*(F.sum(power("_u", i) * power("_v", j)).alias(name) for name, (i, j) in powers.items()))
+    square, line = [(2, 0), (1, 1), (0, 2)], [(1, 0), (0, 1), (0, 0)]
+    kinds = ", ".join(f"`{k}` {dict(points.dtypes)[k]}" for k in keys)
+
+    def solved(batches):
+        for batch in batches:
+            table = {name: batch.column(name).to_numpy() for name in powers}
+            moment = lambda one, two: np.stack([np.stack([table[f"_{a + c}{b + e}"] for c, e in two], -1) for a, b in one], -2)  # noqa: E731, B023
+            s1, s2, s3 = moment(square, square), moment(square, line), moment(line, line)
+            found = []
+            for k in range(batch.num_rows):
+                if np.linalg.cond(s3[k]) > 1e10:
+                    continue
+                back = -np.linalg.solve(s3[k], s2[k].T)
+                m = s1[k] + s2[k] @ back
+                values, vectors = np.linalg.eig(np.array([m[2] / 2, -m[1], m[0] / 2]))
+                vectors = vectors.real
+                bent = 4 * vectors[0] * vectors[2] - vectors[1] ** 2
+                good = np.flatnonzero((bent > 1e-9) & (abs(values.imag) < 1e-9))
+                if not len(good):
+                    continue
+                a, b, c = one = vectors[:, good[values.real[good].argmin()]]
+                e, f, g = back @ one
+                cx, cy = np.linalg.solve([[2 * a, b], [b, 2 * c]], [-e, -f])
+                level = -(g + (e * cx + f * cy) / 2)
+                axes, turned = np.linalg.eigh([[a, b / 2], [b / 2, c]])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    radii = np.sqrt(level / axes)
+                if not np.isfinite(radii).all():
+                    continue
+                long = int(radii.argmax())
+                found.append((k, cx, cy, radii[long], radii[1 - long], np.arctan2(turned[1, long], turned[0, long]) % np.pi))
+            rows = [f[0] for f in found]
+            scale, mx, my = (batch.column(c).to_numpy()[rows] for c in ("_s", "_mx", "_my"))
+            cx, cy, a, b, angle = np.array([f[1:] for f in found]).reshape(-1, 5).T
+            columns = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (cx * scale + mx, cy * scale + my, a * scale, b * scale, angle))], [*keys, "cx", "cy", "a", "b", "angle"])
+
+    made = sums.mapInArrow(solved, f"{kinds}, cx double, cy double, a double, b double, angle double").where(F.col("b") >= shortest)
+    away = points.join(made, list(keys)).groupBy(*keys, "cx", "cy", "a", "b", "angle").agg(F.max(ellipse_distance(F.col("x"), F.col("y"))).alias("error"))
+    return away.select(*keys, "cx", "cy", "a", "b", "angle", "error")
+
+
+def ellipse_distance(x: Column, y: Column, steps: int = 6) -> Column:
+    """Distance of a point from the ellipse of the columns cx, cy, a, b, angle, by steps along the circle of curvature."""
+    dx, dy = x - F.col("cx"), y - F.col("cy")
+    u, v = F.abs(dx * F.cos("angle") + dy * F.sin("angle")), F.abs(dy * F.cos("angle") - dx * F.sin("angle"))
+    a, b = F.col("a"), F.col("b")
+
+    def step(t: Column) -> Column:
+        px, py = a * t["c"], b * t["s"]
+        ex, ey = (a * a - b * b) * F.pow(t["c"], F.lit(3)) / a, (b * b - a * a) * F.pow(t["s"], F.lit(3)) / b
+        rx, ry, qx, qy = px - ex, py - ey, u - ex, v - ey
+        share = F.hypot(rx, ry) / F.greatest(F.hypot(qx, qy), F.lit(1e-12))
+        c, s = (F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)) for z in ((qx * share + ex) / a, (qy * share + ey) / b))
+        n = F.greatest(F.hypot(c, s), F.lit(1e-12))
+        return F.struct((c / n).alias("c"), (s / n).alias("s"))
+
+    start = F.struct(F.lit(math.sqrt(0.5)).alias("c"), F.lit(math.sqrt(0.5)).alias("s"))
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda t, _: step(t))
+    return F.hypot(u - a * at["c"], v - b * at["s"])
+
+
 def _product(names: tuple[str, ...]) -> Column:
     out = F.col(names[0])
     for n in names[1:]:
