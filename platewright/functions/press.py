@@ -38,7 +38,7 @@ def resolved(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     the process; then the job's own tolerance.  A named profile that does not exist is a `problem`.
     """
     known = profiles.select(F.col("id").alias("profile"), F.col("process").alias("_process"), F.col("tolerance").alias("_tolerance"), F.col("factor").alias("_factor"))
-    joined = jobs.join(F.broadcast(known), "profile", "left")  # a dimension of a shop's presses
+    joined = jobs.join(known, "profile", "left")
     table = F.create_map(*(F.lit(x) for kv in DEFAULT_TOLERANCE.items() for x in kv))
     process = F.when(F.col("profile").isNotNull(), F.col("_process")).otherwise(F.coalesce("process", F.lit("serigrafia")))
     default = F.array(F.coalesce(F.try_element_at(table, process), F.lit(0.2)))

@@ -114,19 +114,47 @@ def quantised(pixels: DataFrame) -> DataFrame:
     return pixels.withColumn("code", F.shiftleft(five("r"), 10) + F.shiftleft(five("g"), 5) + five("b"))
 
 
+def nearest_samples(wanted: DataFrame, mixed: DataFrame, top: int, cell: float = 4.0) -> DataFrame:
+    """(code, t, d, k): the `top` samples (t, mL, ma, mb_) nearest to each colour (code, L, a, b_), by distance and t.
+
+    Samples lie in cells; a colour looks at its own and the 26 around it, which hold every sample within
+    a cell's side.  Colours that have not found `top` within that go on with cells of twice the side.
+    """
+    axes = (("L", "mL"), ("a", "ma"), ("b_", "mb_"))
+    size, open_, done = float(cell), wanted.checkpoint(), None
+    mixed = mixed.checkpoint()
+    while True:
+        place = lambda c: F.floor(F.col(c) / size).cast("int")  # noqa: E731, B023
+        cells = mixed.withColumns({f"_{k}": place(m) for k, (_, m) in enumerate(axes)})
+        steps = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+        asked = open_
+        for k, (c, _) in enumerate(axes):
+            asked = asked.withColumn("_s", steps).withColumn(f"_{k}", place(c) + F.col("_s")).drop("_s")
+        d = F.sqrt(sum((F.pow(F.col(c) - F.col(m), F.lit(2)) for c, m in axes[1:]), F.pow(F.col("L") - F.col("mL"), F.lit(2))))
+        near = asked.join(cells, ["_0", "_1", "_2"]).select("code", "t", d.alias("d"))
+        found = near.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("d", "t"))).where(F.col("k") <= top).checkpoint()
+        last = size > 1024  # no two colours are that far from each other
+        whole = found.groupBy("code").agg(F.count_if(F.lit(last) | (F.col("d") <= size)).alias("n")).where((F.col("n") >= top) | F.lit(last)).select("code")
+        kept = found.join(whole, "code", "left_semi")
+        done = kept if done is None else done.unionByName(kept)
+        open_ = open_.join(whole, "code", "left_anti").checkpoint()
+        if last or not open_.take(1):
+            return done
+        size *= 2
+
+
 def separated(pixels: DataFrame, inks: list[tuple[str, float, float, float]], samples: DataFrame, cost: float = 4.0, top: int = 24) -> DataFrame:
     """Pixels (page, x, y, r, g, b) with coverages `t` of inks: the mixture of samples (id, t) near their colour that takes least ink.
 
-    Distinct colours (at most 32,768) meet the samples, which are a fixed number, and not the pixels.
+    Distinct colours (at most 32,768) look for samples in the cells around them.
     """
     at = F.array(*(F.struct(F.lit(float(L)).alias("L"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(0.0).alias("opacity"), F.element_at("t", i + 1).alias("cov")) for i, (_, L, a, b) in enumerate(inks)))
     mixed = colour.with_mixture(samples.withColumn("_inks", at), "_inks").select("t", "mL", "ma", "mb_")
     coded = quantised(pixels)
     middle = lambda shift: (F.pmod(F.shiftright("code", shift), F.lit(32)) * 8 + 4)
     wanted = colour.with_lab(coded.select("code").distinct().withColumns({"_r": middle(10), "_g": middle(5), "_b": middle(0)}), "_r", "_g", "_b").select("code", "L", "a", "b_")
-    near = wanted.join(F.broadcast(mixed)).withColumn("d", F.sqrt(F.pow(F.col("L") - F.col("mL"), F.lit(2)) + F.pow(F.col("a") - F.col("ma"), F.lit(2)) + F.pow(F.col("b_") - F.col("mb_"), F.lit(2))))
     ink = F.aggregate("t", F.lit(0.0), lambda s, v: s + v)
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("code").orderBy("d", "t"))).where(F.col("k") <= top)
+    ranked = nearest_samples(wanted, mixed, top)
     best = ranked.groupBy("code").agg(F.min_by(F.struct("t", "d"), F.struct(F.col("d") + cost * ink * 0.5, F.col("k"))).alias("m"))
     return coded.join(best, "code").select("page", "x", "y", "m.t", F.col("m.d").alias("de"))
 
@@ -137,9 +165,8 @@ def evaluated(scores: DataFrame) -> DataFrame:
 
 
 def holdout(samples: DataFrame, every: int = 3) -> DataFrame:
-    """Samples (case, ...) with `held` for every third case in order of name."""
-    cases = samples.select("case").distinct().withColumn("_k", F.dense_rank().over(Window.orderBy("case")))
-    return samples.join(cases, "case").withColumn("held", F.col("_k") % every == 0).drop("_k")
+    """Samples (case, ...) with `held` for one in `every` cases, by a hash of the case: a case is wholly held or not."""
+    return samples.withColumn("held", F.pmod(F.xxhash64("case"), F.lit(every)) == 0)
 
 
 def adopted(scores: DataFrame, current: str, relative: float = 0.05, absolute: float = 0.003) -> DataFrame:

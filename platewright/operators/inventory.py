@@ -91,7 +91,7 @@ def rename_map(inks: DataFrame) -> DataFrame:
 def renamed(definitions: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Definitions (file, name, ...) with the names of a mapping (old, new) by normalised name, and changes by file."""
     m = mapping.select(normalized(F.col("old")).alias("_k"), F.col("new").alias("_new")).groupBy("_k").agg(F.min("_new").alias("_new"))
-    joined = definitions.withColumn("_k", normalized(F.col("name"))).join(F.broadcast(m), "_k", "left")  # a hand-made list
+    joined = definitions.withColumn("_k", normalized(F.col("name"))).join(m, "_k", "left")
     out = joined.withColumn("_changed", F.coalesce(F.col("_new") != F.col("name"), F.lit(False))).withColumn("name", F.coalesce("_new", "name"))
     return out.drop("_k", "_new", "_changed"), out.groupBy("file").agg(F.count_if("_changed").alias("changed"))
 
@@ -111,7 +111,7 @@ def to_process(objects: DataFrame, values: DataFrame) -> DataFrame:
     A linear tint, the usual function of a spot ink; `converted` tells.
     """
     v = values.select(normalized(F.col("name")).alias("_k"), *(F.col(i).alias(f"_{i}_") for i in "cmyk"))
-    joined = objects.withColumn("_k", normalized(F.col("name"))).join(F.broadcast(v), "_k", "left")  # a hand-made list
+    joined = objects.withColumn("_k", normalized(F.col("name"))).join(v, "_k", "left")
     held = {i: F.when(F.col(f"_{i}_").isNotNull(), F.least(F.greatest(F.col(f"_{i}_") * F.col("tint"), F.lit(0.0)), F.lit(1.0))) for i in "cmyk"}
     return joined.withColumns(held | {"converted": F.col("_c_").isNotNull()}).drop("_k", *(f"_{i}_" for i in "cmyk"))
 
@@ -192,6 +192,6 @@ def spots_merged(items: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataF
     m = mapping.select(normalized(F.col("old")).alias("_k"), F.col("new").alias("_new")).groupBy("_k").agg(F.min("_new").alias("_new"))
     out = items
     for side in ("fill_spot", "stroke_spot"):
-        out = out.withColumn("_k", normalized(F.col(side))).join(F.broadcast(m), "_k", "left").withColumn(f"_c_{side}", F.coalesce(F.col("_new") != F.col(side), F.lit(False))).withColumn(side, F.coalesce("_new", side)).drop("_k", "_new")
+        out = out.withColumn("_k", normalized(F.col(side))).join(m, "_k", "left").withColumn(f"_c_{side}", F.coalesce(F.col("_new") != F.col(side), F.lit(False))).withColumn(side, F.coalesce("_new", side)).drop("_k", "_new")
     changes = out.groupBy("file").agg(F.sum(F.col("_c_fill_spot").cast("int") + F.col("_c_stroke_spot").cast("int")).alias("objects"))
     return out.drop("_c_fill_spot", "_c_stroke_spot"), changes

@@ -1,16 +1,20 @@
 """Detected against expected boxes: compatibility, optimal assignment, counts, revisions and pages.
 
-Candidate pairs come from the bucketed range join; only a page's candidates meet in one task, for the
-assignment.  Counts and scores are relational.
+Candidate pairs come from the bucketed range join; only a page's competing candidates meet in one task, for
+the assignment, which works part by part.  Counts and scores are relational.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewright.operators import rules, spatial
+from platewright.operators.lines import along
 
 # Categories; colour and visual may be taken for each other; weights of the five scores.
 CATEGORIES = ["text", "spelling", "color", "visual", "font"]
@@ -27,53 +31,86 @@ def candidates(found: DataFrame, expected: DataFrame, least: float = 0.3) -> Dat
     return pairs.where((spatial.iou("l", "r") >= least) | spatial.centre_in("l", "r") | spatial.centre_in("r", "l")).withColumn("iou", spatial.iou("l", "r"))
 
 
-def best_assignment(cost: list[list[float]]) -> list[int]:
-    """Column of each row of least total cost, rows not more than columns: shortest augmenting paths with potentials."""
-    n, m = len(cost), len(cost[0])
-    u, v, owner = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        owner[0], at, way, low, seen = i, 0, [0] * (m + 1), [float("inf")] * (m + 1), [False] * (m + 1)
-        while owner[at]:
-            seen[at] = True
-            row, step, following = owner[at], float("inf"), 0
-            for j in range(1, m + 1):
-                if not seen[j]:
-                    slack = cost[row - 1][j - 1] - u[row] - v[j]
-                    if slack < low[j]:
-                        low[j], way[j] = slack, at
-                    if low[j] < step:
-                        step, following = low[j], j
-            for j in range(m + 1):
-                if seen[j]:
-                    u[owner[j]] += step
-                    v[j] -= step
-                else:
-                    low[j] -= step
-            at = following
-        while at:
-            owner[at] = owner[way[at]]
-            at = way[at]
-    return [next(j - 1 for j in range(1, m + 1) if owner[j] == i) for i in range(1, n + 1)]
+def best_pairs(edges: list[tuple[int, int, float]], rows: int, columns: int) -> list[int]:
+    """Edges (row, column, score) of greatest total score, each row and column used once at most, by number.
+
+    Shortest augmenting paths over the edges that there are; every row may also stay alone at no cost.
+    """
+    out: list[list[tuple[int, float, int]]] = [[] for _ in range(rows)]
+    for k, (i, j, score) in enumerate(edges):
+        out[i].append((j, -score, k))
+    for i in range(rows):
+        out[i].append((columns + i, 0.0, -1))
+    owner: dict[int, int] = {}
+    mate, used = [-1] * rows, [-1] * rows
+    u, v = [min(c for _, c, _ in own) for own in out], [0.0] * (columns + rows)
+    for start in range(rows):
+        far, came, heap, done, end = {}, {}, [], set(), -1
+        row, base = start, 0.0
+        while True:
+            for j, cost, k in out[row]:
+                d = base + cost - u[row] - v[j]
+                if j not in done and d < far.get(j, float("inf")) - 1e-12:
+                    far[j], came[j] = d, (row, k)
+                    heapq.heappush(heap, (d, j))
+            while heap[0][1] in done:
+                heapq.heappop(heap)
+            base, end = heapq.heappop(heap)
+            done.add(end)
+            if end not in owner:
+                break
+            row = owner[end]
+        for j in done:
+            if j != end:
+                u[owner[j]] += base - far[j]
+                v[j] -= base - far[j]
+        u[start] += base
+        while True:
+            row, k = came[end]
+            owner[end], used[row], mate[row], end = row, k, end, mate[row]
+            if row == start:
+                break
+    return sorted(k for k in used if k >= 0)
 
 
 def assigned(pairs: DataFrame, page: str = "page") -> DataFrame:
-    """Pairs (page, a, b, score > 0) of greatest total score, each side used once at most."""
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    """Pairs (page, a, b, score > 0) of greatest total score, each side used once at most.
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        flip = pdf.a.nunique() > pdf.b.nunique()
-        rows, columns = ("b", "a") if flip else ("a", "b")
-        left, right = sorted(pdf[rows].unique()), sorted(pdf[columns].unique())
-        at, to = {k: i for i, k in enumerate(left)}, {k: j for j, k in enumerate(right)}
-        cost = [[0.0] * len(right) for _ in left]
-        score = {}
-        for r, c, s in zip(pdf[rows], pdf[columns], pdf.score, strict=True):
-            cost[at[r]][to[c]], score[r, c] = -s, s
-        chosen = [(left[i], right[j]) for i, j in enumerate(best_assignment(cost)) if (left[i], right[j]) in score]
-        out = pd.DataFrame({rows: [r for r, _ in chosen], columns: [c for _, c in chosen], "score": [score[p] for p in chosen]})
-        return out.assign(**{page: pdf[page].iloc[0]})[[page, "a", "b", "score"]]
-
-    return pairs.select(page, "a", "b", "score").groupBy(page).applyInPandas(solve, f"`{page}` {kinds[page]}, a {kinds['a']}, b {kinds['b']}, score double")
+    A pair whose boxes have no other candidate stands; of the rest each connected part is solved by
+    itself, as pairs of different parts never compete.  A task holds a page's candidate pairs, no matrix.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema.fields}
+    rows = pairs.select(page, "a", "b", F.col("score").cast("double").alias("score"))
+    alone = (F.count("*").over(Window.partitionBy(page, "a")) == 1) & (F.count("*").over(Window.partitionBy(page, "b")) == 1)
+    rows = rows.withColumn("_alone", alone)
+
+    def solved(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        score = table.column("score").to_numpy()
+        line = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        side = lambda name: np.unique(line * (table.num_rows + 1) + table.column(name).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        a, b = side("a"), side("b")
+        parent = list(range(int(a.max()) + 1 + int(b.max()) + 1))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        shift = int(a.max()) + 1
+        for i, j in zip(a.tolist(), (b + shift).tolist(), strict=True):
+            parent[root(i)] = root(j)
+        part = np.array([root(i) for i in a.tolist()])
+        order, chosen = np.argsort(part, kind="stable"), []
+        for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            flip = len(np.unique(a[own])) > len(np.unique(b[own]))
+            left, right = (np.unique(x[own], return_inverse=True)[1] for x in ((b, a) if flip else (a, b)))
+            best = best_pairs(list(zip(left.tolist(), right.tolist(), score[own].tolist(), strict=True)), int(left.max()) + 1, int(right.max()) + 1)
+            chosen += own[best].tolist()
+        return table.select([page, "a", "b", "score"]).take(sorted(chosen)).combine_chunks().to_batches()[0]
+
+    rest = along(rows.where(~F.col("_alone")).drop("_alone"), [page], ["a", "b"], solved, f"`{page}` {kinds[page]}, a {kinds['a']}, b {kinds['b']}, score double")
+    return rows.where("_alone").drop("_alone").unionByName(rest)
 
 
 def matched(found: DataFrame, expected: DataFrame) -> DataFrame:

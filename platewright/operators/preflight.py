@@ -22,19 +22,19 @@ COLUMNS = ["file", "rule", "severity", "message", "page", "box"]
 
 def effective(builtin: DataFrame, own: DataFrame) -> DataFrame:
     """Rules of the built-in profiles; a user's profile of the same name takes the place of the whole."""
-    return builtin.join(F.broadcast(own.select("profile").distinct()), "profile", "left_anti").unionByName(own)
+    return builtin.join(own.select("profile").distinct(), "profile", "left_anti").unionByName(own)
 
 
 def upserted(profiles: DataFrame, new: DataFrame, key: str = "profile") -> DataFrame:
     """Stored rows with those of `new` in place of what had their key; names of letters, digits, _ and - only."""
     good = new.where(F.col(key).rlike(r"^[\w-]+$"))
-    return profiles.join(F.broadcast(good.select(key).distinct()), key, "left_anti").unionByName(good)
+    return profiles.join(good.select(key).distinct(), key, "left_anti").unionByName(good)
 
 
 def ruled(facts: DataFrame, rules: DataFrame, rule: str) -> DataFrame:
     """Facts with `severity` and `params` of an active rule."""
     r = rules.where((F.col("rule") == rule) & F.col("active")).select("profile", F.coalesce("severity", F.lit("warning")).alias("severity"), F.coalesce("params", F.create_map().cast("map<string,string>")).alias("params"))
-    return facts.join(F.broadcast(r), "profile")
+    return facts.join(r, "profile")
 
 
 def param(name: str, default: float) -> Column:

@@ -138,9 +138,9 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 def binarized(pixels: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Pixels with `on` (above the page's threshold), turned round where most of the page were dark."""
-    p = pixels.join(F.broadcast(thresholds), "page").withColumn("on", F.col("value") > F.col("threshold"))  # a row a page
+    p = pixels.join(thresholds, "page").withColumn("on", F.col("value") > F.col("threshold"))
     share = p.groupBy("page").agg((F.avg(F.col("on").cast("int")) < 127 / 255).alias("flip"))
-    return p.join(F.broadcast(share), "page").withColumn("on", F.col("on") != F.col("flip")).drop("threshold", "flip")
+    return p.join(share, "page").withColumn("on", F.col("on") != F.col("flip")).drop("threshold", "flip")
 
 
 def leading_bar(lines: DataFrame, edge: Column, different: float = 40.0, uniform: float = 0.85) -> DataFrame:
@@ -264,7 +264,7 @@ def shifted(plate: DataFrame, dx: float, dy: float) -> DataFrame:
 def compacted(labels: DataFrame, column: str = "label") -> DataFrame:
     """Labels of a page numbered from 0 without gaps; the few distinct ones are numbered, not the pixels."""
     ids = labels.select("page", column).distinct().withColumn("_n", F.row_number().over(Window.partitionBy("page").orderBy(column)) - 1)
-    return labels.join(F.broadcast(ids), ["page", column]).withColumn(column, F.col("_n")).drop("_n")  # a palette a page
+    return labels.join(ids, ["page", column]).withColumn(column, F.col("_n")).drop("_n")
 
 
 def merged(labels: DataFrame, keep: int, gone: int) -> DataFrame:
@@ -355,7 +355,7 @@ def nearest(pixels: DataFrame, palette: DataFrame) -> DataFrame:
     held = palette.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("i", "L", "a", "b"))).alias("_pal"))  # a dozen colours
     d = lambda c: F.pow(c["L"] - F.col("L"), F.lit(2)) + F.pow(c["a"] - F.col("a"), F.lit(2)) + F.pow(c["b"] - F.col("b"), F.lit(2))
     least = F.array_min(F.transform("_pal", lambda c: F.struct(d(c).alias("d"), c["i"].alias("i"))))
-    return pixels.join(F.broadcast(held), "page").withColumn("label", least["i"]).drop("_pal")
+    return pixels.join(held, "page").withColumn("label", least["i"]).drop("_pal")
 
 
 # ---------------------------------------------------------------- composed operations
@@ -394,7 +394,7 @@ def symmetrized(labels: DataFrame, ground: int, least: float = 0.97) -> DataFram
     share = mirror_share(labels, ground)
     box = labels.where(F.col("label") != ground).groupBy("page").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     near = box.join(share.where(F.col("vertical") >= least), "page").select("page", "x0", "x1")
-    d = labels.join(F.broadcast(near), "page", "left")  # a row a page
+    d = labels.join(near, "page", "left")
     half = F.col("x0") + F.floor((F.col("x1") - F.col("x0") + 1) / 2)
     right = F.col("x0").isNotNull() & F.col("x").between(F.col("x1") - (half - F.col("x0")) + 1, F.col("x1"))
     source = d.select("page", F.col("x").alias("_sx"), "y", F.col("label").alias("_l"))
@@ -421,7 +421,7 @@ def trapped(plates: DataFrame, decisions: DataFrame, rx: int, ry: int, solid: in
     for fraction in (1.0, 0.5):
         some = decisions.where(F.col("fraction") == fraction)
         kernel = ellipse(max(1, math.ceil(rx * fraction)) - 0.5, max(1, math.ceil(ry * fraction)) - 0.5)
-        spread = on.join(F.broadcast(some.select("page", F.col("spread").alias("ink"), "under")), ["page", "ink"])  # pairs of a page's inks
+        spread = on.join(some.select("page", F.col("spread").alias("ink"), "under"), ["page", "ink"])
         moved = spread.select("page", "ink", "under", "cov", "x", "y", _shifts(kernel)).select("page", "ink", "under", "cov", (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
         below = on.select("page", F.col("ink").alias("under"), "x", "y")
         parts.append(moved.join(below, ["page", "under", "x", "y"]).groupBy("page", "ink", "x", "y").agg(F.max("cov").alias("cov")))

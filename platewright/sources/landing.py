@@ -43,7 +43,7 @@ def ink_lines(lines: DataFrame) -> DataFrame:
     """
     first = lines.where("trim(value) <> ''").groupBy("source").agg(F.min_by("value", "line").alias("_f"))
     separator = F.when(F.contains("_f", F.lit(";")), ";").when(F.contains("_f", F.lit("\t")), "\t").otherwise(",")
-    cut = lines.join(F.broadcast(first), "source").withColumn("_p", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), separator), lambda v: F.trim(v)))  # a row a file
+    cut = lines.join(first, "source").withColumn("_p", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), separator), lambda v: F.trim(v)))
     at = lambda i: F.nullif(F.get("_p", F.lit(i)), F.lit(""))
     rows = cut.where(at(0).isNotNull() & ~at(0).startswith("#")).select("source", "line", at(0).alias("name"), *(number(at(i + 1)).alias(c) for i, c in enumerate(("L", "a", "b"))), F.lower(at(4)).alias("_k"), number(at(5)).alias("_o"), (F.size("_p") < 4).alias("_few"))
     none = F.col("L").isNull() | F.col("a").isNull() | F.col("b").isNull()
@@ -152,7 +152,7 @@ def measurements(spark: SparkSession, path: str) -> DataFrame:
     """(id, ink, step, L, a, b, problem) of measured patches `ink|step`; the heading and patches without a value are left out."""
     rows = _lines(spark, path).where("line > 1")
     first = _lines(spark, path).where("line = 1").select("source", F.when(F.contains("value", F.lit(";")), ";").otherwise(",").alias("_s"))
-    p = rows.join(F.broadcast(first), "source").withColumn("_p", F.split("value", F.col("_s"))).where((F.size("_p") >= 4) & (F.trim(F.get("_p", F.lit(1))) != ""))
+    p = rows.join(first, "source").withColumn("_p", F.split("value", F.col("_s"))).where((F.size("_p") >= 4) & (F.trim(F.get("_p", F.lit(1))) != ""))
     lab = {c: number(F.get("_p", F.lit(i + 1))) for i, c in enumerate(("L", "a", "b"))}
     id_ = F.trim(F.get("_p", F.lit(0)))
     out = p.select(id_.alias("id"), F.element_at(F.split(id_, r"\|"), 1).alias("ink"), F.element_at(F.split(id_, r"\|"), -1).try_cast("int").alias("step"), *(v.alias(c) for c, v in lab.items()))

@@ -307,6 +307,7 @@ def test_fits(spark):
     assert sum(sep[0].t) < 0.1 and sep[1].t[0] > 0.7
     scores = spark.createDataFrame([("a", False, 0.2), ("b", False, 0.1), ("a", True, 0.2), ("b", True, 0.15)], "params string, held boolean, cer double")
     assert [(r.params, r.base) for r in fitting.adopted(scores, "a").collect()] == [("b", 0.2)] and fitting.adopted(scores, "b").count() == 0
-    assert fitting.holdout(spark.createDataFrame([(c,) for c in "abcdef"], "case string")).where("held").count() == 2
+    held = fitting.holdout(spark.createDataFrame([(f"case {i % 300}", i) for i in range(900)], "case string, i int"))
+    assert held.select("case", "held").distinct().count() == 300 and 70 <= held.where("held").select("case").distinct().count() <= 130
     points = spark.createDataFrame([(50.0 + i % 3, 0.0, 0.0) for i in range(300)] + [(20.0, 60.0, 0.0 + i % 2) for i in range(100)], "L double, a double, b double")
     assert [round(r.share, 2) for r in fitting.palette(points, 6).collect()] == [0.75, 0.25]

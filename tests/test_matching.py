@@ -1,6 +1,5 @@
 """Assignment, counts, revisions, versions, zones and explained issues."""
 
-import itertools
 import random
 
 import pytest
@@ -14,13 +13,33 @@ def boxes(spark, *rows):
     return spark.createDataFrame([(1, *r) for r in rows], BOX)
 
 
-def test_assignment_equals_all_permutations():
+def test_assignment_equals_all_choices():
+    """Against every choice of edges of small graphs, with ties."""
     rng = random.Random(1)
-    for _ in range(40):
-        n, m = rng.randrange(1, 5), rng.randrange(5, 7)
-        cost = [[rng.random() for _ in range(m)] for _ in range(n)]
-        got = matching.best_assignment(cost)
-        assert len(set(got)) == n and abs(sum(cost[i][j] for i, j in enumerate(got)) - min(sum(cost[i][j] for i, j in enumerate(p)) for p in itertools.permutations(range(m), n))) < 1e-9
+
+    def best(edges, used, row):
+        if row == 5:
+            return 0.0
+        return max([best(edges, used, row + 1), *(s + best(edges, used | {j}, row + 1) for i, j, s in edges if i == row and j not in used)])
+
+    for _ in range(300):
+        graph = {(rng.randrange(5), rng.randrange(6)): rng.choice([1.0, 1.5, 1 + rng.random()]) for _ in range(rng.randint(1, 14))}
+        edges = [(i, j, s) for (i, j), s in sorted(graph.items())]
+        rows = sorted({i for i, _, _ in edges})
+        got = [edges[k] for k in matching.best_pairs([(rows.index(i), j, s) for i, j, s in edges], len(rows), 6)]
+        assert len({i for i, _, _ in got}) == len(got) == len({j for _, j, _ in got}) and abs(sum(s for *_, s in got) - best(edges, frozenset(), 0)) < 1e-9
+
+
+def test_assignment_of_a_large_page(spark):
+    """Five thousand boxes in one connected part, where every box would rather have its neighbour's partner."""
+    n = 5000
+    rows = [(1, i, i, 1.5) for i in range(n)] + [(1, i, i + 1, 1.9) for i in range(n - 1)] + [(2, 0, 0, 1.1), (2, 5, 9, 1.2), (2, 5, 8, 1.0)]
+    got = matching.assigned(spark.createDataFrame(rows, "page int, a int, b int, score double")).collect()
+    page = [(r.a, r.b) for r in got if r.page == 1]
+    assert len({a for a, _ in page}) == len({b for _, b in page}) == len(page)
+    # n - 1 neighbours at 1.9, the last and the first alone, or all n at 1.5
+    assert sum(r.score for r in got if r.page == 1) == pytest.approx(max(1.9 * (n - 1), 1.5 * n))
+    assert {(r.a, r.b) for r in got if r.page == 2} == {(0, 0), (5, 9)}
 
 
 def test_optimal_beats_greedy(spark):

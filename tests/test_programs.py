@@ -270,3 +270,20 @@ def test_choke_and_pullback(spark):
     assert all((got["Cyan", x, y] == 0) == ((x, y) in edge) for x in range(n) for y in range(n))
     assert {(r.spread, r.under, r.rule): r.pixels for r in log.collect() if r.rule in ("R2", "R7")} == {("White", "white drawn in", "R2"): 44, ("Cyan", "edge of rich black", "R7"): len(edge)}
     assert trapping.pixels_of(0, 300) == 0 and trapping.pixels_of(0.01, 300) == 1 and trapping.pixels_of(0.2, 254) == 2
+
+
+def test_nearest_samples_are_those_of_the_full_search(spark):
+    from platewright.operators import fitting
+
+    rng = np.random.default_rng(6)
+    samples = [([float(i)], *map(float, rng.normal((60, 0, 0), (15, 20, 30)))) for i in range(400)]
+    wanted = [(i, *map(float, rng.uniform((0, -120, -120), (100, 120, 120)))) for i in range(60)]
+    df = spark.createDataFrame(samples, "t array<double>, mL double, ma double, mb_ double")
+    for top in (5, 500):
+        got = {}
+        for r in fitting.nearest_samples(spark.createDataFrame(wanted, "code int, L double, a double, b_ double"), df, top).collect():
+            got.setdefault(r.code, []).append((r.k, r.t, r.d))
+        for code, *lab in wanted:
+            order = sorted((math.dist(lab, s[1:]), s[0]) for s in samples)[:top]
+            own = sorted(got[code])
+            assert [t for _, t, _ in own] == [t for _, t in order] and [d for *_, d in own] == pytest.approx([d for d, _ in order])
