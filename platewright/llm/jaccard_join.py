@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewright.llm import components as cc
-from platewright.llm._shared import freed, live, small, swept, written
+from platewright.llm._shared import freed, lean, live, small, swept, written
 from platewright.llm._text import slices
 
 #: Sets of a region that one task compares; strips of larger regions have half as many.
@@ -184,9 +184,9 @@ def shingle_levels(rows: DataFrame, make: Sets, salt: int, bits: int) -> Broadca
                 total += np.frombuffer(pa.decompress(counts, chunk_size * wide, "zstd", asbytes=True), np.uint8 if wide == 1 else np.uint16)
         yield from done()
 
-    counted = rows.mapInArrow(count, "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
+    counted = rows.mapInArrow(lean(count), "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     levels = np.zeros(1 << bits, np.uint8)
-    for row in counted.mapInArrow(add, "chunk int, levels binary").toLocalIterator():
+    for row in counted.mapInArrow(lean(add), "chunk int, levels binary").toLocalIterator():
         levels[row["chunk"] << CHUNK_BITS : (row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(row["levels"], np.uint8)
     return spark.sparkContext.broadcast(levels.tobytes())
 
@@ -264,7 +264,7 @@ def candidate_edges(rows: DataFrame, make: Sets, levels: Broadcast, salt: int, b
             pairs = np.unique(pairs, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    return rows.mapInArrow(keys, "part long, u long, v long").repartition("part").sortWithinPartitions("part").mapInArrow(edges, "u long, v long")
+    return rows.mapInArrow(lean(keys), "part long, u long, v long").repartition("part").sortWithinPartitions("part").mapInArrow(lean(edges), "u long, v long")
 
 
 def blocks_of(rows: DataFrame, make: Sets, shingles: Column, salt: int, percent: int, per_cell: int = PER_CELL) -> DataFrame:
@@ -451,7 +451,7 @@ def leaf_edges(regions: DataFrame, percent: int) -> DataFrame:
             yield batch_of(edges)
         yield batch_of(done())
 
-    return regions.select("region", "u", "home", "far", "need", "set").repartition("region").sortWithinPartitions("region").mapInArrow(apply, "u long, v long")
+    return regions.select("region", "u", "home", "far", "need", "set").repartition("region").sortWithinPartitions("region").mapInArrow(lean(apply), "u long, v long")
 
 
 def sets_of_members(members: DataFrame, words: int) -> DataFrame:
@@ -468,7 +468,7 @@ def sets_of_members(members: DataFrame, words: int) -> DataFrame:
                     firsts.append(seen.setdefault(digest, u))
                 yield pa.RecordBatch.from_arrays([part.column("block"), part.column("u"), part.column("id"), pa.array(firsts, pa.int64()), pa.array(digests, pa.binary()), pa.array(kept, pa.list_(pa.int64()))], ["block", "u", "id", "first", "digest", "set"])
 
-    return members.mapInArrow(apply, "block long, u long, id long, first long, digest binary, set array<long>")
+    return members.mapInArrow(lean(apply), "block long, u long, id long, first long, digest binary, set array<long>")
 
 
 def node_of(key: str, text: str) -> Column:
@@ -571,7 +571,7 @@ def components(df: DataFrame, words: int = 5, percent: int = 80, key: str = "doc
             for part, sets in parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array([len(s) for s in sets], pa.int64())], ["key", "node", "n_shingles"])
 
-    counts = df.select(F.col(key).alias("key"), node_of(key, text).alias("node"), F.col(text).alias("text")).mapInArrow(apply, f"key {df.schema[key].dataType.simpleString()}, node long, n_shingles long")
+    counts = df.select(F.col(key).alias("key"), node_of(key, text).alias("node"), F.col(text).alias("text")).mapInArrow(lean(apply), f"key {df.schema[key].dataType.simpleString()}, node long, n_shingles long")
     return counts.join(groups.select("node", "component"), "node", "left").select(F.col("key").alias(key), "n_shingles", F.coalesce("component", "key").alias("component_id"))
 
 

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewright.llm._shared import lean
 from platewright.llm._text import Numbers, Pieces, Ragged, rows_of, slices, solid_words
 
 WINDOW = 2048
@@ -132,7 +133,7 @@ def tokenize_and_cut(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
                 at, *rest = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(x, pa.int64()) for x in rest)], [key, "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(key, column).mapInArrow(apply, f"{key} {kind}, start long, {PIECES}")
+    return df.select(key, column).mapInArrow(lean(apply), f"{key} {kind}, start long, {PIECES}")
 
 
 class Capacities:
@@ -224,7 +225,7 @@ def pack(pieces: DataFrame, key: str = "doc_id", window: int = WINDOW, group_pie
         if rows:
             yield from packed(held).to_batches()
 
-    return dealt.mapInArrow(apply, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long").select(*names, "sequence_id", "offset")
+    return dealt.mapInArrow(lean(apply), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long").select(*names, "sequence_id", "offset")
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", column: str = "text", window: int = WINDOW) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from platewright.llm._shared import lean
 from platewright.llm._text import SOLID, slices
 
 FIT_ROWS = 6_000
@@ -188,7 +189,7 @@ def scored(df: DataFrame, weights, column: str, name: str) -> DataFrame:
                     out.append(1 / (1 + np.exp(np.clip(vector(f, n) @ w[:-1] + w[-1], -500, 500))) if n else 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.float64())], [*part.schema.names, name])
 
-    return df.mapInArrow(score, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+    return df.mapInArrow(lean(score), T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def scorer(df: DataFrame, key: str, column: str, fit_rows: int):
@@ -200,7 +201,7 @@ def scorer(df: DataFrame, key: str, column: str, fit_rows: int):
             for part in slices(batch, column):
                 yield pa.RecordBatch.from_arrays([pa.array([pattern_of(describe(words, t)[0]) for t in part.column(column).to_pylist()], pa.int32())], ["pattern"])
 
-    counted = df.select(column).mapInArrow(vote, "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
+    counted = df.select(column).mapInArrow(lean(vote), "pattern int").groupBy("pattern").agg(F.count("*").alias("n")).collect()  # 3 ** labellers rows at most
     counts = {r["pattern"]: r["n"] for r in counted}
     posterior, _, _ = estimate(counts)
     total = sum(counts.values())
@@ -222,7 +223,7 @@ def scorer(df: DataFrame, key: str, column: str, fit_rows: int):
     below = grains if total <= fit_rows else max(1, int(grains * fit_rows / total))
     # rows that repeat an id and its text are in the sample once, so that no row can fill it
     drawn = df.select(F.xxhash64(F.col(key), F.lit(17)).alias("_luck"), F.xxhash64(F.col(key), F.col(column)).alias("_row"), F.col(column)).where(F.pmod("_luck", F.lit(grains)) < below).dropDuplicates(["_row"])
-    sample = drawn.select(column).mapInArrow(features, "pattern int, i array<int>, v array<float>")
+    sample = drawn.select(column).mapInArrow(lean(features), "pattern int, i array<int>, v array<float>")
     got = sample.toArrow() if total else None  # some fit_rows rows
     rows = sorted(((np.array(i, int), np.array(v, float), posterior.get(p, 0.5)) for p, i, v in zip(*(got[c].to_pylist() for c in ("pattern", "i", "v")), strict=True)), key=lambda r: (r[2], r[0].tobytes(), r[1].tobytes())) if total else []
     return df.sparkSession.sparkContext.broadcast(fit(rows))
