@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,21 +61,21 @@ def touched(boxes: DataFrame, others: DataFrame, fraction: float = 0.5) -> DataF
 
 def covered_share(boxes: DataFrame, others: DataFrame, name: str) -> DataFrame:
     """Adds the share of each box that lies in the union of the others; each point counts once."""
-    pairs = spatial.overlaps(boxes, others).select(F.col("l.page").alias("page"), F.col("l.id").alias("id"), *(F.col(f"{s}.{k}").alias(f"{s}{k}") for s in "lr" for k in "xywh"))
-
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        x0, y0, x1, y1 = first.lx, first.ly, first.lx + first.lw, first.ly + first.lh
-        xs = np.unique(np.clip(np.concatenate([pdf.rx, pdf.rx + pdf.rw]), x0, x1))
-        ys = np.unique(np.clip(np.concatenate([pdf.ry, pdf.ry + pdf.rh]), y0, y1))
-        grid = np.zeros((len(ys) - 1, len(xs) - 1), bool)
-        for a, b, c, d in zip(*(np.searchsorted(v, np.clip(w, v[0], v[-1])) for v, w in ((xs, pdf.rx), (xs, pdf.rx + pdf.rw), (ys, pdf.ry), (ys, pdf.ry + pdf.rh))), strict=True):
-            grid[c:d, a:b] = True
-        area = float((grid * np.diff(ys)[:, None] * np.diff(xs)[None, :]).sum())
-        return pd.DataFrame({"page": [first.page], "id": [first.id], "_share": [area / max((x1 - x0) * (y1 - y0), 1)]})
-
-    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
-    shares = pairs.groupBy("page", "id").applyInPandas(union, f"page {kinds['page']}, id {kinds['id']}, _share double")
+    edge = lambda low, at, size: (F.greatest(f"l.{at}", f"r.{at}") if low else F.least(F.col(f"l.{at}") + F.col(f"l.{size}"), F.col(f"r.{at}") + F.col(f"r.{size}"))).cast("double")
+    part = F.struct(edge(True, "x", "w").alias("x0"), edge(False, "x", "w").alias("x1"), edge(True, "y", "h").alias("y0"), edge(False, "y", "h").alias("y1"))
+    met = spatial.overlaps(boxes, others).groupBy(F.col("l.page").alias("page"), F.col("l.id").alias("id")).agg(F.first(F.col("l.w") * F.col("l.h")).alias("_area"), F.collect_list(part).alias("_parts"))  # what overlaps one box
+    cuts = F.array_sort(F.array_distinct(F.concat(F.transform("_parts", lambda r: r["x0"]), F.transform("_parts", lambda r: r["x1"]))))
+    met = met.withColumn("_cuts", cuts)
+
+    def strip(i: Column) -> Column:
+        """Length that the parts cover between two cuts next to each other."""
+        low, high = F.get("_cuts", i - 1), F.get("_cuts", i)
+        inside = F.array_sort(F.transform(F.filter("_parts", lambda r: (r["x0"] <= low) & (r["x1"] >= high)), lambda r: F.struct(r["y0"].alias("y0"), r["y1"].alias("y1"))))
+        covered = F.aggregate(inside, F.struct(F.lit(0.0).alias("n"), F.lit(float("-inf")).alias("end")), lambda s, r: F.struct((s["n"] + F.greatest(r["y1"] - F.greatest(r["y0"], s["end"]), F.lit(0.0))).alias("n"), F.greatest(s["end"], r["y1"]).alias("end")))
+        return covered["n"] * (high - low)
+
+    area = F.aggregate(F.transform(F.sequence(F.lit(1), F.size("_cuts") - 1), strip), F.lit(0.0), lambda s, v: s + v)
+    shares = met.select("page", "id", (area / F.greatest("_area", F.lit(1))).alias("_share"))
     return boxes.join(shares, ["page", "id"], "left").withColumn(name, F.coalesce("_share", F.lit(0.0))).drop("_share")
 
 

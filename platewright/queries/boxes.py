@@ -105,7 +105,15 @@ def zones_ignored(spark, sf_dir):
     return hidden.select("page", "id", "cat").distinct().groupBy("cat").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""
+with {BOXES_SQL}, f as (select page, id, any_value(x) as x, any_value(y) as y, any_value(w) as w, any_value(h) as h from boxes where side = 'F' group by all),
+r as (select f.page, f.id, f.w * f.h as area, greatest(f.x, o.x) as x0, least(f.x + f.w, o.x + o.w) as x1, greatest(f.y, o.y) as y0, least(f.y + f.h, o.y + o.h) as y1 from f join boxes o on o.page = f.page and o.side = 'O'
+  and least(f.x + f.w, o.x + o.w) > greatest(f.x, o.x) and least(f.y + f.h, o.y + o.h) > greatest(f.y, o.y)),
+cuts as (select page, id, v, lead(v) over (partition by page, id order by v) as after from (select page, id, x0 as v from r union select page, id, x1 from r)),
+strips as (select r.page, r.id, v, after - v as wide, y0, y1, max(y1) over (partition by r.page, r.id, v order by y0, y1 rows between unbounded preceding and 1 preceding) as high from r join cuts c on c.page = r.page and c.id = r.id and r.x0 <= v and r.x1 >= after),
+shares as (select page, id, sum(wide * greatest(y1 - greatest(y0, coalesce(high, y0)), 0)) as common from strips group by all)
+select f.page, f.id, round(coalesce(common, 0)::double / greatest(f.w * f.h, 1), 6) as share from f left join shares using (page, id)
+""")
 def covered_shares(spark, sf_dir):
     """How much of a box lies in the union of the other side's boxes."""
     found, expected = _sides(spark, sf_dir)

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from platewright.functions import colour, text
-from platewright.operators import plates, rules, spatial
+from platewright.functions import colour, text, units
+from platewright.operators import layout, matching, plates, raster, rules, spatial
 from platewright.plans import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,8 +120,9 @@ select category, f1, least_f1, f1 < least_f1 - 2 as fails from f join (values ('
 def f1_gate(spark, sf_dir):
     """Categories against stored thresholds: two points below fails."""
     got = prf_rollup(spark, sf_dir).select("category", "f1")
-    gate = spark.createDataFrame([("de", 10.0), ("en", 20.0), ("es", 30.0), ("fr", 5.0)], "category string, least_f1 double")
-    return got.join(F.broadcast(gate), "category").withColumn("fails", F.col("f1") < F.col("least_f1") - 2)
+    gate = spark.createDataFrame([("de", 10.0), ("en", 20.0), ("es", 30.0), ("fr", 5.0)], "category string, f1 double")
+    failing = matching.regressions(got, gate).select("category", F.lit(True).alias("fails"))
+    return got.join(gate.withColumnRenamed("f1", "least_f1"), "category").join(failing, "category", "left").withColumn("fails", F.coalesce("fails", F.lit(False)))
 
 
 @query("""
@@ -189,10 +190,9 @@ select cat, count(*) filter (side = 'O' and hit) as tp, count(*) filter (side =
   select x.cat, x.side, exists (select 1 from m where m.page = x.page and (x.side = 'F' and m.a = x.id or x.side = 'O' and m.b = x.id)) as hit from boxes x) group by 1""")
 def case_counts(spark, sf_dir):
     """True and false positives and misses by category, from the match join."""
-    m = spatial.matches(*_sides(spark, sf_dir))
-    used = m.select("l.page", F.col("l.id").alias("id"), F.lit("F").alias("side")).unionByName(m.select("r.page", F.col("r.id").alias("id"), F.lit("O").alias("side"))).distinct().withColumn("hit", F.lit(True))
-    b = _boxes(spark, sf_dir).join(used, ["page", "id", "side"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    return b.groupBy("cat").agg(F.count_if((F.col("side") == "O") & F.col("hit")).alias("tp"), F.count_if((F.col("side") == "F") & ~F.col("hit")).alias("fp"), F.count_if((F.col("side") == "O") & ~F.col("hit")).alias("fn"))
+    found, expected = _sides(spark, sf_dir)
+    m = spatial.matches(found, expected).select("l.page", F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return matching.case_counts(found, expected, m).groupBy("cat").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
 @query(f"with {BOXES_SQL} select side, case when side = 'F' and exists (select 1 from pairs p where p.page = x.page and p.a = x.id and p.common * 2 >= p.la) then 'covered' else 'free' end as state, count(*) as n from boxes x group by all")
@@ -206,8 +206,9 @@ def zones_semi(spark, sf_dir):
 @query(f"with {BOXES_SQL} select page, id, round(x * 0.72::double, 3) as x0, round(842 - (y + h) * 0.72::double, 3) as y0, round((x + w) * 0.72::double, 3) as x1, round(842 - y * 0.72::double, 3) as y1 from boxes")
 def box_unit_convert(spark, sf_dir):
     """Pixels from the top left (100 dpi) to points from the bottom left of a page of 842 points."""
-    c, k = F.col, F.lit("0.72").cast("double")
-    return _boxes(spark, sf_dir).select("page", "id", F.round(c("x") * k, 3).alias("x0"), F.round(842 - (c("y") + c("h")) * k, 3).alias("y0"), F.round((c("x") + c("w")) * k, 3).alias("x1"), F.round(842 - c("y") * k, 3).alias("y1"))
+    c, dpi = F.col, F.lit(100.0)
+    pt = lambda v: units.px_to_pt(v, dpi)
+    return _boxes(spark, sf_dir).select("page", "id", F.round(pt(c("x")), 3).alias("x0"), F.round(842 - pt(c("y") + c("h")), 3).alias("y0"), F.round(pt(c("x") + c("w")), 3).alias("x1"), F.round(842 - pt(c("y")), 3).alias("y1"))
 
 
 # ---------------------------------------------------------------- text
@@ -353,10 +354,13 @@ PALETTE = [(0, 200, 30, 30), (1, 30, 160, 60), (2, 40, 60, 190), (3, 240, 220, 2
 @query(f"""with pal(i, pr, pg, pb) as (values {', '.join(map(str, PALETTE))}), d as (select p_partkey, i, (r - pr) * (r - pr) + (g - pg) * (g - pg) + (b - pb) * (b - pb) as d from {RGB_SQL}, pal)
 select i as ink, count(*) as n, sum(d)::bigint as distance from (select *, row_number() over (partition by p_partkey order by d, i) as k from d) where k = 1 group by 1""")
 def nearest_palette(spark, sf_dir):
-    """Nearest palette entry of each colour, lowest index on ties: an array expression, no join."""
-    c = _colours(spark, sf_dir)
-    near = F.array_min(F.array(*(F.struct((F.pow(F.col("r") - r, F.lit(2)) + F.pow(F.col("g") - g, F.lit(2)) + F.pow(F.col("b") - b, F.lit(2))).cast("bigint").alias("d"), F.lit(i).alias("i")) for i, r, g, b in PALETTE)))
-    return c.withColumn("near", near).groupBy(F.col("near.i").alias("ink")).agg(F.count("*").alias("n"), F.sum("near.d").alias("distance"))
+    """Nearest palette entry of each colour, lowest index on ties."""
+    names = {"r": "L", "g": "a", "b": "b"}
+    c = _colours(spark, sf_dir).select(F.lit(1).alias("page"), *(F.col(k).alias(v) for k, v in names.items()))
+    palette = spark.createDataFrame([(1, *p) for p in PALETTE], "page int, i int, L int, a int, b int")
+    near = raster.nearest(c, palette).join(F.broadcast(palette.select(F.col("i").alias("label"), *(F.col(k).alias(f"p{k}") for k in names.values()))), "label")  # the palette
+    d = sum((F.pow(F.col(k) - F.col(f"p{k}"), F.lit(2)) for k in ("a", "b")), F.pow(F.col("L") - F.col("pL"), F.lit(2)))
+    return near.groupBy(F.col("label").alias("ink")).agg(F.count("*").alias("n"), F.sum(d.cast("bigint")).alias("distance"))
 
 
 @query(f"""with k as (select p_partkey, r, g, b, 1 - greatest(r, g, b) / 255.0::double as k from {RGB_SQL}), c as (
@@ -368,9 +372,8 @@ def cmyk_limited(spark, sf_dir):
     """CMYK by the greatest black, coloured inks scaled down to a total of 240 percent."""
     c = _colours(spark, sf_dir).withColumn("k", 1 - F.greatest("r", "g", "b") / 255.0)
     c = c.withColumns({n: F.when(F.col("k") >= 1, 0.0).otherwise((1 - F.col(x) / 255.0 - F.col("k")) / (1 - F.col("k"))) for n, x in (("c", "r"), ("m", "g"), ("y", "b"))} | {"hex": colour.hex_of(F.col("r"), F.col("g"), F.col("b"))})
-    c = c.withColumn("cmy", F.col("c") + F.col("m") + F.col("y"))
-    held = lambda n: F.round(F.when((F.col("cmy") + F.col("k") > 2.4) & (F.col("cmy") > 0), F.col(n) * (2.4 - F.col("k")) / F.col("cmy")).otherwise(F.col(n)), 5).alias(n)
-    return c.select("p_partkey", "hex", held("c"), held("m"), held("y"), F.round("k", 5).alias("k"))
+    held = colour.limited([F.col(n) for n in "cmyk"], 2.4)
+    return c.select("p_partkey", "hex", *(F.round(v, 5).alias(n) for n, v in zip("cmyk", held, strict=True)))
 
 
 @query("""
@@ -406,7 +409,7 @@ def _plates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select ink, round(avg(cov) * 100 / 255, 5) as percent, max(cov) = 0 as empty, count(*) as pixels from {PLATES_SQL} group by 1")
 def plate_coverage(spark, sf_dir):
-    return _plates(spark, sf_dir).groupBy("ink").agg(F.round(F.avg("cov") * 100 / 255, 5).alias("percent"), (F.max("cov") == 0).alias("empty"), F.count("*").alias("pixels"))
+    return plates.coverage(_plates(spark, sf_dir)).withColumn("percent", F.round("percent", 5))
 
 
 @query(f"with t as (select x, y, sum(cov) * 100 / 255.0::double as total from {PLATES_SQL} where ink in (1, 2, 3, 4) group by all) select round(max(total), 5) as greatest, round(quantile_cont(total, 0.995), 5) as p995, round(avg(total), 5) as mean from t")
@@ -502,9 +505,9 @@ select p_partkey, greatest(0, cast(floor((1000 - 20 + 4) / (p_size * 3 + 10.0::d
 """)
 def fill_grid_distortion(spark, sf_dir):
     """How many labels fit on a sheet, and a plate's shortening on a cylinder."""
-    fit = lambda sheet, side: F.greatest(F.lit(0), F.floor((sheet - 20 + 4) / (side + 4)).cast("int"))
+    fit = lambda sheet, side: layout.fitting(F.lit(sheet), side, F.lit(4), F.lit(10), F.lit(10))
     size = F.col("p_size")
-    return table(spark, sf_dir, "part").select("p_partkey", fit(1000, size * 3 + 10.0).alias("columns"), fit(700, size * 2 + 15.0).alias("rows"), F.round(2 * 3.141592653589793 * 1.7 / (size * 10 + 200) * 100, 6).alias("distortion"))
+    return table(spark, sf_dir, "part").select("p_partkey", fit(1000, size * 3 + 10.0).alias("columns"), fit(700, size * 2 + 15.0).alias("rows"), F.round(layout.distortion_pct(F.lit(1.7), size * 10 + 200), 6).alias("distortion"))
 
 
 # ---------------------------------------------------------------- jobs and history
