@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -190,3 +192,68 @@ def sampled(lines: DataFrame, boxes: DataFrame, per_case: int = 8, per_kind: int
     free = lines.join(hit, ["page", "id"], "left_anti").withColumn("_h", F.xxhash64("case", "page", "id"))
     a = free.withColumn("_k", F.row_number().over(Window.partitionBy("case").orderBy("_h", "id"))).where(F.col("_k") <= per_case)
     return a.withColumn("_k", F.row_number().over(Window.partitionBy("kind").orderBy("_h", "id"))).where(F.col("_k") <= per_kind).drop("_h", "_k")
+
+
+def trials(options: dict[str, list], current: dict) -> list[dict]:
+    """Settings that differ from `current` in one option."""
+    return [{**current, key: v} for key, values in options.items() for v in values if v != current[key]]
+
+
+def searched(samples: DataFrame, options: dict[str, list], current: dict, score: Callable[[DataFrame, DataFrame], DataFrame], *, rounds: int = 2, gain: float = 0.002, rungs: int = 3) -> tuple[dict, float, float, int]:
+    """The best setting by coordinates, its mean cost, that of `current`, and how many settings met samples.
+
+    `score(settings, samples)` gives (setting, cost) of every setting (setting, params map) on every sample
+    (case, ...); settings are a few dozen.  A round tries all settings that differ from the best one in
+    one option, by successive halving: on each rung all that are left are scored in one job, on a share of
+    the cases (by hash) that doubles up to all of them, and the better half goes on.
+    """
+    spark, runs = samples.sparkSession, 0
+    draw = F.pmod(F.xxhash64("case", F.lit(7)), F.lit(1 << rungs))
+
+    def costs(settings: list[dict], part: DataFrame) -> list[float]:
+        nonlocal runs
+        runs += len(settings)
+        rows = spark.createDataFrame([(i, {k: str(v) for k, v in s.items()}) for i, s in enumerate(settings)], "setting int, params map<string,string>")
+        mean = {r.setting: r.cost for r in score(rows, part).groupBy("setting").agg(F.avg("cost").alias("cost")).collect()}  # a row for each setting
+        return [mean.get(i, 1.0) for i in range(len(settings))]
+
+    best, (cost,) = dict(current), costs([current], samples)
+    first = cost
+    for _ in range(rounds):
+        left = trials(options, best)
+        for rung in range(rungs, 0, -1):
+            part = samples.where(draw < (1 << rungs >> rung))
+            order = sorted(range(len(left)), key=costs(left, part).__getitem__) if len(left) > 1 else range(len(left))
+            left = [left[i] for i in list(order)[: max(1, -(-len(left) // 2))]]
+        if not left:
+            break
+        found = costs(left, samples)
+        at = min(range(len(left)), key=found.__getitem__)
+        if found[at] >= cost - gain:
+            break
+        best, cost = left[at], found[at]
+    return best, cost, first, runs
+
+
+def tuned(samples: DataFrame, options: dict[str, list], current: dict, score: Callable[[DataFrame, DataFrame], DataFrame], guard: Callable[[DataFrame, DataFrame], DataFrame], *, every: int = 3, relative: float = 0.05, absolute: float = 0.003, slack: float = 0.02) -> dict:
+    """Search on two thirds of the cases, and what the held-out third says: adopted or not, with all figures.
+
+    A setting is adopted if it gains enough on cases that the search did not see, and if the second
+    metric, `guard(settings, samples)` with (setting, errors, cost), has no more errors there and no cost
+    beyond `slack` more: both settings are scored in one job.
+    """
+    parted = holdout(samples, every)
+    train, held = parted.where(~F.col("held")).drop("held"), parted.where("held").drop("held")
+    best, cost, first, runs = searched(train, options, current, score)
+    out = {"params": best, "train_before": first, "train_after": cost, "runs": runs, "adopted": False, "guard": None}
+    if best == current:
+        return out
+    rows = held.sparkSession.createDataFrame([(i, {k: str(v) for k, v in s.items()}) for i, s in enumerate((current, best))], "setting int, params map<string,string>")
+    mean = {r.setting: r.cost for r in score(rows, held).groupBy("setting").agg(F.avg("cost").alias("cost")).collect()}
+    before, after = mean.get(0, 1.0), mean.get(1, 1.0)
+    out |= {"held_before": before, "held_after": after}
+    if after > before * (1 - relative) or before - after < absolute:
+        return out
+    both = {r.setting: (r.errors, r.cost) for r in guard(rows, held).groupBy("setting").agg(F.sum("errors").alias("errors"), F.avg("cost").alias("cost")).collect()}
+    worse = 0 not in both or 1 not in both or both[1][0] > both[0][0] or (both[0][1] is not None and both[1][1] is not None and both[1][1] > both[0][1] * (1 + slack))
+    return out | {"guard": both, "adopted": not worse}

@@ -1,11 +1,11 @@
-"""Queries of colour functions, traps, scan profiles and ellipses."""
+"""Queries of colour functions, traps, scan profiles, ellipses, strokes and settings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from platewright.functions import calculator
-from platewright.operators import contours, geometry, profiles, trapping
+from platewright.operators import contours, distance, fitting, geometry, profiles, strokes, trapping
 from platewright.queries.contours import DISCS_SQL, disc_pages
 from platewright.registry import RGB_SQL, _colours, query, table
 
@@ -74,3 +74,25 @@ def disc_ellipses(spark, sf_dir):
     """Ellipses through the rings of a page of discs: how many, and the greatest distance; tests hold a direct search."""
     rings = contours.points(contours.chains(disc_pages(spark, sf_dir)).where("closed")).where(F.col("pos") < F.col("length"))
     return geometry.fitted_ellipses(rings, ("page", "chain")).groupBy("page").agg(F.count("*").alias("rings"), F.round(F.max("error"), 4).alias("farthest"))
+
+
+@query()
+def ring_strokes(spark, sf_dir):
+    """Rims of discs as strokes: how many of a page have one width, their mean width and the longest; tests hold a serial thinning."""
+    discs = disc_pages(spark, sf_dir).where("label > 0")
+    rims = distance.depths(discs.select("page", "x", "y")).where("square <= 5").select("page", "x", "y")
+    lines = strokes.centre_lines(rims)
+    return lines.groupBy("page", "stroke").agg(F.first("width").alias("width"), F.first("length").alias("length")).groupBy("page").agg(F.count("*").alias("strokes"), F.round(F.avg("width"), 4).alias("width"), F.max("length").alias("longest"))
+
+
+@query()
+def settings_tuned(spark, sf_dir):
+    """Settings searched on two thirds of the conversations and held against the others; the search is iterative, tests plant its optimum."""
+    samples = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("case"), F.length("text").alias("n"))
+    number = lambda k: F.element_at("params", k).cast("int")
+    cost = F.abs(F.coalesce("n", F.lit(0)) / 100.0 - number("window") * number("weight")) / 200.0
+    score = lambda settings, part: part.join(F.broadcast(settings)).select("setting", cost.alias("cost"))  # noqa: E731  some dozen settings
+    guard = lambda settings, part: part.join(F.broadcast(settings)).select("setting", (cost > 0.2).cast("int").alias("errors"), cost.alias("cost"))
+    found = fitting.tuned(samples, {"window": [1, 2, 4, 8], "weight": [1, 2, 3]}, {"window": 8, "weight": 3}, score, guard)
+    rows = [(k, v, found["adopted"]) for k, v in sorted(found["params"].items())]
+    return spark.createDataFrame(rows, "option string, value int, adopted boolean")

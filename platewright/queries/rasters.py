@@ -45,7 +45,14 @@ def fm_screen(spark, sf_dir):
     return raster.fm_screen(_plates(spark, sf_dir), mask).groupBy("on").agg(F.count("*").alias("pixels"))
 
 
-@query()
+@query(f"""
+with h as (select cos(2 * pi() * ((a + 0.5) / 256 - 0.5)) + cos(2 * pi() * ((b + 0.5) / 256 - 0.5)) as h from range(256) s(a), range(256) t(b)),
+ranked as (select h, row_number() over (order by h) - 1 as k from h), levels as (select h, k // 64 as i from ranked where k % 64 = 0),
+p as (select ink, x, y, cov / 255.0::double as c, (x * cos(radians(22.5)) + y * sin(radians(22.5))) * 55 / 300 as u, (y * cos(radians(22.5)) - x * sin(radians(22.5))) * 55 / 300 as v from {PLATES_SQL}),
+g as (select *, cos(2 * pi() * (u - floor(u) - 0.5)) + cos(2 * pi() * (v - floor(v) - 0.5)) as g from p),
+t as (select ink, c, (select count(*) from levels where i < 1023 and h < g.g) as below from g)
+select ink, c > 1 - below / 1024.0::double and c > 0 as "on", count(*) as pixels from t group by all
+""")
 def am_screen(spark, sf_dir):
     """Plates through a turned clustered-dot screen."""
     return raster.am_screen(_plates(spark, sf_dir), 300.0).groupBy("ink", "on").agg(F.count("*").alias("pixels"))

@@ -68,7 +68,15 @@ def colour_functions(spark, sf_dir):
     return d.select("p_partkey", F.round(spot[0], 6).alias("spot"), F.round(geometry.sampled(F.col("x"), a(0, 2, 1, 3)), 6).alias("table_value"), F.round(stitched[0], 6).alias("stitched"), F.round(program[0], 6).alias("program"))
 
 
-@query()
+@query("""
+with e as (select user_id as chain, value as x, (event_id % 97)::double as y from events),
+m as (select chain, avg(x) as mx, avg(y) as my from e group by 1),
+d as (select e.chain, mx, my, x - mx as u, y - my as v from e join m using (chain)),
+s as (select chain, mx, my, count(*) as n, sum(u * u) as uu, sum(u * v) as uv, sum(v * v) as vv, sum(u * u * u) as uuu, sum(v * v * v) as vvv, sum(u * v * v) as uvv, sum(v * u * u) as vuu from d group by all),
+t as (select *, case when abs(uu * vv - uv * uv) > 1e-9 then uu * vv - uv * uv end as det, (uuu + uvv) / 2 as bu, (vvv + vuu) / 2 as bv from s),
+c as (select chain, mx + (bu * vv - bv * uv) / det as cx, my + (bv * uu - bu * uv) / det as cy, sqrt(power((bu * vv - bv * uv) / det, 2) + power((bv * uu - bu * uv) / det, 2) + (uu + vv) / n) as r from t)
+select chain, round(any_value(cx), 4) as cx, round(any_value(cy), 4) as cy, round(any_value(r), 4) as r, round(max(abs(sqrt(power(x - cx, 2) + power(y - cy, 2)) - r)), 4) as error from e join c using (chain) group by chain
+""")
 def fitted_circles(spark, sf_dir):
     """Least-squares circles through the events of each user, taken as points."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("chain"), F.col("value").alias("x"), (F.col("event_id") % 97).cast("double").alias("y"))
@@ -97,7 +105,13 @@ def local_threshold(spark, sf_dir):
     return raster.local_threshold(p, 5).groupBy("on").agg(F.count("*").alias("pixels"))
 
 
-@query()
+@query(f"""
+with p as (select x, y, sum(case when ink <= 3 then cov else 0 end)::bigint as p, sum(cov)::bigint as q from {PLATES_SQL} group by 1, 2),
+w as (select a.x, a.y, sum(b.p)::double as sp, sum(b.q)::double as sq, sum(b.p * b.p)::double as pp, sum(b.q * b.q)::double as qq, sum(b.p * b.q)::double as pq
+  from p a, (values (-1), (0), (1)) i(dx), (values (-1), (0), (1)) j(dy) join p b on b.x = a.x + dx and b.y = a.y + dy group by all having count(*) = 9),
+s as (select (2 * (sp / 9) * (sq / 9) + power(17.85, 2)) * (2 * (pq - sp * sq / 9) / 8 + power(53.55, 2)) / ((power(sp / 9, 2) + power(sq / 9, 2) + power(17.85, 2)) * ((pp - sp * sp / 9) / 8 + (qq - sq * sq / 9) / 8 + power(53.55, 2))) as s from w)
+select 1 as page, round(coalesce(avg(s), 1.0), 6) as similarity from s
+""")
 def plate_similarity(spark, sf_dir):
     """Structural similarity of the total coverage of three inks and of all."""
     p = _plates(spark, sf_dir).groupBy("x", "y").agg(F.sum("cov").alias("all"), F.sum(F.when(F.col("ink") <= 3, F.col("cov")).otherwise(0)).alias("three"))
