@@ -186,7 +186,7 @@ def shingle_levels(rows: DataFrame, make: Sets, salt: int, bits: int) -> Broadca
 
     counted = rows.mapInArrow(lean(count), "chunk int, wide int, counts binary").repartition("chunk").sortWithinPartitions("chunk")
     levels = np.zeros(1 << bits, np.uint8)
-    for row in counted.mapInArrow(lean(add), "chunk int, levels binary").toLocalIterator():
+    for row in counted.mapInArrow(lean(add), "chunk int, levels binary").collect():  # 2 ** MOST_BITS bytes at most
         levels[row["chunk"] << CHUNK_BITS : (row["chunk"] + 1) << CHUNK_BITS] = np.frombuffer(row["levels"], np.uint8)
     return spark.sparkContext.broadcast(levels.tobytes())
 

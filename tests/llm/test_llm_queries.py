@@ -219,3 +219,19 @@ def test_very_long_text(spark, name):
     assert {r.doc_id for r in rows} == {1, 2}
     if name == "packing":
         assert sum(r.length for r in rows if r.doc_id == 1) == next(r.doc_tokens for r in rows if r.doc_id == 1)
+
+
+@pytest.mark.parametrize("name", ["bpe", "token_counts", "packing", "pii", "redact", "jaccard", "media", "quality", "alignment", "decontamination"])
+def test_clashing_columns_change_no_value(spark, name):
+    """Values are those of the table without the clashing columns, and repeated rows have equal ones."""
+    rows = [(1, "some words here, mail me at a.b@mail.example now"), (1, "some words here, mail me at a.b@mail.example now"), (2, "other words 10.0.0.1"), (None, "no id"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = OPERATORS[name](df)
+    got = OPERATORS[name](df.withColumns({c: F.lit("x") for c in CLASHES}))
+    columns = [c for c in want.columns if c not in ("sequence_id", "offset")]  # where a piece lies is not fixed
+    plain = lambda found: sorted(repr([r[c] for c in columns]) for r in found.collect())
+    values = plain(want)
+    assert plain(got) == values and len(values) >= 6
+    first = columns.index("doc_id")
+    twins = [v for v, r in ((repr([r[c] for c in columns]), r) for r in want.collect()) if r[columns[first]] == 1]
+    assert len(twins) == 2 and twins[0] == twins[1]
