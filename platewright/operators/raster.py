@@ -437,13 +437,14 @@ def choked(plates: DataFrame, white: str, rx: int, ry: int, solid: int = 128) ->
     return rest.unionByName(plates.join(kept, ["page", "ink", "x", "y"], "left_semi").select(*rest.columns))
 
 
-def gap_boxes(gaps: DataFrame, dpi: float, grow: int = 9, most: int = 40) -> DataFrame:
-    """(page, x, y, w, h, mm2) of gaps (page, x, y), grown together; the first `most` of a page, which is what a report shows."""
+def gap_boxes(gaps: DataFrame, dpi: float, grow: int = 9, most: int | None = 40) -> DataFrame:
+    """(page, x, y, w, h, mm2) of gaps (page, x, y), grown together; the first `most` of a page, which is what a report shows, or all (None)."""
     parts = components(dilated(gaps.select("page", "x", "y").distinct(), square(grow)))
     boxes = component_boxes(parts)
     own = gaps.select("page", "x", "y").distinct().join(pixels_of(parts), ["page", "x", "y"]).groupBy("page", "component").agg((F.count("*") * (25.4 / dpi) ** 2).alias("mm2"))
     ranked = boxes.join(own, ["page", "component"]).withColumn("k", F.row_number().over(Window.partitionBy("page").orderBy("y", "x")))
-    return ranked.where(F.col("k") <= most).select("page", "x", "y", "w", "h", "mm2")
+    shown = ranked if most is None else ranked.where(F.col("k") <= most)
+    return shown.select("page", "x", "y", "w", "h", "mm2")
 
 
 def text_mask(spans: DataFrame, below_pt: float) -> DataFrame:
