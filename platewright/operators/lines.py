@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def line_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
@@ -45,3 +47,32 @@ def along(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa
             yield work(table, line_starts(table, keys))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(apply, schema)
+
+
+def folded(rows: DataFrame, keys: list[str], order: list[str], begin: Callable[[], object], step: Callable[[object, dict], list[tuple]], fields: str) -> DataFrame:
+    """Rows (keys, fields) that `step(state, row)` gives for each row of a line in order; a line begins with the state of `begin`.
+
+    A task holds one state and one batch, however long lines are.
+    """
+    kinds = dict(rows.dtypes)
+    names = [f.split()[0] for f in fields.split(", ")]
+    schema = pa_schema(rows, keys, fields)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, begin()
+        for batch in batches:
+            out: list[dict] = []
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                if key != last:
+                    last, state = key, begin()
+                out += ({**dict(zip(keys, key, strict=True)), **dict(zip(names, made, strict=True))} for made in step(state, row))
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(apply, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), fields]))
+
+
+def pa_schema(rows: DataFrame, keys: list[str], fields: str) -> pa.Schema:
+    """Arrow's types of the keys of `rows` and of `fields`."""
+    kinds = T._parse_datatype_string(fields)
+    return to_arrow_schema(T.StructType([*(rows.schema[k] for k in keys), *kinds]))

@@ -67,7 +67,8 @@ def centre_lines(mask: DataFrame, spread: float = 1.0, slender: float = 3.0) ->
     A part is a stroke if its centre line does not branch, is `slender` times as long as wide and has
     depths that differ by `spread` pixels at most, but at its ends.  `stroke` is the place of the part's first run.
     """
-    parts = raster.pixels_of(raster.components(mask.select("page", "x", "y").distinct())).select("page", "x", F.col("y").cast("long").alias("y"), F.struct("component.y", "component.x0").alias("stroke"))
+    mask = mask.select("page", "x", "y").distinct().checkpoint()
+    parts = raster.pixels_of(raster.components(mask)).select("page", "x", F.col("y").cast("long").alias("y"), F.struct("component.y", "component.x0").alias("stroke")).checkpoint()
     deep = distance.depths(mask).select("page", "x", "y", F.sqrt("square").alias("depth"))
     coded = neighbourhoods(thinned(mask)).withColumn("ways", ways(F.col("code")))
     line = coded.join(parts, ["page", "x", "y"]).join(deep, ["page", "x", "y"]).checkpoint()

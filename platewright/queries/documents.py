@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewright.functions import text
-from platewright.operators import inventory, preflight, words
+from platewright.operators import inventory, preflight, streams, words
 from platewright.registry import SPLIT_SQL, query, table
 
 
@@ -87,14 +87,27 @@ def preflight_findings(spark, sf_dir):
     return found.groupBy("file", "rule", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
-def markup_paints(spark, sf_dir):
-    """The fold over a page's tags as paint operators: tags save and restore the state, letters paint."""
+def _tag_stream(spark, sf_dir):
+    """A page's tags as paint operators (file, page, seq, op, args): tags save and restore the state, letters paint."""
     tags = F.regexp_extract_all("html", F.lit(r"<(/?)([a-zA-Z0-9]+)"), 0)
     t = table(spark, sf_dir, "pages").where("html is not null").select(F.col("page_id").alias("file"), F.posexplode(tags).alias("seq", "tag"))
     name = F.lower(F.regexp_replace("tag", "[</]", ""))
     closing = F.col("tag").startswith("</")
     op = F.when(name == "div", F.when(closing, "Q").otherwise("q")).when(name == "a", F.when(closing, "f").otherwise("cs")).when(name == "p", F.when(closing, "S").otherwise("gs")).otherwise("Tj")
     args = F.when(op == "cs", F.array(F.lit("Spot"))).when(op == "gs", F.array(F.lit("OP=true"))).otherwise(F.array().cast("array<string>"))
-    stream = t.select("file", F.lit(1).alias("page"), F.col("seq").cast("long").alias("seq"), op.alias("op"), args.alias("args"))
-    return inventory.paints(stream).groupBy("file", "what", "space", "overprint").agg(F.count("*").alias("n"))
+    return t.select("file", F.lit(1).alias("page"), F.col("seq").cast("long").alias("seq"), op.alias("op"), args.alias("args"))
+
+
+@query()
+def markup_paints(spark, sf_dir):
+    """The fold over a page's tags as paint operators: tags save and restore the state, letters paint."""
+    return inventory.paints(_tag_stream(spark, sf_dir)).groupBy("file", "what", "space", "overprint").agg(F.count("*").alias("n"))
+
+
+@query()
+def stream_overprints(spark, sf_dir):
+    """Operators put in where technical spaces paint with overprint and others do not; the fold is sequential, tests walk random streams."""
+    stream = _tag_stream(spark, sf_dir)
+    spaces = stream.select("file", F.lit("Spot").alias("space"), F.array(F.when(F.col("file") % 2 == 0, "Dieline").otherwise("PANTONE 185 C")).alias("inks")).distinct()
+    made = streams.overprinted(stream, spaces)
+    return made.groupBy("file").agg(F.count("*").alias("operators"), F.count_if("made").alias("put_in"))

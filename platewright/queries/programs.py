@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewright.functions import calculator
-from platewright.operators import contours, distance, fitting, geometry, profiles, strokes, trapping
+from platewright.operators import contours, distance, fitting, geometry, profiles, streams, strokes, trapping
 from platewright.queries.contours import DISCS_SQL, disc_pages
-from platewright.registry import RGB_SQL, _colours, query, table
+from platewright.registry import PLATES_SQL, RGB_SQL, _colours, _plates, query, table
 
 #: Programs over red, green and blue of 0 to 1, and a table of three by three samples over red and green.
 PROGRAMS = {
@@ -79,7 +79,7 @@ def disc_ellipses(spark, sf_dir):
 @query()
 def ring_strokes(spark, sf_dir):
     """Rims of discs as strokes: how many of a page have one width, their mean width and the longest; tests hold a serial thinning."""
-    discs = disc_pages(spark, sf_dir).where("label > 0")
+    discs = disc_pages(spark, sf_dir).where("label > 0").checkpoint()
     rims = distance.depths(discs.select("page", "x", "y")).where("square <= 5").select("page", "x", "y")
     lines = strokes.centre_lines(rims)
     return lines.groupBy("page", "stroke").agg(F.first("width").alias("width"), F.first("length").alias("length")).groupBy("page").agg(F.count("*").alias("strokes"), F.round(F.avg("width"), 4).alias("width"), F.max("length").alias("longest"))
@@ -96,3 +96,21 @@ def settings_tuned(spark, sf_dir):
     found = fitting.tuned(samples, {"window": [1, 2, 4, 8], "weight": [1, 2, 3]}, {"window": 8, "weight": 3}, score, guard)
     rows = [(k, v, found["adopted"]) for k, v in sorted(found["params"].items())]
     return spark.createDataFrame(rows, "option string, value int, adopted boolean")
+
+
+@query(f"""
+with p as (select x, y, case ink when 1 then 'Cyan' when 2 then 'Magenta' when 3 then 'Yellow' when 4 then 'Black' else 'Spot' || ink end as ink, cov from {PLATES_SQL}),
+b as (select s_suppkey as id, s_suppkey * 7 % 60 as x, s_suppkey * 11 % 60 as y, 1 + s_suppkey % 9 as w, 1 + s_suppkey % 5 as h from supplier),
+m as (select b.id, p.* from b join p on p.x between b.x and b.x + b.w - 1 and p.y between b.y and b.y + b.h - 1 where cov > 0),
+d as (select id, x, y, max(case when ink = 'Black' then cov end) as k, sum(case when ink in ('Cyan', 'Magenta', 'Yellow') then cov else 0 end) as cmy from m group by all),
+r as (select id, case when count(*) >= 4 then avg(cmy) / 255 * 100 / 3 end as black_cmy from d where k >= 127.5 group by 1),
+s as (select id, count(distinct ink) as inks from m where cov > 63.75 group by 1)
+select b.id, round(black_cmy, 6) as black_cmy, coalesce(inks, 0) as inks from b left join r using (id) left join s using (id)
+""")
+def boxes_on_plates(spark, sf_dir):
+    """What plates print under boxes: coloured inks beneath solid black, and how many inks."""
+    names = F.create_map(*(F.lit(v) for kv in {1: "Cyan", 2: "Magenta", 3: "Yellow", 4: "Black"}.items() for v in kv))
+    plates = _plates(spark, sf_dir).select(F.lit(1).alias("page"), F.coalesce(F.try_element_at(names, F.col("ink").cast("int")), F.concat(F.lit("Spot"), F.col("ink").cast("string"))).alias("ink"), "x", "y", "cov")
+    k = F.col("s_suppkey")
+    boxes = table(spark, sf_dir, "supplier").select(F.lit(1).alias("page"), k.alias("id"), (k * 7 % 60).alias("x"), (k * 11 % 60).alias("y"), (1 + k % 9).alias("w"), (1 + k % 5).alias("h"))
+    return streams.under_boxes(plates, boxes, tile=16).select("id", F.round("black_cmy", 6).alias("black_cmy"), "inks")
