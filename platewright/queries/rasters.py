@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewright.operators import plates, raster
-from platewright.registry import PLATES_SQL, _plates, query
+from platewright.registry import DIRECTIONS_SQL, PLATES_SQL, _plates, query
 
 
 def _page(spark, sf_dir):
@@ -31,7 +31,17 @@ def morphology(spark, sf_dir):
     return count(raster.dilated(m, box), "dilated").unionByName(count(raster.closed(m, box), "closed")).unionByName(count(raster.eroded(m, box), "eroded"))
 
 
-@query()
+@query(f"""
+with recursive t as (select x, y, sum(cov) * 100 / 255.0::double as total from {PLATES_SQL} where ink in (1, 2, 3, 4) group by 1, 2),
+o as (select a, b from (values (-1), (0), (1)) s(a), (values (-1), (0), (1)) u(b)),
+grown as (select distinct x + a as x, y + b as y from t, o where total > 250), mask as (select x - a as x, y - b as y from grown, o group by 1, 2 having count(*) = 9),
+walk(i, x, y, l) as (
+  select 0, x, y, y * 1000 + x from mask
+  union all select any_value(v.i) + 1, v.x, v.y, min(n.l) from (select i, x, y, x + a as u, y + b as v from walk, o where i < 300) v join walk n on n.x = v.u and n.y = v.v group by v.x, v.y),
+parts as (select x, y, l from walk where i = 300),
+boxes as (select l, min(x) as x, min(y) as y, max(x) - min(x) + 1 as w, max(y) - min(y) + 1 as h from parts group by l having (max(x) - min(x) + 1) * (max(y) - min(y) + 1) * (25.4::double / 50) ** 2 >= 0.1::double)
+select 1 as page, any_value(b.x) as x, any_value(b.y) as y, any_value(w) as w, any_value(h) as h, round(max(total), 1) as greatest from boxes b join parts p using (l) join t on t.x = p.x and t.y = p.y group by l
+""")
 def high_coverage_regions(spark, sf_dir):
     """Connected regions of total coverage above a limit."""
     t = plates.totals(_plates(spark, sf_dir), [1, 2, 3, 4]).withColumn("page", F.lit(1))
@@ -88,7 +98,17 @@ def histogram_threshold(spark, sf_dir):
     return raster.otsu(_plates(spark, sf_dir).select(F.col("ink").alias("page"), F.col("cov").alias("value")))
 
 
-@query()
+@query(f"""
+with p as (select distinct x, y, ink from {PLATES_SQL} where cov >= 128), cell as (select x, y, list_sort(list(ink)) as inks from p group by all),
+d(dx, dy) as (values {DIRECTIONS_SQL}), disc as (select a, b from range(-2, 3) s(a), range(-2, 3) t(b) where a * a + b * b <= 4),
+border as (select distinct c.x, c.y from cell c, (values (1, 0), (-1, 0), (0, 1), (0, -1)) n(a, b) join cell o on o.x = c.x + n.a and o.y = c.y + n.b where o.inks <> c.inks),
+band as (select distinct x + a as x, y + b as y from border, disc),
+opened as (select c.x, c.y, c.inks[1] as ink, dx, dy from band join cell c using (x, y), d where len(c.inks) = 1 and not exists (select 1 from p where p.ink = c.inks[1] and p.x = c.x - dx and p.y = c.y - dy)),
+probes as (select o.x as px, o.y as py, ink, dx, dy, s, cast(o.x + s * round(dx / sqrt(dx * dx + dy * dy) * k) as bigint) as x, cast(o.y + s * round(dy / sqrt(dx * dx + dy * dy) * k) as bigint) as y from opened o, (values (1), (-1)) t(s), (values (1), (2)) u(k)),
+sides as (select ink, px, py, dx, dy from probes q where exists (select 1 from p where p.x = q.x and p.y = q.y and p.ink <> q.ink) or exists (select 1 from p where p.ink = q.ink and p.x = q.x - dx and p.y = q.y - dy)
+  group by all having count(distinct s) = 2)
+select ink, dx, dy, count(*) as slits from sides group by all
+""")
 def movement_check(spark, sf_dir):
     """Slits that open when an ink moves: inks, worst direction and pixels."""
     return plates.movement_check(_plates(spark, sf_dir), 1.0, 1.0, 128)

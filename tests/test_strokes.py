@@ -109,3 +109,18 @@ def test_guarded_search(spark):
     assert runs < 6 * 5 * 4
     same = fitting.tuned(samples, OPTIONS, best, planted, calm)
     assert same["params"] == best and not same["adopted"]
+
+
+def test_settings_are_scored_and_lines_sampled(spark):
+    scores = spark.createDataFrame([("a", 0.2), ("a", 0.4), ("b", 0.1), ("c", None)], "params string, cer double")
+    assert {r.params: r.cer for r in fitting.evaluated(scores).collect()} == {"a": pytest.approx(0.3), "b": 0.1, "c": 1.0}
+    lines = [(f"case {i % 5}", f"kind {i % 2}", 1, i, 100 * (i % 10), 20 * (i // 10), 50, 10) for i in range(100)]
+    boxes = [(1, 1, 0, 0, 60, 200), (2, 2, 0, 0, 1000, 1000)]  # covers the first column of page 1; page 2 has no lines
+    frame = spark.createDataFrame(lines, "case string, kind string, page int, id int, x int, y int, w int, h int")
+    errors = spark.createDataFrame(boxes, "page int, id int, x int, y int, w int, h int")
+    got = fitting.sampled(frame, errors, per_case=6, per_kind=12).collect()
+    free = {r[3] for r in lines if r[4] != 0}
+    assert {r.id for r in got} <= free and len({r.id for r in got}) == len(got) == 24
+    for key, most in (("case", 6), ("kind", 12)):
+        assert max(sum(getattr(r, key) == v for r in got) for v in {getattr(r, key) for r in got}) <= most
+    assert sorted(map(tuple, got)) == sorted(map(tuple, fitting.sampled(frame.repartition(7), errors, per_case=6, per_kind=12).collect()))
