@@ -110,10 +110,16 @@ def attribute(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.nd
     return out, int(((touched > 0) & ~inside).sum())
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str = "sections", key: str = "doc_id", column: str = "text") -> DataFrame:
+def line_bounds(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a text's lines, their line feeds included."""
+    ends = np.flatnonzero(np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4") == 10) + 1
+    return np.append(0, ends), np.append(ends, len(text or "") + 1)
+
+
+def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str | None = "sections", key: str = "doc_id", column: str = "text") -> DataFrame:
     """Token counts by section.
 
-    `sections` is an array of struct<start, end> in characters.  Returns key, n_tokens, n_sections,
+    `sections` is an array of struct<start, end> in characters; None takes each line for a section.  Returns key, n_tokens, n_sections,
     section_tokens (array, in the order of `sections`), n_crossing and n_outside.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -130,9 +136,9 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str
                 starts, ends, per_text = spans(texts)
                 tokens = np.cumsum([0, *per_text]).tolist()
                 origin, rows = 0, []
-                for i, (text, low, high) in enumerate(zip(texts, part.column("_start").to_pylist(), part.column("_end").to_pylist(), strict=True)):
-                    a = np.array([-1 if v is None else v for v in low], np.int64)
-                    b = np.array([-1 if v is None else v for v in high], np.int64)
+                given = map(line_bounds, texts) if sections is None else zip(part.column("_start").to_pylist(), part.column("_end").to_pylist(), strict=True)
+                for i, (text, (low, high)) in enumerate(zip(texts, given, strict=True)):
+                    a, b = (low, high) if sections is None else (np.array([-1 if v is None else v for v in x], np.int64) for x in (low, high))
                     order = np.flatnonzero((a < b) & (a >= 0))
                     order = order[np.argsort(a[order], kind="stable")]
                     own = slice(tokens[i], tokens[i + 1])
@@ -144,7 +150,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, pattern: str, sections: str
                 n, k, c, x, o = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(x, pa.int64()), pa.array(o, pa.int64())], [key, "n_tokens", "n_sections", "section_tokens", "n_crossing", "n_outside"])
 
-    return df.select(key, column, bounds("start"), bounds("end")).mapInArrow(apply, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, n_sections long, section_tokens array<long>, n_crossing long, n_outside long")
+    return df.select(key, column, *([] if sections is None else [bounds("start"), bounds("end")])).mapInArrow(apply, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, n_sections long, section_tokens array<long>, n_crossing long, n_outside long")
 
 
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))

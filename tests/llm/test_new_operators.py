@@ -202,3 +202,14 @@ def test_decontamination_against_sql(spark, tmp_path):
     rows = queries.op12_decontamination(spark, str(tmp_path))
     assert sorted(map(tuple, rows.collect())) == sorted(db.execute(queries.OP12_SQL).fetchall())
     assert rows.where(F.col("contaminated")).count() > 20
+
+
+def test_lines_are_the_sections_that_are_given(spark):
+    """Token counts by line inside the task equal those of line sections that come as a column."""
+    from platewright.llm import token_counts
+
+    texts = ["", None, "one line", "a\nb\n\nc ñandú 😀\n", "\n\n", "x" * 700 + "\n" + "word " * 90, "tab\there\r\nand there"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    given = token_counts.count_tokens(df.withColumn("sections", token_counts.line_sections(F.col("text"))), A_PATH, P.PATTERN)
+    own = token_counts.count_tokens(df, A_PATH, P.PATTERN, sections=None)
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, given.collect())) and own.columns == given.columns
