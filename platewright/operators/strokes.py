@@ -43,11 +43,11 @@ def neighbourhoods(mask: DataFrame) -> DataFrame:
 
 def thinned(mask: DataFrame) -> DataFrame:
     """Centre lines (page, x, y) of a mask, a pixel wide; each part keeps its holes and its ends."""
-    tables = [F.lit(removable(half)) for half in (0, 1)]
+    tables = [F.lit("".join("1" if gone else "0" for gone in removable(half))) for half in (0, 1)]
     now, left = mask.select("page", "x", F.col("y").cast("long").alias("y")).distinct().checkpoint(), -1
     while True:
         for table in tables:
-            now = neighbourhoods(now).where(~F.element_at(table, F.col("code") + 1)).select("page", "x", "y").checkpoint()
+            now = neighbourhoods(now).where(F.substring(table, (F.col("code") + 1).cast("int"), F.lit(1)) == "0").select("page", "x", "y").checkpoint()
         count = now.count()
         if count == left:
             return now
