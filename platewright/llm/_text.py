@@ -9,8 +9,10 @@ tokenised once per partition.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 
 #: The Unicode White_Space characters, as the body of a character class.
@@ -81,6 +83,7 @@ class Pieces:
         self.alone = Tokenizer(tokenizer.model)
         self.alone.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
         self.table = dict(enumerate(byte_characters()))
+        self.blank_stays = self.table | {32: " "}
 
     def written(self, piece: str) -> str:
         """The piece in byte characters; they hold no blank."""
@@ -88,7 +91,12 @@ class Pieces:
 
     def __call__(self, pieces: list[str], places: bool = True) -> tuple[list[int], list[int], list[tuple[int, int]]]:
         """Ids of all tokens, the piece of each, and their places in the written pieces joined by blanks (if asked for)."""
-        e = self.alone.encode(" ".join(map(self.written, pieces)), add_special_tokens=False)
+        text = " ".join(pieces)
+        if text.count(" ") == len(pieces) - 1:  # no piece holds a blank
+            text = text.encode().decode("latin-1").translate(self.blank_stays)
+        else:
+            text = " ".join(map(self.written, pieces))
+        e = self.alone.encode(text, add_special_tokens=False)
         return e.ids, e.word_ids, e.offsets if places else []
 
 
@@ -98,13 +106,16 @@ class Numbers(dict):
     def __init__(self):
         self.new: list = []
 
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
-
     def of(self, keys: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, keys), np.int32, len(keys))
+        found = np.fromiter(map(self.get, keys, repeat(-1)), np.int32, len(keys))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            missed = [keys[i] for i in unknown.tolist()]
+            fresh = dict.fromkeys(missed)
+            self.update(zip(fresh, range(len(self), len(self) + len(fresh)), strict=True))
+            self.new += fresh
+            found[unknown] = np.fromiter(map(self.__getitem__, missed), np.int32, len(missed))
+        return found
 
 
 class Ragged:
@@ -138,3 +149,21 @@ def solid_words(text: str | None) -> list[str]:
     if not text:
         return []
     return SOLID.findall(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct words between white space, the number among them of every word in order, and each text's number of words."""
+    if pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():  # Arrow splits at these too
+        lists = pa.array([solid_words(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+    else:
+        lists = pc.utf8_split_whitespace(texts)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    codes = pc.list_flatten(lists).dictionary_encode()
+    words, numbers = codes.dictionary.to_numpy(zero_copy_only=False).tolist(), codes.indices.to_numpy()
+    if "" in words:  # white space at an end of a text
+        empty = words.index("")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[numbers != empty], minlength=len(sizes))
+        numbers = numbers[numbers != empty]
+        numbers = numbers - (numbers > empty)
+        del words[empty]
+    return words, numbers, sizes

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewright.llm._shared import lean
-from platewright.llm._text import Numbers, Pieces, Ragged, rows_of, slices, solid_words
+from platewright.llm._text import Numbers, Pieces, Ragged, distinct_words, rows_of, slices
 
 WINDOW = 2048
 CACHE_ENTRIES = 300_000
@@ -33,6 +33,9 @@ SLICE = 2 << 20
 # The tokeniser's own cut of words in small letters below U+0180: letters and numbers there are fixed values.
 LETTERS, NUMBERS = "a-zªµºß-öø-ÿĀ-ſ", "0-9²³¹¼-¾"
 LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^ \\t-\\r\x85\xa0{LETTERS}{NUMBERS}]+|\\n")
+OTHER = re.compile("[^\0-\u012f\u0131-\u017f]")
+#: Pieces that the tokeniser merges at a time: of long texts each one takes longer.
+MERGED_PIECES = 500
 #: Pieces of one packing group; bounds a task's memory.
 GROUP_PIECES = 200_000
 
@@ -54,27 +57,30 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_str(serialized)
         self.merges = Pieces(self.tokenizer)
         self.clear()
+        self.pieces, self.piece_ids = Numbers(), Ragged()
 
     def clear(self) -> None:
         self.words, self.word_ids = Numbers(), Ragged()
-        self.pieces, self.piece_ids = Numbers(), Ragged()
 
     def learn(self, words: list[str]) -> None:
         """Append the words' ids, in order."""
-        latin = lambda w: max(w) < "\u0180" and "\u0130" not in w and "<|" not in w
+        latin = lambda w: not OTHER.search(w) and "<|" not in w
         plain = range(len(words)) if latin("".join(words)) else [i for i, w in enumerate(words) if latin(w)]
         found = LATIN.findall("\n".join([words[i] for i in plain]).lower())  # a line feed is a piece by itself
-        line = self.pieces["\n"]
+        line = int(self.pieces.of(["\n"])[0])
         which = self.pieces.of(found)
         new, self.pieces.new = self.pieces.new, []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        made = []
+        for at in range(0, len(new), MERGED_PIECES):
+            part = new[at : at + MERGED_PIECES]
             ids, of, _ = self.merges([p if p != "\n" else "a" for p in part], places=False)
             ids, of = np.array(ids, np.uint32), np.array(of, np.int64)
             sizes = np.bincount(of, minlength=len(part))
             if at == 0 and part[0] == "\n":  # numbered first
                 ids, sizes[0] = ids[of != 0], 0
-            self.piece_ids.extend(sizes, ids)
+            made.append((sizes, ids))
+        if made:
+            self.piece_ids.extend(*map(np.concatenate, zip(*made, strict=True)))
         sizes, ids = self.piece_ids.gather(which)
         word = np.cumsum(which == line) if found else np.zeros(0, np.int64)
         counts = np.zeros(len(words), np.int64)
@@ -92,18 +98,18 @@ class WordTokens:
                 counts[i] = len(e.ids)
         self.word_ids.extend(counts, np.frombuffer(b"".join([rows[i] for i in range(len(words))]), np.uint32))
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         if len(self.words) > CACHE_ENTRIES:
             self.clear()
-        words = [solid_words(t) for t in texts]
-        numbers = [self.words.of(w) for w in words]
+        if len(self.pieces) > CACHE_ENTRIES:  # words share pieces, which stay longer
+            self.pieces, self.piece_ids = Numbers(), Ragged()
+        words, of, lengths = distinct_words(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+        numbers = self.words.of(words)[of]
         new, self.words.new = self.words.new, []
         if new:
             self.learn(new)
-        if not numbers:
-            return []
-        sizes, ids = self.word_ids.gather(np.concatenate(numbers))
-        return rows_of(ids.astype("<u4"), sizes, [len(w) for w in words])
+        sizes, ids = self.word_ids.gather(numbers)
+        return rows_of(ids.astype("<u4", copy=False), sizes, lengths.tolist())
 
 
 def cuts(length: int, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -126,7 +132,7 @@ def tokenize_and_cut(df: DataFrame, tokenizer_path: str, end_id: int, key: str =
                 tokens = tokens or WordTokens(serialized.value)
                 rows = []
                 keys = part.column(key)
-                for i, ids in enumerate(tokens(part.column(column).to_pylist())):
+                for i, ids in enumerate(tokens(part.column(column))):
                     ids += end
                     n = len(ids) // 4
                     rows += [(i, s, m, zlib.crc32(ids[4 * s : 4 * (s + m)]), n) for s, m in cuts(n, window)]

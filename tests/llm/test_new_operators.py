@@ -7,11 +7,12 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from platewright.llm import alignment, decontaminate, queries, source_audit
+from platewright.llm import alignment, decontaminate, packing, queries, source_audit
 
 A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -213,3 +214,25 @@ def test_lines_are_the_sections_that_are_given(spark):
     given = token_counts.count_tokens(df.withColumn("sections", token_counts.line_sections(F.col("text"))), A_PATH, P.PATTERN)
     own = token_counts.count_tokens(df, A_PATH, P.PATTERN, sections=None)
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, given.collect())) and own.columns == given.columns
+
+
+def test_packing_looks_words_up_once():
+    """A slice's equal words are looked up once; ids are the tokeniser's own, white space of every kind and words of other alphabets too."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    odd = ["".join(rng.choices("ab'sÀéİ日 \x1c\x1f<|endoftext|>٣\n\t\x85\xa0 .,9½", k=rng.randint(0, 14))) for _ in range(400)]
+    texts = ["the same old words " * 2_000, None, "", " ", *odd]
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        serialized = f.read()
+    tokens, looked = packing.WordTokens(serialized), []
+
+    class Counted(type(tokens.words)):
+        def of(self, keys):
+            looked.extend(keys)
+            return super().of(keys)
+
+    tokens.words = Counted()
+    whole = Tokenizer.from_str(serialized)
+    assert [np.frombuffer(x, np.uint32).tolist() for x in tokens(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(looked) == len(set(looked)) and looked.count("same") == 1
