@@ -54,7 +54,6 @@ REGION = 256
 PIVOTS, PER_PIVOT, LEVELS = 256, 64, 4
 #: Regions of a task: home sets for each pivot, sets that are compared without one.
 TASK_PER_PIVOT, LEAF = 16, 4
-CACHE_ENTRIES = 100_000
 #: Bytes of text that are made into sets at a time.
 SLICE = 2 << 20
 #: Shingles for each counter of the first sketch and of a large block's own, most bits of a counter's number (16 MB of levels), counters of a row.
@@ -64,6 +63,10 @@ BATCH_ROWS = 500
 #: Keys that a task remembers with their document.
 HELD_KEYS = 50_000
 
+#: Bytes that stand for white space of ASCII (1) or not (0); masks of a block's first bytes; longest word that is hashed with all others.
+BLANKS = bytes(b in b"\t\n\v\f\r " for b in range(256))
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 #: Makes a task's reader of batches: parts of a batch, each with its rows' sets.
@@ -79,30 +82,64 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word between white space of ASCII starts, and a hash of its bytes, taken eight at a time."""
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = np.frombuffer(data.translate(BLANKS), bool)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    at, left = edges[::2], edges[1::2] - edges[::2]
+    long = np.flatnonzero(left > LONG_WORD)
+    blocks = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the eight bytes from each place on
+    hashes = mix(left.astype(np.uint64) + B)
+    rows, here, size = np.arange(len(at)), at, np.minimum(left, LONG_WORD)
+    while len(rows):
+        hashes[rows] = mix(hashes[rows] * A + (blocks[here] & FIRST_BYTES[np.minimum(size, 8)]))
+        more = np.flatnonzero(size > 8)
+        rows, here, size = rows[more], here[more] + 8, size[more] - 8
+    for i in long.tolist():
+        hashes[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + left[i]])
+    return at, hashes
 
 
 class Shingler:
     """Sets of shingle hashes; words are split at white space of ASCII, capitals A-Z made small."""
 
     def __init__(self, words: int):
-        self.k, self.hashes = words, WordHashes()
+        self.k = words
 
     def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode().lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.hashes) > CACHE_ENTRIES:
-            self.hashes.clear()
-        h = np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
-        k = min(self.k, len(h))
+        return self.sets([text])[0]
+
+    def of_words(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of all runs of k words."""
         out = mix(h[: len(h) - k + 1] + np.uint64(k))
         for j in range(1, k):
             out = mix(out * A + h[j : len(h) - k + 1 + j])
-        return np.unique(out)
+        return out
+
+    def sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's set in increasing order."""
+        if not texts:
+            return []
+        encoded = [t.encode() if t else b"" for t in texts]
+        at, h = word_hashes(b" ".join(encoded).lower())
+        ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in encoded]))
+        starts = np.append(0, ends[:-1])
+        counts = ends - starts
+        runs = self.of_words(h, self.k) if len(h) >= self.k else np.zeros(0, np.uint64)
+        sizes = np.where(counts >= self.k, counts - self.k + 1, np.minimum(counts, 1))
+        after = np.cumsum(sizes)
+        out = np.empty(int(after[-1]), np.uint64)
+        for start, end, n, to, size in zip(starts.tolist(), ends.tolist(), counts.tolist(), after.tolist(), sizes.tolist(), strict=True):
+            if size:
+                own = out[to - size : to]
+                own[:] = runs[start : start + size] if n >= self.k else self.of_words(h[start:end], n)
+                own.sort()
+        first = np.append(True, out[1:] != out[:-1])[: len(out)]
+        first[(after - sizes)[sizes > 0]] = True
+        kept = np.append(0, np.cumsum(first))[np.append(0, after)].tolist()
+        out = out[first]
+        return [out[a:b] for a, b in zip(kept, kept[1:], strict=False)]
 
 
 def of_texts(words: int) -> Sets:
@@ -113,7 +150,7 @@ def of_texts(words: int) -> Sets:
 
         def parts(batch):
             for part in slices(batch, "text", SLICE):
-                yield part, [shingle(t) for t in part.column("text").to_pylist()]
+                yield part, shingle.sets(part.column("text").to_pylist())
             pa.default_memory_pool().release_unused()  # workers stay for the next stages
 
         return parts

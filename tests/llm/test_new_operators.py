@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from platewright.llm import alignment, decontaminate, packing, queries, source_audit
+from platewright.llm import alignment, decontaminate, jaccard_join, packing, queries, source_audit
 
 A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -236,3 +236,24 @@ def test_packing_looks_words_up_once():
     whole = Tokenizer.from_str(serialized)
     assert [np.frombuffer(x, np.uint32).tolist() for x in tokens(texts)] == [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert len(looked) == len(set(looked)) and looked.count("same") == 1
+
+
+@pytest.mark.parametrize("words", [1, 3, 5])
+def test_shingles_hash_words_together(words, monkeypatch):
+    """Sets of many texts have the sizes and common elements of the texts' own shingles; only very long words are hashed one by one."""
+    rng, hashed, plain = random.Random(words), [], jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda word: hashed.append(word) or plain(word))
+    parts = [*"abAB é\x1c\x85\t\n\v\f\r\0", "  ", "W" * 8, "w" * 9, "y" * 64, "z" * 65, "Z" * 130]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(600)] + [None, "", " ", "z" * 65 + " Ab" * 400]
+
+    def by_hand(text):
+        found = re.findall(r"[^ \t-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        k = min(words, len(found))
+        return {tuple(found[i : i + k]) for i in range(len(found) - k + 1)} if found else set()
+
+    sets, expected = jaccard_join.Shingler(words).sets(texts), [by_hand(t) for t in texts]
+    assert [len(s) for s in sets] == [len(s) for s in expected] and all((s[1:] > s[:-1]).all() for s in sets)
+    assert len({s.tobytes() for s in sets}) == len({frozenset(s) for s in expected})
+    for i, j in zip(range(len(texts)), rng.sample(range(len(texts)), len(texts)), strict=True):
+        assert len(np.intersect1d(sets[i], sets[j])) == len(expected[i] & expected[j])
+    assert hashed and min(map(len, hashed)) > jaccard_join.LONG_WORD
