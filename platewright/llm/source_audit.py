@@ -1,6 +1,6 @@
 r"""Audit of how sources of a language diverge in their terms, by mergeable radix tries.
 
-1. Partitions count terms in byte tries, one for each language: a leaf holds the documents of the
+1. Partitions count terms, slice by slice in byte order, in byte tries, one for each language: a leaf holds the documents of the
    term and a counter for each source.  Texts come as UTF-8; bytes of letters and of characters
    beyond ASCII make terms, capitals A-Z made small.  A trie of TRIE_LEAVES leaves is written out in
    byte order and begun anew.
@@ -23,11 +23,13 @@ in the result, so sources of a language are few; beyond BROADCAST_BYTES an error
 
 from __future__ import annotations
 
-from collections import Counter
+import gc
 from collections.abc import Iterator
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,14 @@ class Trie:
 
     def __init__(self):
         self.root, self.leaves, self.counters = Node(b"", {}, None), 0, 0
+        self.path = [(b"", self.root)]  # nodes down to the last key's, with their bytes
 
     def leaf(self, key: bytes) -> list[int]:
-        node, at, n = self.root, 0, len(key)
+        """Found from the last key's path: near keys one after another are found in few steps."""
+        path = self.path
+        while not key.startswith(path[-1][0]):
+            path.pop()
+        node, at, n = path[-1][1], len(path[-1][0]), len(key)
         while at < n:
             if node.below is None:
                 node.below = {}
@@ -70,11 +77,13 @@ class Trie:
             if child is None:
                 child = node.below[key[at]] = Node(key[at:], None, None)
                 node = child
+                path.append((key, node))
                 break
             edge = child.edge
             if key.startswith(edge, at):
                 node = child
                 at += len(edge)
+                path.append((key[:at], node))
                 continue
             k = 1
             while k < len(edge) and at + k < n and edge[k] == key[at + k]:
@@ -82,21 +91,21 @@ class Trie:
             node.below[key[at]] = node = Node(edge[:k], {edge[k]: child}, None)
             child.edge = edge[k:]
             at += k
+            path.append((key[:at], node))
         if node.leaf is None:
             node.leaf = [0]
             self.leaves += 1
         return node.leaf
 
-    def add(self, documents: Counter, sources: dict[int, Counter]) -> None:
-        """Terms' documents, and their counts in each source."""
-        found = {}
-        for term, n in documents.items():
-            found[term] = leaf = self.leaf(term)
+    def add(self, terms: list[bytes], documents: list[int], counters: list[int], ends: list[int]) -> None:
+        """Terms' documents and counters: source, count, source, count, ... up to each of `ends`."""
+        self.counters += len(counters) // 2
+        at = 0
+        for term, n, end in zip(terms, documents, ends, strict=True):
+            leaf = self.leaf(term)
             leaf[0] += n
-        for source, counts in sources.items():
-            self.counters += len(counts)
-            for term, n in counts.items():
-                found[term] += (source, n)
+            leaf += counters[at:end]
+            at = end
 
     def __iter__(self) -> Iterator[tuple[bytes, list[int]]]:
         """Leaves in the order of their bytes."""
@@ -112,32 +121,34 @@ class Trie:
 
 def _rows(lang: str, trie: Trie, names: list[str]) -> Iterator[pa.RecordBatch]:
     """A trie's leaves as rows; counters of one source are added."""
-    terms, docs, sources, counts, ends = [], [], [], [], [0]
-
-    def batch() -> pa.RecordBatch:
-        n = len(terms)
-        ids = pa.DictionaryArray.from_arrays(pa.array(sources, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
-        columns = [pa.array([lang] * n, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(counts, pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, schema=LEAF_SCHEMA)
-
-    for term, leaf in trie:
-        terms.append(term)
-        docs.append(leaf[0])
-        if len(leaf) == 3:
-            sources.append(leaf[1])
-            counts.append(leaf[2])
-        else:
-            held: dict[int, int] = {}
-            for s, n in zip(leaf[1::2], leaf[2::2], strict=True):
-                held[s] = held.get(s, 0) + n
-            sources.extend(held)
-            counts.extend(held.values())
-        ends.append(len(sources))
-        if len(terms) == LEAF_ROWS:
-            yield batch()
-            terms, docs, sources, counts, ends = [], [], [], [], [0]
-    if terms:
-        yield batch()
+    names = pa.array(names, pa.string())
+    for found in batched(trie, LEAF_ROWS):
+        terms, leaves = zip(*found, strict=True)
+        sizes = np.fromiter(map(len, leaves), np.int64, len(leaves))
+        flat = np.fromiter(chain.from_iterable(leaves), np.int64, int(sizes.sum()))
+        starts = np.cumsum(sizes) - sizes
+        docs, pairs = flat[starts], np.delete(flat, starts).reshape(-1, 2)
+        keys, where = np.unique(np.repeat(np.arange(len(leaves)), sizes // 2) * len(names) + pairs[:, 0], return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, where, pairs[:, 1])
+        ends = pa.array(np.searchsorted(keys, np.arange(len(leaves) + 1) * len(names)).astype(np.int32))
+        sources = pa.DictionaryArray.from_arrays(pa.array((keys % len(names)).astype(np.int32)), names).cast(pa.string())
+        columns = [pa.array([lang] * len(leaves), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(docs), pa.ListArray.from_arrays(ends, sources), pa.ListArray.from_arrays(ends, pa.array(counts))]
+        yield pa.RecordBatch.from_arrays(columns, schema=LEAF_SCHEMA)
+
+
+def _terms(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct terms, the number among them of every term in order, and its text's number."""
+    lists = pc.ascii_split_whitespace(pa.array([t.translate(TO_TERMS) for t in texts], pa.binary()).cast(pa.string()))
+    codes = pc.list_flatten(lists).dictionary_encode()
+    text, code = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy()), codes.indices.to_numpy().astype(np.int64)
+    empty = pc.index(codes.dictionary, "").as_py()  # of a blank at an end
+    if empty >= 0:
+        text, code = text[code != empty], code[code != empty]
+    order = pc.sort_indices(codes.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return codes.dictionary.take(order).cast(pa.binary()), rank[code], text
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,24 +163,36 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tries.clear()
         numbers.clear()
 
-    for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
-            documents: dict[str, Counter] = {}
-            sources: dict[str, dict[int, Counter]] = {}
-            texts = part.column("text").cast(pa.binary()).to_pylist()
-            for text, lang, source in zip(texts, part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True):
-                terms = text.translate(TO_TERMS).split()
-                if terms:
-                    n = numbers.setdefault(source, len(numbers))
-                    if lang not in documents:
-                        documents[lang], sources[lang] = Counter(), {}
-                    documents[lang].update(set(terms))
-                    sources[lang].setdefault(n, Counter()).update(terms)
-            for lang in documents:
-                tries.setdefault(lang, Trie()).add(documents[lang], sources[lang])
-            if sum(t.leaves for t in tries.values()) >= TRIE_LEAVES or sum(t.counters for t in tries.values()) >= TRIE_COUNTERS:
-                yield from flushed()
-    yield from flushed()
+    collects = gc.isenabled()
+    gc.disable()  # tries have no cycles, and many nodes to look through
+    try:
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                terms, code, text = _terms(part.column("text").cast(pa.binary()).to_pylist())
+                if not len(code):
+                    continue
+                langs = part.column("lang").dictionary_encode()
+                source = np.array([numbers.setdefault(s, len(numbers)) for s in part.column("source").to_pylist()], np.int64)
+                code = code + len(terms) * langs.indices.to_numpy().astype(np.int64)[text]  # of a language's term
+                seen = np.sort(code * part.num_rows + text)
+                once = seen[np.append(True, seen[1:] != seen[:-1])] // part.num_rows
+                found, documents = np.unique(once, return_counts=True)
+                pairs, counts = np.unique(code * len(numbers) + source[text], return_counts=True)
+                counters = np.stack([pairs % len(numbers), counts], axis=1).ravel()
+                ends = 2 * np.searchsorted(pairs, (found + 1) * len(numbers))
+                words = terms.to_numpy(zero_copy_only=False)
+                for k, lang in enumerate(langs.dictionary.to_pylist()):
+                    lo, hi = np.searchsorted(found, [k * len(terms), (k + 1) * len(terms)])
+                    if lo < hi:
+                        first = 0 if not lo else ends[lo - 1]
+                        own = words[found[lo:hi] - k * len(terms)].tolist()
+                        tries.setdefault(lang, Trie()).add(own, documents[lo:hi].tolist(), counters[first : ends[hi - 1]].tolist(), (ends[lo:hi] - first).tolist())
+                if sum(t.leaves for t in tries.values()) >= TRIE_LEAVES or sum(t.counters for t in tries.values()) >= TRIE_COUNTERS:
+                    yield from flushed()
+        yield from flushed()
+    finally:
+        if collects:
+            gc.enable()
 
 
 def trie_leaves(docs: DataFrame) -> DataFrame:

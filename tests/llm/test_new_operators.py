@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -257,3 +258,38 @@ def test_shingles_hash_words_together(words, monkeypatch):
     for i, j in zip(range(len(texts)), rng.sample(range(len(texts)), len(texts)), strict=True):
         assert len(np.intersect1d(sets[i], sets[j])) == len(expected[i] & expected[j])
     assert hashed and min(map(len, hashed)) > jaccard_join.LONG_WORD
+
+
+def test_trie_finds_near_keys_in_few_steps():
+    """Keys in order are found from the last one's path; every slice adds the counters of its texts."""
+    steps = []
+
+    class Key(bytes):
+        def startswith(self, *args):
+            steps.append(args)
+            return super().startswith(*args)
+
+    trie, keys = source_audit.Trie(), [b"a" * i + b"b" * (j % 2) for i in range(1, 200) for j in range(2)]
+    for key in [*keys, *sorted(keys)]:
+        trie.leaf(Key(key))[0] += 1
+    assert [(k, leaf[0]) for k, leaf in trie] == [(k, 2) for k in sorted(keys)] and len(steps) < 6 * 2 * len(keys)
+
+
+def test_counted_leaves_against_counts(monkeypatch):
+    rng = random.Random(3)
+    rows = [("".join(rng.choices("abAZ é漢\0\x1c\x85 .9", k=rng.randint(0, 12))), rng.choice(["", "en", "de"]), rng.choice(["", "s", "t"])) for _ in range(900)]
+    expected = Counter()
+    for text, lang, source in rows:
+        terms = re.findall("[^\x00-\x40\x5b-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        expected.update((lang, t, source) for t in terms)
+        expected.update((lang, t, None) for t in set(terms))
+    table = pa.table({name: [r[i] for r in rows] for i, name in enumerate(("text", "lang", "source"))})
+    for most in (400_000, 5):
+        monkeypatch.setattr(source_audit, "TRIE_LEAVES", most)
+        found = Counter()
+        for batch in source_audit._counted(iter(table.to_batches(50))):
+            for r in batch.to_pylist():
+                assert len(set(r["sources"])) == len(r["sources"])
+                found[r["lang"], r["term"], None] += r["docs"]
+                found.update({(r["lang"], r["term"], s): n for s, n in zip(r["sources"], r["counts"], strict=True)})
+        assert found == expected
