@@ -19,15 +19,19 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from platewright.llm._text import CHUNK, FIRST_LATER, Numbers, Ragged, rows_of, settled, slices
+from platewright.llm._text import CHUNK, FIRST_LATER, SPACES, Numbers, Ragged, rows_of, settled, slices
 
+#: A chunk whose white space is one leading blank at most; the four control characters are white space to some.
+SINGLE = re.compile(f" ?[^{SPACES}\x1c-\x1f]+")
 LONG_PIECE = 512
 CACHE_ENTRIES = 1_000_000
 #: Pieces of one recursive query.
@@ -113,6 +117,18 @@ class Codec:
         """The pattern's matches in a chunk; letters beyond the first later one need the full tables."""
         return (self.plain if max(chunk) < FIRST_LATER else self.full).findall(chunk)
 
+    def split_all(self, chunks: list[str]) -> list[list[str]]:
+        """Pieces of each chunk.  Chunks without white space but a leading blank are cut together, a line feed between
+        two: no match but white space goes over it."""
+        out: list = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if max(c) < FIRST_LATER and SINGLE.fullmatch(c)]
+        pieces = self.plain.findall("\n".join([chunks[i] for i in plain]))
+        ends = [-1, *(at for at, p in enumerate(pieces) if p == "\n"), len(pieces)]
+        if len(ends) == len(plain) + 1:  # else the pattern is of another kind and takes line feeds along
+            for i, a, b in zip(plain, ends[:-1], ends[1:], strict=True):
+                out[i] = pieces[a + 1 : b]
+        return [self.split(c) if p is None else p for c, p in zip(chunks, out, strict=True)]
+
     def merge_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of tokens of the pieces, and their ids one after another."""
         sizes, out = [], []
@@ -176,10 +192,13 @@ class Codec:
         if len(self.chunks) > CACHE_ENTRIES:
             self.clear()
         chunks = [CHUNK.findall(t) if t else [] for t in texts]
-        numbers = [self.chunks.of(c) for c in chunks]
+        lengths = [len(c) for c in chunks]
+        codes = pa.array(list(chain.from_iterable(chunks)), pa.large_string()).dictionary_encode()  # equal chunks are looked up once
+        chunks = codes.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self.chunks.of(chunks)[codes.indices.to_numpy()]
         fresh, self.chunks.new = self.chunks.new, []
         if fresh:
-            parts = [self.split(c) for c in fresh]
+            parts = self.split_all(fresh)
             which = self.pieces.of([p for part in parts for p in part])
             new, self.pieces.new = self.pieces.new, []
             if new:
@@ -187,10 +206,8 @@ class Codec:
             sizes, ids = self.piece_ids.gather(which)
             chunk = np.repeat(np.arange(len(fresh)), [len(p) for p in parts])
             self.chunk_ids.extend(np.bincount(chunk, sizes, len(fresh)).astype(np.int64), ids)
-        if not numbers:
-            return []
-        sizes, ids = self.chunk_ids.gather(np.concatenate(numbers))
-        return rows_of(ids.astype("<u4"), sizes, [len(c) for c in chunks])
+        sizes, ids = self.chunk_ids.gather(numbers)
+        return rows_of(ids.astype("<u4", copy=False), sizes, lengths)
 
     def decode(self, sequences: list[bytes], budget: int = 1_500_000) -> list[bytes]:
         """Bytes of each id sequence; id rows go to DuckDB in groups of some `budget` rows."""

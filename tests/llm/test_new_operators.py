@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from platewright.llm import alignment, decontaminate, jaccard_join, packing, queries, source_audit
+from platewright.llm import alignment, bpe, decontaminate, jaccard_join, packing, queries, source_audit
 
 A_PATH, B_PATH = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
 
@@ -293,3 +293,17 @@ def test_counted_leaves_against_counts(monkeypatch):
                 found[r["lang"], r["term"], None] += r["docs"]
                 found.update({(r["lang"], r["term"], s): n for s, n in zip(r["sources"], r["counts"], strict=True)})
         assert found == expected
+
+
+def test_bpe_cuts_plain_chunks_together(monkeypatch):
+    """Only chunks of other white space are cut one by one; ids are those of the library."""
+    import tiktoken
+
+    ranks, alone, plain = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), [], bpe.Codec.split
+    monkeypatch.setattr(bpe.Codec, "split", lambda self, chunk: alone.append(chunk) or plain(self, chunk))
+    rng = random.Random(6)
+    texts = ["".join(rng.choices([*"ab'sÀé日 \x1c\x85\xa0\n\t\r.,!9½ª", "  ", " \n", "'re"], k=rng.randint(0, 14))) for _ in range(1500)] + [None, "", " ", "\n", "it's 12 plain words, twice: plain words!"]
+    library = tiktoken.Encoding("multi", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec = bpe.Codec(ranks, P.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == [library.encode_ordinary(t or "") for t in texts]
+    assert alone and not [c for c in alone if max(c) < bpe.FIRST_LATER and bpe.SINGLE.fullmatch(c)]
