@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from platewright.operators import contours, diffusion, distance, illumination, raster, visual, windows
+from platewright.operators import contours, diffusion, distance, illumination, raster, tiles, visual, windows
 
 
 def pages_of(spark, pages, names="value"):
@@ -181,6 +181,18 @@ def test_chains_meet_at_nodes(spark):
     assert sum(len(own) for (page, _), own in by.items() if page == 7) == 16 + 36 and sum(own[0].closed for own in by.values() if own[0].page == 7) == 2
 
 
+def test_loops_across_tiles(spark):
+    """Tiles of eight places give the outlines that one tile gives, and pages of one tile need no rounds."""
+    rng = np.random.default_rng(11)
+    blocks = np.kron(rng.integers(0, 3, (6, 7)), np.ones((4, 5), int))
+    frame = np.zeros((8, 8), int)  # its outline lies in four tiles, as its right and lower sides count
+    pages = {1: blocks, 2: rng.integers(0, 2, (19, 21)), 3: np.where(rng.random((40, 9)) < 0.8, 1, 0), 4: frame}
+    d = pages_of(spark, pages, "label")
+    one, many = (sorted(map(tuple, contours.loops(d, bits).collect())) for bits in (8, 3))
+    assert one == many and len(one) > 1000
+    assert not tiles.several(d) and tiles.several(d.where("page = 4"), 3)
+
+
 def test_compared_pages(spark):
     """A removed, a recoloured and a moved element, an untouched one, and a page that is equal."""
     h, w = 130, 300
