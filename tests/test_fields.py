@@ -193,6 +193,24 @@ def test_loops_across_tiles(spark):
     assert not tiles.several(d) and tiles.several(d.where("page = 4"), 3)
 
 
+def test_chains_across_tiles(spark):
+    """Tiles of eight places give the chains that one tile gives; lists given by their links alone too."""
+    rng = np.random.default_rng(12)
+    spiral = np.zeros((30, 30), int)
+    for k in range(1, 14, 4):
+        spiral[k, k : 29 - k] = spiral[k : 29 - k, 28 - k] = spiral[28 - k, k + 2 : 29 - k] = spiral[k + 4 : 29 - k, k + 2] = 1
+    pages = {1: np.kron(rng.integers(0, 3, (6, 7)), np.ones((4, 5), int)), 2: rng.integers(0, 2, (19, 21)), 3: spiral}
+    d = pages_of(spark, pages, "label")
+    one, many = (sorted(map(tuple, contours.chains(d, bits).collect())) for bits in (8, 3))
+    assert one == many and len(one) > 1000
+    # a ring and a line over many tiles, by their links
+    ring = [(x, 0) for x in range(30)] + [(29 - x, 9) for x in range(30)]
+    ids = [(y << 29) + x << 2 for x, y in ring]
+    links = [(1, a, b) for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)] + [(2, a, b) for a, b in zip(ids, [*ids[1:], None], strict=True)]
+    got = contours.ranked(spark.createDataFrame(links, "page int, id long, next long"), bits=3).collect()
+    assert {(r.page, r.id): (r.list, r.pos, r.length, r.closed) for r in got} == {(1, i): (0, k, 60, True) for k, i in enumerate(ids)} | {(2, i): (ids[-1], k, 60, False) for k, i in enumerate(ids)}
+
+
 def test_compared_pages(spark):
     """A removed, a recoloured and a moved element, an untouched one, and a page that is equal."""
     h, w = 130, 300
