@@ -72,6 +72,7 @@ def fitted_ellipses(points: DataFrame, keys: tuple[str, ...] = ("chain",), least
     import numpy as np
     import pyarrow as pa
 
+    points = points.select(*keys, "x", "y").repartition(*keys)  # one shuffle for all that follows
     size = points.groupBy(*keys).agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("_s"), F.count("*").alias("_n")).where(F.col("_n") >= least)
     d = points.join(size, list(keys)).withColumns({"_u": (F.col("x") - F.col("_mx")) / F.col("_s"), "_v": (F.col("y") - F.col("_my")) / F.col("_s")})
     powers = {f"_{i}{j}": (i, j) for i in range(5) for j in range(5 - i)}
@@ -85,58 +86,50 @@ def fitted_ellipses(points: DataFrame, keys: tuple[str, ...] = ("chain",), least
             table = {name: batch.column(name).to_numpy() for name in powers}
             moment = lambda one, two: np.stack([np.stack([table[f"_{a + c}{b + e}"] for c, e in two], -1) for a, b in one], -2)  # noqa: E731, B023
             s1, s2, s3 = moment(square, square), moment(square, line), moment(line, line)
-            found = []
-            for k in range(batch.num_rows):
-                if np.linalg.cond(s3[k]) > 1e10:
-                    continue
-                back = -np.linalg.solve(s3[k], s2[k].T)
-                m = s1[k] + s2[k] @ back
-                values, vectors = np.linalg.eig(np.array([m[2] / 2, -m[1], m[0] / 2]))
-                vectors = vectors.real
-                bent = 4 * vectors[0] * vectors[2] - vectors[1] ** 2
-                good = np.flatnonzero((bent > 1e-9) & (abs(values.imag) < 1e-9))
-                if not len(good):
-                    continue
-                a, b, c = one = vectors[:, good[values.real[good].argmin()]]
-                e, f, g = back @ one
-                cx, cy = np.linalg.solve([[2 * a, b], [b, 2 * c]], [-e, -f])
-                level = -(g + (e * cx + f * cy) / 2)
-                axes, turned = np.linalg.eigh([[a, b / 2], [b / 2, c]])
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    radii = np.sqrt(level / axes)
-                if not np.isfinite(radii).all():
-                    continue
-                long = int(radii.argmax())
-                found.append((k, cx, cy, radii[long], radii[1 - long], np.arctan2(turned[1, long], turned[0, long]) % np.pi))
-            rows = [f[0] for f in found]
+            rows = np.flatnonzero(~(np.linalg.cond(s3) > 1e10)) if batch.num_rows else np.zeros(0, np.int64)
+            s1, s2, s3 = s1[rows], s2[rows], s3[rows]
+            back = -np.linalg.solve(s3, s2.transpose(0, 2, 1))
+            m = s1 + s2 @ back
+            values, vectors = np.linalg.eig(np.stack([m[:, 2] / 2, -m[:, 1], m[:, 0] / 2], 1))
+            vectors = vectors.real
+            bent = 4 * vectors[:, 0] * vectors[:, 2] - vectors[:, 1] ** 2
+            good = (bent > 1e-9) & (abs(values.imag) < 1e-9)
+            some = good.any(1)
+            rows, vectors, back = rows[some], vectors[some], back[some]
+            one = np.take_along_axis(vectors, np.where(good, values.real, np.inf)[some].argmin(1)[:, None, None], 2)[..., 0]
+            a, b, c = one.T
+            e, f, g = (back @ one[..., None])[..., 0].T
+            cx, cy = np.linalg.solve(np.stack([np.stack([2 * a, b], -1), np.stack([b, 2 * c], -1)], -2), np.stack([-e, -f], -1)[..., None])[..., 0].T
+            level = -(g + (e * cx + f * cy) / 2)
+            axes, turned = np.linalg.eigh(np.stack([np.stack([a, b / 2], -1), np.stack([b / 2, c], -1)], -2))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                radii = np.sqrt(level[:, None] / axes)
+            real = np.isfinite(radii).all(1)
+            rows, cx, cy, radii, turned = rows[real], cx[real], cy[real], radii[real], turned[real]
+            long = radii.argmax(1)[:, None]
+            axis = np.take_along_axis(turned, long[:, None], 2)[..., 0]
+            a, b, angle = np.take_along_axis(radii, long, 1)[:, 0], np.take_along_axis(radii, 1 - long, 1)[:, 0], np.arctan2(axis[:, 1], axis[:, 0]) % np.pi
             scale, mx, my = (batch.column(c).to_numpy()[rows] for c in ("_s", "_mx", "_my"))
-            cx, cy, a, b, angle = np.array([f[1:] for f in found]).reshape(-1, 5).T
             columns = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
             yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, (cx * scale + mx, cy * scale + my, a * scale, b * scale, angle))], [*keys, "cx", "cy", "a", "b", "angle"])
 
     made = sums.mapInArrow(solved, f"{kinds}, cx double, cy double, a double, b double, angle double").where(F.col("b") >= shortest)
-    away = points.join(made, list(keys)).groupBy(*keys, "cx", "cy", "a", "b", "angle").agg(F.max(ellipse_distance(F.col("x"), F.col("y"))).alias("error"))
+    away = ellipse_distance(points.join(made, list(keys)), "_e").groupBy(*keys, "cx", "cy", "a", "b", "angle").agg(F.max("_e").alias("error"))
     return away.select(*keys, "cx", "cy", "a", "b", "angle", "error")
 
 
-def ellipse_distance(x: Column, y: Column, steps: int = 6) -> Column:
-    """Distance of a point from the ellipse of the columns cx, cy, a, b, angle, by steps along the circle of curvature."""
-    dx, dy = x - F.col("cx"), y - F.col("cy")
-    u, v = F.abs(dx * F.cos("angle") + dy * F.sin("angle")), F.abs(dy * F.cos("angle") - dx * F.sin("angle"))
-    a, b = F.col("a"), F.col("b")
-
-    def step(t: Column) -> Column:
-        px, py = a * t["c"], b * t["s"]
-        ex, ey = (a * a - b * b) * F.pow(t["c"], F.lit(3)) / a, (b * b - a * a) * F.pow(t["s"], F.lit(3)) / b
-        rx, ry, qx, qy = px - ex, py - ey, u - ex, v - ey
-        share = F.hypot(rx, ry) / F.greatest(F.hypot(qx, qy), F.lit(1e-12))
-        c, s = (F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)) for z in ((qx * share + ex) / a, (qy * share + ey) / b))
-        n = F.greatest(F.hypot(c, s), F.lit(1e-12))
-        return F.struct((c / n).alias("c"), (s / n).alias("s"))
-
-    start = F.struct(F.lit(math.sqrt(0.5)).alias("c"), F.lit(math.sqrt(0.5)).alias("s"))
-    at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda t, _: step(t))
-    return F.hypot(u - a * at["c"], v - b * at["s"])
+def ellipse_distance(points: DataFrame, name: str, steps: int = 6) -> DataFrame:
+    """`points` (x, y, cx, cy, a, b, angle, ...) with their distance from the ellipse as `name`, by steps along the circle of curvature."""
+    c, columns = F.col, points.columns
+    dx, dy = c("x") - c("cx"), c("y") - c("cy")
+    d = points.withColumns({"_p": F.abs(dx * F.cos("angle") + dy * F.sin("angle")), "_q": F.abs(dy * F.cos("angle") - dx * F.sin("angle")), "_c": F.lit(math.sqrt(0.5)), "_s": F.lit(math.sqrt(0.5))})
+    for _ in range(steps):
+        d = d.withColumns({"_ex": (c("a") * c("a") - c("b") * c("b")) * F.pow("_c", F.lit(3)) / c("a"), "_ey": (c("b") * c("b") - c("a") * c("a")) * F.pow("_s", F.lit(3)) / c("b")})
+        d = d.withColumn("_t", F.hypot(c("a") * c("_c") - c("_ex"), c("b") * c("_s") - c("_ey")) / F.greatest(F.hypot(c("_p") - c("_ex"), c("_q") - c("_ey")), F.lit(1e-12)))
+        held = lambda z: F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0))
+        d = d.withColumns({"_c": held(((c("_p") - c("_ex")) * c("_t") + c("_ex")) / c("a")), "_s": held(((c("_q") - c("_ey")) * c("_t") + c("_ey")) / c("b"))})
+        d = d.withColumn("_n", F.greatest(F.hypot("_c", "_s"), F.lit(1e-12))).withColumns({"_c": c("_c") / c("_n"), "_s": c("_s") / c("_n")})
+    return d.select(*columns, F.hypot(c("_p") - c("a") * c("_c"), c("_q") - c("b") * c("_s")).alias(name))
 
 
 def _product(names: tuple[str, ...]) -> Column:
