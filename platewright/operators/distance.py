@@ -93,11 +93,43 @@ def nearest_seeds(places: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def depths(mask: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:
-    """(keys, x, y, square): squared distance of a mask's pixels to the nearest place that is not in it, beyond the page too."""
-    each = mask.select(*keys, "x", "y").distinct()
-    around = F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))).alias("d")
-    grown = each.select(*keys, around, "x", "y").select(*keys, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).distinct()
-    rim = grown.join(each, [*keys, "x", "y"], "left_anti").withColumn("label", F.lit(0))  # the nearest place outside is always next to the mask
-    named = lambda df: df.select(F.to_json(F.struct(*keys)).alias("page"), "x", "y", *(c for c in df.columns if c == "label"))
+    """(keys, x, y, square): squared distance of a mask's pixels to the nearest place that is not in it, beyond the page too.
+
+    Each column's unbroken runs give a pixel the distance to their ends; within a row's unbroken run and
+    the places at its ends the parabolas that stand on these distances hold the least one.
+    """
     kinds = ", ".join(f"`{k}` {dict(mask.dtypes)[k]}" for k in keys)
-    return nearest_seeds(named(each), named(rim)).select(F.from_json("page", kinds).alias("k"), "x", "y", "square").select(*(F.col("k")[k].alias(k) for k in keys), "x", "y", "square")
+
+    def run_ends(table: pa.Table, starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each row its run's number, first and last place."""
+        begins = np.ones(len(at), bool)
+        begins[1:] = at[1:] != at[:-1] + 1
+        begins[starts] = True
+        first = np.flatnonzero(begins)
+        run = np.cumsum(begins) - 1
+        return run, at[first][run], at[np.append(first[1:], len(at)) - 1][run]
+
+    def by_columns(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        y = table.column("y").to_numpy()
+        new = np.ones(len(y), bool)
+        new[1:] = y[1:] != y[:-1]
+        new[starts] = True
+        if not new.all():  # pixels given twice
+            starts, table, y = (np.cumsum(new) - 1)[starts], table.filter(pa.array(new)).combine_chunks(), y[new]
+        _, first, last = run_ends(table, starts, y)
+        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in (*keys, "x", "y")), pa.array(np.minimum(y - first, last - y) + 1)], [*keys, "x", "y", "far"])
+
+    def by_rows(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x, far = table.column("x").to_numpy(), table.column("far").to_numpy()
+        run, first, last = run_ends(table, starts, x)
+        begin = np.flatnonzero(np.append(True, run[1:] != run[:-1])) if len(run) else run
+        own = np.concatenate([run, run[begin], run[begin]])
+        at = np.concatenate([x, first[begin] - 1, last[begin] + 1])
+        height = np.concatenate([far * far, np.zeros(2 * len(begin), np.int64)])
+        order = np.lexsort((at, own))
+        square = lower_envelope(x, run, at[order], height[order], own[order])
+        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in (*keys, "x", "y")), pa.array(square)], [*keys, "x", "y", "square"])
+
+    whole = mask.select(*keys, *(F.col(c).cast("long").alias(c) for c in ("x", "y")))
+    found = along(whole, [*keys, "x"], ["y"], by_columns, f"{kinds}, x long, y long, far long")
+    return along(found, [*keys, "y"], ["x"], by_rows, f"{kinds}, x long, y long, square long")

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewright.operators import distance, windows
+from platewright.operators import distance, tiles, windows
 
 NEAR4 = [(1, 0), (-1, 0), (0, 1), (0, -1)]
 NEAR8 = [*NEAR4, (1, 1), (1, -1), (-1, 1), (-1, -1)]
@@ -32,17 +34,40 @@ def _shifts(offsets: list[tuple[int, int]]) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in offsets))).alias("d")
 
 
+def _morphed(mask: DataFrame, offsets: list[tuple[int, int]], keys: tuple[str, ...], all_: bool) -> DataFrame:
+    """Places (keys, x, y) from which one of the `offsets`, or all of them, leads to a pixel of the mask."""
+    kinds = dict(mask.dtypes)
+    radius = max(max(abs(a), abs(b)) for a, b in offsets)
+    bits = max(tiles.BITS, (2 * radius).bit_length())
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        rows, xs, ys = [], [], []
+        for lo, _, tx, ty, x, y in tiles.each(table, starts):
+            ox, oy = int(x.min()) - radius, int(y.min()) - radius
+            h, w = int(y.max()) - oy + radius + 1, int(x.max()) - ox + radius + 1
+            on = np.zeros((h + 2 * radius, w + 2 * radius), bool)
+            on[y - oy + radius, x - ox + radius] = True
+            out = np.full((h, w), all_)
+            for dx, dy in offsets:
+                (np.logical_and if all_ else np.logical_or)(out, on[radius + dy : radius + dy + h, radius + dx : radius + dx + w], out=out)
+            i, j = np.nonzero(out)
+            own = (j + ox >> bits == tx) & (i + oy >> bits == ty)
+            xs.append(j[own] + ox), ys.append(i[own] + oy), rows.append(np.full(int(own.sum()), lo))
+        at, x, y = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (rows, xs, ys))
+        return pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks().take(pa.array(at)) for k in keys), pa.array(x), pa.array(y)], [*keys, "x", "y"])
+
+    made = tiles.tiled(mask.select(*keys, "x", "y"), keys, radius, work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "x long, y long"]), bits)
+    return made.select(*keys, *(F.col(c).cast(kinds[c]).alias(c) for c in ("x", "y")))
+
+
 def dilated(mask: DataFrame, offsets: list[tuple[int, int]], keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """Pixels (keys, x, y) that the mask reaches by an offset."""
-    moved = mask.select(*keys, "x", "y", _shifts(offsets)).select(*keys, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y"))
-    return moved.distinct()
+    return _morphed(mask, [(-dx, -dy) for dx, dy in offsets], keys, False)
 
 
 def eroded(mask: DataFrame, offsets: list[tuple[int, int]], keys: tuple[str, ...] = ("page",)) -> DataFrame:
     """Pixels all of whose offsets are in the mask."""
-    each = mask.select(*keys, "x", "y").distinct()
-    came = each.select(*keys, "x", "y", _shifts([(-dx, -dy) for dx, dy in offsets])).groupBy(*keys, (F.col("x") + F.col("d.dx")).alias("x"), (F.col("y") + F.col("d.dy")).alias("y")).agg(F.count("*").alias("n"))
-    return came.where(F.col("n") == len(offsets)).drop("n")
+    return _morphed(mask, offsets, keys, True)
 
 
 def closed(mask: DataFrame, offsets: list[tuple[int, int]], keys: tuple[str, ...] = ("page",)) -> DataFrame:
@@ -59,18 +84,79 @@ def runs(mask: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return mask.withColumn("_i", F.col("x") - F.row_number().over(w)).groupBy(*keys, "y", "_i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_i")
 
 
-def components(mask: DataFrame, keys: tuple[str, ...] = ("page",), diagonal: bool = True, rounds: int = 40) -> DataFrame:
+def _tile_parts(tile: np.ndarray, x: np.ndarray, y: np.ndarray, own: np.ndarray, reach: int, wide: int) -> tuple[np.ndarray, ...]:
+    """First and last pixel of each run of pixels sorted by tile, y and x, and the run with which its part of the tile begins; `wide` is more than a tile's width."""
+    same = (tile[1:] == tile[:-1]) & (y[1:] == y[:-1])
+    begins = np.append(True, ~(same & (x[1:] == x[:-1] + 1) & (own[1:] == own[:-1])))[: len(x)]
+    first = np.flatnonzero(begins)
+    last = np.append(first[1:], len(x))[: len(first)] - 1
+    t, row, x0, x1 = tile[first], y[first], x[first], x[last]
+    beside = np.flatnonzero((t[1:] == t[:-1]) & (row[1:] == row[:-1]) & (x0[1:] == x1[:-1] + 1))
+    # runs of the next row of the tile that touch: numbers of tiles and rows are dense, places are taken from the tile's left
+    rows, number = np.unique(np.stack([t, row], 1), axis=0, return_inverse=True)
+    number = number.ravel()
+    below = np.full(len(rows) + 1, -1)
+    below[: len(rows) - 1] = np.where((rows[1:, 0] == rows[:-1, 0]) & (rows[1:, 1] == rows[:-1, 1] + 1), np.arange(1, len(rows)), -1) if len(rows) > 1 else below[: len(rows) - 1]
+    left = np.minimum.reduceat(x0, np.flatnonzero(np.append(True, t[1:] != t[:-1]))) if len(t) else t
+    base = left[np.cumsum(np.append(True, t[1:] != t[:-1])) - 1] if len(t) else t
+    u0, u1, size = x0 - base + 1, x1 - base + 1, 4 * wide
+    some = np.flatnonzero(below[number] >= 0)
+    at = below[number[some]] * size
+    lo, hi = np.searchsorted(number * size + u1, at + u0[some] - reach), np.searchsorted(number * size + u0, at + u1[some] + reach, "right")
+    sizes = np.maximum(hi - lo, 0)
+    a = np.concatenate([beside, np.repeat(some, sizes)])
+    b = np.concatenate([beside + 1, np.arange(sizes.sum()) + np.repeat(lo - (np.cumsum(sizes) - sizes), sizes)])
+    part = np.arange(len(first))
+    while (part[a] != part[b]).any():
+        least = np.minimum(part[a], part[b])
+        np.minimum.at(part, part[a], least)
+        np.minimum.at(part, part[b], least)
+        while (part[part] != part).any():
+            part = part[part]
+    return first, last, part
+
+
+def components(mask: DataFrame, keys: tuple[str, ...] = ("page",), diagonal: bool = True, rounds: int = 40, bits: int = tiles.BITS) -> DataFrame:
     """Runs (keys, y, x0, x1, component) of a mask's connected parts; a component is its first run's place `y:x0` as a struct.
 
-    Runs of neighbouring rows that touch are edges; each round takes the least place of the neighbours and
-    then of the place's own place, so that chains halve.  Rounds cut lineage by a checkpoint.
+    Tiles find their own parts; runs end at their sides.  Parts of different tiles that hold the same
+    pixel, as one of their own or as one beside them, are edges; each round takes the least place of the
+    neighbours and then of the place's own place, so that chains halve.  Rounds cut lineage by a checkpoint.
     """
+    kinds = dict(mask.dtypes)
     reach = 1 if diagonal else 0
-    part = runs(mask, keys).withColumn("id", F.struct("y", "x0"))
-    a, b = part.select(*keys, "y", F.col("x0").alias("a0"), F.col("x1").alias("a1"), F.col("id").alias("a")), part.select(*keys, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("b"))
-    touching = a.join(b, [*keys, "y"]).where((F.col("a0") <= F.col("b1") + reach) & (F.col("b0") <= F.col("a1") + reach)).select(*keys, "a", "b")
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x, y, tx, ty = (table.column(c).to_numpy() for c in ("x", "y", "_tx", "_ty"))
+        tile = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(x))))
+        order = np.lexsort((x, y, tile))
+        new = np.append(True, (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(tile[order]) != 0))[: len(order)]
+        order = order[new]
+        x, y, tx, ty, tile = x[order], y[order], tx[order], ty[order], tile[order]
+        own = (x >> bits == tx) & (y >> bits == ty)
+        first, last, part = _tile_parts(tile, x, y, own, reach, (1 << bits) + 4)
+        run = np.repeat(np.arange(len(first)), last - first + 1)
+        cy, cx = y[first][part], x[first][part]
+        rim = ~own | (x - (tx << bits) == 0) | (y - (ty << bits) == 0) | (x - (tx << bits) == (1 << bits) - 1) | (y - (ty << bits) == (1 << bits) - 1)
+        # tiles that hold nothing but what lies beside them tell nothing
+        rim &= (np.bincount(tile, own, len(starts)) > 0)[tile]
+        runs_, marks = np.flatnonzero(own[first]), np.flatnonzero(rim)
+        at = np.concatenate([order[first[runs_]], order[marks]])
+        both = lambda a, b: pa.array(np.concatenate([a, b]))
+        return pa.RecordBatch.from_arrays(
+            [*(table.column(k).combine_chunks().take(pa.array(at)) for k in keys), both(y[first[runs_]], y[marks]), both(x[first[runs_]], x[marks]), both(x[last[runs_]], x[marks]), both(cy[runs_], cy[run[marks]]), both(cx[runs_], cx[run[marks]]), pa.array(np.arange(len(at)) >= len(runs_))],
+            [*keys, "y", "x0", "x1", "_cy", "_cx", "_mark"],
+        )
+
+    made = tiles.tiled(mask.select(*keys, "x", "y"), keys, 1, work, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "y long, x0 long, x1 long, _cy long, _cx long, _mark boolean"]), bits).checkpoint()
+    place = F.struct(F.col("_cy").cast(kinds["y"]).alias("y"), F.col("_cx").cast(kinds["x"]).alias("x0"))
+    part = made.where("not _mark").select(*keys, F.col("y").cast(kinds["y"]).alias("y"), *(F.col(c).cast(kinds["x"]).alias(c) for c in ("x0", "x1")), place.alias("id"))
+    met = made.where("_mark").groupBy(*keys, "y", "x0").agg(F.collect_set(place).alias("_s")).where(F.size("_s") > 1)  # at most four tiles meet at a pixel
+    touching = met.select(*keys, F.array_min("_s").alias("a"), F.explode("_s").alias("b")).where("a <> b").distinct()
     edges = touching.unionByName(touching.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = part.select(*keys, "id", F.col("id").alias("c")).checkpoint()
+    if not edges.take(1):
+        return part.withColumnRenamed("id", "component")
+    labels = edges.select(*keys, F.col("a").alias("id")).distinct().withColumn("c", F.col("id")).checkpoint()
     for _ in range(rounds):
         offered = edges.join(labels.select(*keys, F.col("id").alias("b"), "c"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("id")).agg(F.min("c").alias("o"))
         lower = labels.join(offered, [*keys, "id"], "left").withColumn("n", F.least("c", F.coalesce("o", "c")))
@@ -82,7 +168,7 @@ def components(mask: DataFrame, keys: tuple[str, ...] = ("page",), diagonal: boo
             break
     else:
         raise RuntimeError("components did not settle")
-    return part.join(labels, [*keys, "id"]).select(*keys, "y", "x0", "x1", F.col("c").alias("component"))
+    return part.join(labels, [*keys, "id"], "left").select(*keys, "y", "x0", "x1", F.coalesce("c", "id").alias("component"))
 
 
 def component_boxes(parts: DataFrame, keys: tuple[str, ...] = ("page",)) -> DataFrame:

@@ -1,16 +1,17 @@
 """Strokes of one width as centre lines, and lines that are nearly upright or level made so.
 
 Centre lines come from thinning: each half step looks every pixel's eight neighbours up in a table and
-takes pixels away that are not needed to keep their part together, all pages at once, until nothing goes.
-Neighbours are gathered in two passes, along rows and along columns.
+takes pixels away that are not needed to keep their part together, all tiles at once, until nothing goes.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewright.operators import contours, distance, raster, windows
+from platewright.operators import contours, distance, raster, tiles
 
 #: Bits of a pixel's neighbourhood: the row above from left to right, its own, the row below.
 NW, N, NE, W, SELF, E, SW, S, SE = (1 << k for k in range(9))
@@ -30,26 +31,65 @@ def removable(half: int) -> list[bool]:
     return out
 
 
-def neighbourhoods(mask: DataFrame) -> DataFrame:
+def _codes(on: np.ndarray) -> np.ndarray:
+    """Neighbourhoods of all but the outermost places of an array of zeros and ones."""
+    h, w = on.shape
+    return sum(on[k // 3 : h - 2 + k // 3, k % 3 : w - 2 + k % 3] << k for k in range(9))
+
+
+def _drawn(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pixels as ones of an array with a free rim, and their places in it."""
+    i, j = y - y.min() + 1, x - x.min() + 1
+    on = np.zeros((int(i.max()) + 2, int(j.max()) + 2), np.int16)
+    on[i, j] = 1
+    return on, i, j
+
+
+def neighbourhoods(mask: DataFrame, bits: int = tiles.BITS) -> DataFrame:
     """(page, x, y, code) of a mask's pixels (page, x, y)."""
-    d = windows._beside(mask.select("page", "x", F.col("y").cast("long").alias("y"), F.lit(1).alias("v")), ["v"], 1)
-    row, column = Window.partitionBy("page", "y").orderBy("x"), Window.partitionBy("page", "x").orderBy("y")
-    next_ = lambda c, at, w, step: F.coalesce(F.when(F.lag(at, -step).over(w) == F.col(at) + step, F.lag(c, -step).over(w)), F.lit(0))
-    d = d.withColumn("v", F.coalesce("v", F.lit(0)))
-    d = d.withColumn("_r", next_("v", "x", row, -1) + 2 * F.col("v") + 4 * next_("v", "x", row, 1))
-    d = d.withColumn("code", next_("_r", "y", column, -1) + 8 * F.col("_r") + 64 * next_("_r", "y", column, 1))
-    return d.where("_own").select("page", "x", "y", "code")
-
-
-def thinned(mask: DataFrame) -> DataFrame:
-    """Centre lines (page, x, y) of a mask, a pixel wide; each part keeps its holes and its ends."""
-    tables = [F.lit("".join("1" if gone else "0" for gone in removable(half))) for half in (0, 1)]
-    now, left = mask.select("page", "x", F.col("y").cast("long").alias("y")).distinct().checkpoint(), -1
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        own, code = np.zeros(table.num_rows, bool), np.zeros(table.num_rows, np.int64)
+        for lo, hi, tx, ty, x, y in tiles.each(table, starts):
+            on, i, j = _drawn(x, y)
+            own[lo:hi], code[lo:hi] = (x >> bits == tx) & (y >> bits == ty), _codes(on)[i - 1, j - 1]
+        kept = table.filter(pa.array(own))
+        return pa.RecordBatch.from_arrays([*(kept.column(c).combine_chunks() for c in ("page", "x", "y")), pa.array(code[own])], ["page", "x", "y", "code"])
+
+    return tiles.tiled(mask.select("page", "x", "y"), ("page",), 1, work, f"page {dict(mask.dtypes)['page']}, x long, y long, code long", bits)
+
+
+def thinned(mask: DataFrame, bits: int = tiles.BITS) -> DataFrame:
+    """Centre lines (page, x, y) of a mask, a pixel wide; each part keeps its holes and its ends.
+
+    A half step reaches a pixel far, so a tile with pixels of others up to `radius` around it takes half
+    as many whole steps at a time as these allow; one without them takes all its steps at once.
+    """
+    radius = min(16, 1 << bits - 1)
+    tables = [np.array(removable(half)) for half in (0, 1)]
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        kept, open_ = np.zeros(table.num_rows, bool), np.zeros(table.num_rows, bool)
+        for lo, hi, tx, ty, x, y in tiles.each(table, starts):
+            own = (x >> bits == tx) & (y >> bits == ty)
+            if not own.any():
+                continue
+            on, i, j = _drawn(x, y)
+            alone, steps, left = bool(own.all()), radius // 2, -1
+            while (alone or steps) and (now := int(on.sum())) != left:
+                left, steps = now, steps - 1
+                for gone in tables:
+                    on[1:-1, 1:-1][gone[_codes(on)]] = 0
+            kept[lo:hi], open_[lo:hi] = own & (on[i, j] == 1), not alone
+        rows = table.filter(pa.array(kept))
+        return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("page", "x", "y")), pa.array(open_[kept])], ["page", "x", "y", "open"])
+
+    now, left = mask.select("page", "x", "y").distinct(), -1
     while True:
-        for table in tables:
-            now = neighbourhoods(now).where(F.substring(table, (F.col("code") + 1).cast("int"), F.lit(1)) == "0").select("page", "x", "y").checkpoint()
-        count = now.count()
-        if count == left:
+        made = tiles.tiled(now, ("page",), radius, work, f"page {dict(mask.dtypes)['page']}, x long, y long, open boolean", bits).checkpoint()
+        count, more = made.agg(F.count("*"), F.max("open")).first()
+        now = made.select("page", "x", "y")
+        if not more or count == left:
             return now
         left = count
 
@@ -68,11 +108,12 @@ def centre_lines(mask: DataFrame, spread: float = 1.0, slender: float = 3.0) ->
     depths that differ by `spread` pixels at most, but at its ends.  `stroke` is the place of the part's first run.
     """
     mask = mask.select("page", "x", "y").distinct().checkpoint()
-    parts = raster.pixels_of(raster.components(mask)).select("page", "x", F.col("y").cast("long").alias("y"), F.struct("component.y", "component.x0").alias("stroke")).checkpoint()
+    runs = raster.components(mask).withColumnRenamed("component", "stroke")
+    parts = runs.select("page", "stroke", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
     deep = distance.depths(mask).select("page", "x", "y", F.sqrt("square").alias("depth"))
     coded = neighbourhoods(thinned(mask)).withColumn("ways", ways(F.col("code")))
     line = coded.join(parts, ["page", "x", "y"]).join(deep, ["page", "x", "y"]).checkpoint()
-    area = parts.groupBy("page", "stroke").agg(F.count("*").alias("area"))
+    area = runs.groupBy("page", "stroke").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"))
     inner = F.when(F.size("ways") == 2, F.col("depth"))
     facts = line.groupBy("page", "stroke").agg(F.count("*").alias("n"), F.max(F.size("ways")).alias("most"), F.percentile(inner, F.lit(0.1)).alias("low"), F.percentile(inner, F.lit(0.9)).alias("high")).join(area, ["page", "stroke"])
     width = F.col("area") / F.col("n")
@@ -86,7 +127,7 @@ def centre_lines(mask: DataFrame, spread: float = 1.0, slender: float = 3.0) ->
     ends = kept.select("page", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("ways").alias("_on"))
     onward = F.filter("_on", lambda k: k != F.pmod(F.col("way") + 4, F.lit(8)))
     links = steps.join(ends, ["page", "x1", "y1"]).select("page", "id", number(F.col("x1"), F.col("y1"), F.get(onward, F.lit(0))).alias("next"))
-    ordered = steps.join(contours.ranked(links), ["page", "id"])
+    ordered = steps.join(contours.ranked(links, 3), ["page", "id"])
     # a line runs from its first end in reading order; a ring in the direction of its first pixel's lesser step
     first = F.first("id").over(Window.partitionBy("page", "list").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     chosen = ordered.withColumn("_f", first).withColumn("_m", F.min("_f").over(Window.partitionBy("page", "stroke"))).where(F.col("_f") == F.col("_m"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewright.operators import fitting, strokes
+from platewright.operators import fitting, raster, strokes
 
 
 def thinned_by_hand(mask):
@@ -49,6 +49,16 @@ def test_thinning(spark):
         assert got[p] == set(map(tuple, np.argwhere(thinned_by_hand(a)).tolist())), p
 
 
+def test_strokes_across_tiles(spark):
+    """Thinning, parts and neighbourhoods in tiles of eight places are those of one tile."""
+    rng = np.random.default_rng(2)
+    pages = drawn() | {8: np.kron(rng.random((6, 9)) < 0.6, np.ones((5, 4), bool)), 9: rng.random((30, 33)) < 0.6}
+    mask = pixels_of(spark, pages)
+    for made in (strokes.thinned, strokes.neighbourhoods, lambda m, bits: raster.pixels_of(raster.components(m, bits=bits)).select("page", "x", "y", "component")):
+        one, many = (sorted(map(tuple, made(mask, bits=bits).collect())) for bits in (8, 3))
+        assert one == many and len(one) > 500
+
+
 def test_centre_lines(spark):
     rows = strokes.centre_lines(pixels_of(spark, drawn())).collect()
     pages = {}
