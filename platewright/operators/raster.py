@@ -544,11 +544,15 @@ def local_similarity(both: DataFrame, k: int = 7, range_: float = 255.0) -> Data
     """(page, x, y, similarity) of whole k by k windows of two rasters (page, x, y, value, other) of whole numbers."""
     p, q = F.col("value").cast("long"), F.col("other").cast("long")
     w = windows.windowed(both.select("page", "x", "y", "value", "other"), k // 2, {"n": (F.lit(1), F.sum), "sp": (p, F.sum), "sq": (q, F.sum), "pp": (p * p, F.sum), "qq": (q * q, F.sum), "pq": (p * q, F.sum)}).where(F.col("n") == k * k)
-    n, c1, c2 = float(k * k), (0.01 * range_) ** 2, (0.03 * range_) ** 2
-    mp, mq = F.col("sp") / n, F.col("sq") / n
-    spread = lambda name, a, b: (F.col(name) - F.col(a) * F.col(b) / n) / (n - 1)
-    s = (2 * mp * mq + c1) * (2 * spread("pq", "sp", "sq") + c2) / ((mp * mp + mq * mq + c1) * (spread("pp", "sp", "sp") + spread("qq", "sq", "sq") + c2))
-    return w.select("page", "x", "y", s.alias("similarity"))
+    return w.select("page", "x", "y", similarity(*(F.col(c) for c in ("sp", "sq", "pp", "qq", "pq")), float(k * k), range_).alias("similarity"))
+
+
+def similarity(sp, sq, pp, qq, pq, n: float, range_: float = 255.0):
+    """Structural similarity of a window of `n` pixels by the sums of both values and of their products, as columns or arrays."""
+    c1, c2 = (0.01 * range_) ** 2, (0.03 * range_) ** 2
+    mp, mq = sp / n, sq / n
+    spread = lambda ab, a, b: (ab - a * b / n) / (n - 1)
+    return (2 * mp * mq + c1) * (2 * spread(pq, sp, sq) + c2) / ((mp * mp + mq * mq + c1) * (spread(pp, sp, sp) + spread(qq, sq, sq) + c2))
 
 
 def structural_similarity(one: DataFrame, two: DataFrame, k: int = 7, range_: float = 255.0) -> DataFrame:

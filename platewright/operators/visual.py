@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewright.operators import raster, windows
+from platewright.operators import raster, tiles
 
 #: Boxes of which a side is shorter than THIN lie on the page's edge within EDGE pixels: what an alignment leaves.
 THIN, EDGE, MARGIN = 14, 6, 2
@@ -35,20 +38,90 @@ def cosine_hash(pixels: DataFrame, keys: tuple[str, ...], n: int = 8, side: int
     mean = each.groupBy(*keys, "cy", "cx").agg(F.avg("value").alias("v"))
     wave = lambda c, k: F.cos(F.lit(math.pi * k / side) * (F.col(c) + 0.5))
     rows = mean.groupBy(*keys, "cy").agg(*(F.sum(F.col("v") * wave("cx", u)).alias(f"u{u}") for u in range(n)))
-    whole = rows.groupBy(*keys).agg(F.array(*(F.sum(F.col(f"u{u}") * wave("cy", v)) for v in range(n) for u in range(n))).alias("c"))
+    # rounded, so that the order of a sum does not decide on which side of the median a zero lies
+    whole = rows.groupBy(*keys).agg(F.array(*(F.round(F.sum(F.col(f"u{u}") * wave("cy", v)), 6) for v in range(n) for u in range(n))).alias("c"))
     ordered = F.array_sort("c")
     middle = (ordered[n * n // 2 - 1] + ordered[n * n // 2]) / 2
     bit = lambda v, i: F.when(v > middle, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
     return whole.select(*keys, F.aggregate(F.transform("c", bit), F.lit(0).cast("long"), lambda s, b: s.bitwiseOR(b)).alias("hash"))
 
 
-def differences(design: DataFrame, client: DataFrame) -> DataFrame:
-    """(page, x, y, excess, similarity) of rasters (page, x, y, r, g, b); similarity is null where the window is cut by the page's edge."""
-    both = windows.blurred(design, list("rgb")).select("page", "x", "y", *(F.col(c).alias(f"d{c}") for c in "rgb")).join(windows.blurred(client, list("rgb")).select("page", "x", "y", *(F.col(c).alias(f"c{c}") for c in "rgb")), ["page", "x", "y"])
-    away = windows.extrema(both, 2, ["dr", "dg", "db"])
-    excess = F.greatest(F.lit(0), *(F.col(f"c{c}") - F.col(f"high_d{c}") for c in "rgb"), *(F.col(f"low_d{c}") - F.col(f"c{c}") for c in "rgb"))
-    d = away.select("page", "x", "y", excess.alias("excess"), grey(*(F.col(f"d{c}") for c in "rgb")).alias("value"), grey(*(F.col(f"c{c}") for c in "rgb")).alias("other"))
-    return d.join(raster.local_similarity(d.select("page", "x", "y", "value", "other")), ["page", "x", "y"], "left").select("page", "x", "y", "excess", "similarity")
+def _blurred(value: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """An array of whole numbers weighed as `windows.blurred` does, where `there` is true; a rim of one place is left as it is."""
+
+    def weighed(v: np.ndarray, axis: int) -> np.ndarray:
+        before, after = np.roll(v, 1, axis), np.roll(v, -1, axis)
+        has, follows = np.roll(there, 1, axis), np.roll(there, -1, axis)
+        return np.where(has, before, np.where(follows, after, v)) + 2 * v + np.where(follows, after, np.where(has, before, v))
+
+    return (weighed(weighed(value, 1), 0) + 8) >> 4
+
+
+def _windowed(f: np.ufunc, a: np.ndarray, radius: int) -> np.ndarray:
+    """`f` over the square of 2 radius + 1 places around all but the outermost `radius` places."""
+    for axis in (0, 1):
+        n = a.shape[axis] - 2 * radius
+        parts = [a.take(range(k, k + n), axis) for k in range(2 * radius + 1)]
+        a = functools.reduce(f, parts)
+    return a
+
+
+#: Places around a pixel that its differences look at: the window of similarity and the blur of what is in it.
+REACH, TOLERANT, SIMILAR = 4, 2, 3
+
+
+def differences(design: DataFrame, client: DataFrame, bits: int = tiles.BITS) -> DataFrame:
+    """(page, x, y, excess, similarity) of rasters (page, x, y, r, g, b); similarity is null where the window is cut by the page's edge.
+
+    Both rasters are blurred; excess is how far the client leaves the range of the design's window, as in
+    `raster.tolerant_excess`, similarity is that of `raster.local_similarity`, in one pass by tiles.
+    """
+    return _differences(design, client, bits).drop("colours")
+
+
+def _differences(design: DataFrame, client: DataFrame, bits: int = tiles.BITS) -> DataFrame:
+    """`differences` with both pixels' bytes, design's red to client's blue from the highest on, as a number `colours`."""
+    kind = dict(design.dtypes)["page"]
+    side = lambda df, of: df.select("page", "x", "y", *(F.col(c).cast("long").alias(c) for c in "rgb"), F.lit(of).alias("client"))
+
+    def work(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        bands, second = [table.column(c).to_numpy() for c in "rgb"], table.column("client").combine_chunks().to_numpy(zero_copy_only=False)
+        out = []
+        for lo, hi, tx, ty, x, y in tiles.each(table, starts):
+            ox, oy = int(x.min()) - REACH, int(y.min()) - REACH
+            shape = (int(y.max()) - oy + REACH + 1, int(x.max()) - ox + REACH + 1)
+            there, soft, packed = [], [], np.zeros(shape, np.int64)
+            for of in (False, True):
+                k = lo + np.flatnonzero(second[lo:hi] == of)
+                at = (y[k - lo] - oy, x[k - lo] - ox)
+                here = np.zeros(shape, bool)
+                here[at] = True
+                there.append(here)
+                for band in bands:
+                    value = np.zeros(shape, np.int64)
+                    value[at] = band[k]
+                    soft.append(_blurred(value, here))
+                    packed = (packed << 8) + value
+            both = there[0] & there[1]
+            i, j = np.nonzero(both)
+            own = (j + ox >> bits == tx) & (i + oy >> bits == ty)
+            i, j = i[own], j[own]
+            if not len(i):
+                continue
+            d, c = soft[:3], soft[3:]
+            excess = np.zeros(len(i), np.int64)
+            for one, two in zip(d, c, strict=True):
+                high = _windowed(np.maximum, np.where(both, one, -1), TOLERANT)[i - TOLERANT, j - TOLERANT]
+                low = _windowed(np.minimum, np.where(both, one, 1 << 40), TOLERANT)[i - TOLERANT, j - TOLERANT]
+                excess = np.maximum(excess, np.maximum(two[i, j] - high, low - two[i, j]))
+            p, q = (np.where(both, np.floor(0.299 * s[0] + 0.587 * s[1] + 0.114 * s[2] + 0.5).astype(np.int64), 0) for s in (d, c))
+            n, sp, sq, pp, qq, pq = (_windowed(np.add, v, SIMILAR)[i - SIMILAR, j - SIMILAR] for v in (both.astype(np.int64), p, q, p * p, q * q, p * q))
+            whole = (2 * SIMILAR + 1) ** 2
+            out.append((np.full(len(i), lo), j + ox, i + oy, excess, raster.similarity(sp, sq, pp, qq, pq, float(whole)), n < whole, packed[i, j]))
+        at, x, y, excess, similarity, cut, colours = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4 + (np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64))
+        return pa.RecordBatch.from_arrays([table.column("page").combine_chunks().take(pa.array(at)), pa.array(x), pa.array(y), pa.array(excess), pa.array(similarity, mask=cut), pa.array(colours)], ["page", "x", "y", "excess", "similarity", "colours"])
+
+    return tiles.tiled(side(design, False).unionByName(side(client, True)), ("page",), REACH, work, f"page {kind}, x long, y long, excess long, similarity double, colours long", bits)
 
 
 def strengths(found: DataFrame) -> DataFrame:
@@ -63,7 +136,7 @@ def compared(design: DataFrame, client: DataFrame, similarity: float = 0.85, dif
     `valid` (page, x, y) are the pixels that the client's picture covers; near its rim nothing counts.
     Marked pixels grow, gaps close, and connected parts of `least_area` pixels make boxes.
     """
-    found = differences(design, client).checkpoint()
+    found = _differences(design, client).checkpoint()
     scores = found.groupBy("page").agg(F.coalesce(F.avg("similarity"), F.lit(1.0)).alias("similarity"))
     pages = found.groupBy("page").agg((F.max("x") + 1).alias("_w"), (F.max("y") + 1).alias("_h"))
     marked = found.where(F.col("excess") > pixel_limit(similarity, difference)).select("page", "x", "y")
@@ -82,7 +155,8 @@ def compared(design: DataFrame, client: DataFrame, similarity: float = 0.85, dif
     core = F.col("px").between(F.col("x"), F.col("x") + F.col("w") - 1) & F.col("py").between(F.col("y"), F.col("y") + F.col("h") - 1)
     cut = places.select("page", "box", F.col("px").alias("x"), F.col("py").alias("y"), core.alias("core"), (F.col("px") - F.greatest(F.col("x") - MARGIN, F.lit(0))).alias("px"), (F.col("py") - F.greatest(F.col("y") - MARGIN, F.lit(0))).alias("py"))
     size = Window.partitionBy("page", "box")
-    pixels = cut.join(found.select("page", "x", "y", "excess"), ["page", "x", "y"]).join(design.select("page", "x", "y", *(F.col(c).alias(f"d{c}") for c in "rgb")), ["page", "x", "y"]).join(client.select("page", "x", "y", *(F.col(c).alias(f"c{c}") for c in "rgb")), ["page", "x", "y"])
+    byte = lambda k: F.shiftright("colours", 40 - 8 * k).bitwiseAND(F.lit(255))
+    pixels = cut.join(found.select("page", "x", "y", "excess", *(byte(k).alias(n) for k, n in enumerate(("dr", "dg", "db", "cr", "cg", "cb")))), ["page", "x", "y"])
     pixels = pixels.withColumns({"w": F.max("px").over(size) + 1, "h": F.max("py").over(size) + 1, "gd": grey(*(F.col(f"d{c}") for c in "rgb")), "gc": grey(*(F.col(f"c{c}") for c in "rgb"))}).checkpoint()
     median = lambda c: F.percentile(c, F.lit(0.5))
     facts = pixels.groupBy("page", "box").agg(F.avg(F.when(F.col("core"), F.col("excess"))).alias("_mean"), F.stddev_pop("gd").alias("design_sd"), F.stddev_pop("gc").alias("client_sd"), F.greatest(*(F.abs(median(f"d{c}") - median(f"c{c}")) for c in "rgb")).alias("median_change"))

@@ -256,3 +256,24 @@ def test_cosine_hash(spark):
         c = (waves @ cells @ waves.T).ravel()
         want = sum(1 << i for i in range(64) if c[i] > np.median(c))
         assert got[k] % (1 << 64) == want
+
+
+def test_differences_across_tiles(spark):
+    """Tiles of eight places see what one tile sees, on pages with gaps too."""
+    rng = np.random.default_rng(13)
+    rasters = [{p: np.kron(rng.integers(0, 256, (5, 6, 3)), np.ones((5, 4, 1), int)) for p in (1, 2)} for _ in "dc"]
+    d, c = (pages_of(spark, r, "r g b") for r in rasters)
+    d = d.where("page = 1 or (x % 7 <> 3 and y % 11 <> 5)")
+    one, many = (sorted(map(str, visual.differences(d, c, bits).collect())) for bits in (8, 3))
+    assert one == many and len(one) > 900
+
+
+def test_hash_of_an_even_box(spark):
+    """Where coefficients are zero but for the rounding of sums, the bits do not depend on the order of these."""
+    a = np.full((32, 32), 250)
+    a[9:23, 5:27] = np.where(np.arange(22) % 3, 60, 71)
+    rows = [(k, x, y, 32, 32, int(v)) for k, b in ((1, a), (2, a[::-1]), (3, a[:, ::-1])) for y in range(32) for x, v in enumerate(b[y])]
+    df = spark.createDataFrame(rows, "box int, px long, py long, w long, h long, value long")
+    got = {r.box: r.hash for r in visual.cosine_hash(df, ("box",)).collect()}
+    assert got[1] == got[2]  # level mirror images of an image that is its own
+    assert {r.box: r.hash for r in visual.cosine_hash(df.repartition(7, "py"), ("box",)).collect()} == got
