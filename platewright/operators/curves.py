@@ -47,20 +47,23 @@ def smoothed(points: DataFrame, sigma: float = 1.6) -> DataFrame:
     return _unwrapped(d.withColumns({"_x": mean("x"), "_y": mean("y")})).withColumns({"x": F.col("_x"), "y": F.col("_y")}).drop("_x", "_y")
 
 
-def corners(points: DataFrame, degrees: float = 60.0, reach: int = 5) -> DataFrame:
-    """(page, chain, pos, turn): where the way turns by `degrees` or more, the greatest turn within `reach` points (the first of equal ones); no ends."""
+def _cornered(points: DataFrame, degrees: float, reach: int) -> DataFrame:
+    """`points` with their `turn` and whether they are `corner`s, as `corners` has them; a ring's last point is none."""
     w = Window.partitionBy(*CHAIN).orderBy("pos")
     d = _wrapped(points, 2 * reach + 1)
     before, after = (lambda c: F.col(c) - F.lag(c, reach).over(w)), (lambda c: F.lead(c, reach).over(w) - F.col(c))
-    ax, ay, bx, by = before("x"), before("y"), after("x"), after("y")
-    d = d.withColumns({"_ax": ax, "_ay": ay, "_bx": bx, "_by": by})
+    d = d.withColumns({"_ax": before("x"), "_ay": before("y"), "_bx": after("x"), "_by": after("y")})
     cosine = (F.col("_ax") * F.col("_bx") + F.col("_ay") * F.col("_by")) / F.greatest(F.hypot("_ax", "_ay") * F.hypot("_bx", "_by"), F.lit(1e-9))
     d = d.withColumn("turn", F.round(F.coalesce(F.degrees(F.acos(F.least(F.greatest(cosine, F.lit(-1.0)), F.lit(1.0)))), F.lit(0.0)), 6))
     near = Window.partitionBy(*CHAIN).orderBy("pos").rangeBetween(-reach, reach)
-    first = F.max(F.struct("turn", -F.col("pos"))).over(near)
-    d = d.withColumn("_m", first)
-    kept = d.where((F.col("turn") >= degrees) & (F.col("_m.col2") == -F.col("pos")) & F.when(F.col("closed"), (F.col("pos") >= 0) & (F.col("pos") < F.col("length"))).otherwise(True))
-    return kept.select(*CHAIN, "pos", "turn")
+    d = d.withColumn("_m", F.max(F.struct("turn", -F.col("pos"))).over(near))
+    inside = F.when(F.col("closed"), (F.col("pos") >= 0) & (F.col("pos") < F.col("length"))).otherwise(True)
+    return _unwrapped(d.withColumn("corner", (F.col("turn") >= degrees) & (F.col("_m.col2") == -F.col("pos")) & inside)).drop("_ax", "_ay", "_bx", "_by", "_m")
+
+
+def corners(points: DataFrame, degrees: float = 60.0, reach: int = 5) -> DataFrame:
+    """(page, chain, pos, turn): where the way turns by `degrees` or more, the greatest turn within `reach` points (the first of equal ones); no ends."""
+    return _cornered(points, degrees, reach).where("corner").select(*CHAIN, "pos", "turn")
 
 
 def _unit(x: Column, y: Column) -> tuple[Column, Column]:
@@ -74,9 +77,9 @@ def parts(points: DataFrame, degrees: float = 60.0, reach: int = 5) -> DataFrame
     A ring begins at its first corner; one with a single corner or none is cut in halves, and without
     corners both cuts are smooth.  A part is named by its first place.
     """
-    found = corners(points, degrees, reach).groupBy(*CHAIN).agg(F.array_sort(F.collect_list("pos")).alias("_c"))  # corners of a chain
     n = F.col("length")
-    d = points.join(found, list(CHAIN), "left").withColumn("_c", F.coalesce("_c", F.array().cast("array<long>")))
+    known = F.array_sort(F.collect_list(F.when(F.col("corner"), F.col("pos"))).over(Window.partitionBy(*CHAIN)))  # corners of a chain
+    d = _cornered(points, degrees, reach).withColumn("_c", known)
     turned = F.when(F.col("closed") & (F.size("_c") > 0), F.element_at("_c", 1)).otherwise(F.lit(0).cast("long"))
     d = d.withColumn("_s", turned).where(~(F.col("closed") & (F.col("pos") == n))).withColumn("pos", F.when(F.col("closed"), F.pmod(F.col("pos") - F.col("_s"), n)).otherwise(F.col("pos")))
     moved = F.transform("_c", lambda c: F.when(F.col("closed"), F.pmod(c - F.col("_s"), n)).otherwise(c))
@@ -150,11 +153,13 @@ CONTROLS = [f"{c}{k}" for k in range(4) for c in "xy"]
 
 def fit(cut: DataFrame, tolerance: float = 0.8) -> DataFrame:
     """(page, chain, part, last, x0 ... y3, error): cubics of the chains' `parts`, in order of `part`; none is farther than `tolerance` from its points, but for two neighbouring ones."""
-    done, rows = None, cut.checkpoint()
+    done, rows = None, cut
     part = Window.partitionBy(*CHAIN, "part")
     while True:
-        d = _fitted(rows, tolerance).withColumns({"_first": F.min("pos").over(part), "_last": F.max("pos").over(part)}).select(*cut.columns, "n", "error", "worst", "_first", "_last", *CONTROLS).checkpoint()
         good = (F.col("error") < tolerance) | (F.col("n") == 2)
+        d = _fitted(rows, tolerance).withColumns({"_first": F.min("pos").over(part), "_last": F.max("pos").over(part)})
+        # of a part that has its cubic one row is kept
+        d = d.where(~good | (F.col("pos") == F.col("_first"))).select(*cut.columns, "n", "error", "worst", "_first", "_last", *CONTROLS).checkpoint()
         made = d.where(good & (F.col("pos") == F.col("_first"))).select(*CHAIN, "part", F.col("_last").alias("last"), *CONTROLS, "error")
         done = made if done is None else done.unionByName(made)
         left = d.where(~good)
@@ -173,8 +178,8 @@ def fit(cut: DataFrame, tolerance: float = 0.8) -> DataFrame:
 
 def outlined(points: DataFrame, tolerance: float = 0.8, degrees: float = 60.0, sigma: float = 1.6, reach: int = 5) -> DataFrame:
     """Cubics (as `fit`) of chains of points (page, chain, pos, x, y, length, closed) as `contours.points` gives them; corners stay where they are."""
-    found = corners(points, degrees, reach)
-    soft = smoothed(points, sigma)
-    kept = points.select(*CHAIN, "pos", F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).join(found.select(*CHAIN, "pos"), [*CHAIN, "pos"])
-    both = soft.join(kept, [*CHAIN, "pos"], "left").withColumns({"x": F.coalesce("_x", "x"), "y": F.coalesce("_y", "y")}).drop("_x", "_y")
-    return fit(parts(both.checkpoint(), degrees, reach), tolerance)
+    dealt = points.repartition(*CHAIN)  # the one shuffle of all points; what follows are windows over chains
+    exact = _cornered(dealt, degrees, reach).withColumns({"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")}).drop("turn")
+    soft = smoothed(exact.withColumnsRenamed({"_x": "_ex", "_y": "_ey"}), sigma)
+    both = soft.withColumns({"x": F.when(F.col("corner"), F.col("_ex")).otherwise(F.col("x")), "y": F.when(F.col("corner"), F.col("_ey")).otherwise(F.col("y"))}).drop("_ex", "_ey", "corner")
+    return fit(parts(both, degrees, reach), tolerance)

@@ -142,5 +142,5 @@ def index_separation(spark, sf_dir):
 @query()
 def fitted_outlines(spark, sf_dir):
     """Cubics through the outlines of the discs, by page: how many, and the greatest distance; tests hold a plain recursion."""
-    made = curves.outlined(contours.points(contours.chains(disc_pages(spark, sf_dir))).checkpoint())
+    made = curves.outlined(contours.points(contours.chains(disc_pages(spark, sf_dir))))
     return made.groupBy("page").agg(F.count("*").alias("cubics"), F.count_distinct("chain").alias("chains"), F.round(F.max("error"), 4).alias("farthest"))
