@@ -398,3 +398,14 @@ def test_url_filter(spark):
     c = spark.createDataFrame([(1, "http://a.b.com/", 10), (2, "http://a.b.com/", 20), (3, "http://b.com.org/", 15), (4, "https://C.com:80/x/y?z", 6), (5, "http://d.com/", 9), (6, None, 9), (7, "http://a.b.com/", None), (1, "http://a.b.com/", 10)], "id long, url string, fetched long").withColumn("lists", F.lit("old"))
     got = url_filter.check(c, e).collect()
     assert len(got) == 8 and {r.id for r in got if r.blocked} == {1, 4}
+
+
+def test_quality_of_texts_at_a_time():
+    """Votes of many texts at a time are those of each alone, whatever blanks part its words and however few it has."""
+    rng = random.Random(5)
+    words = ["the", "The", "USA", "wow!!", "%%$$", "--", "a1b", "house,", "\U0001f600", "x", "HÄUSER", "naïve."]
+    texts = [None, "", " \n", "one", "one one", "one\x1cone \x85two\xa0\u2003two", *(rng.choice([" ", "  ", "\n", "\x1f", "\x1d "]).join(rng.choices(words[: rng.randint(1, 12)], k=rng.randint(1, 90))) for _ in range(400))]
+    want = [quality.pattern_of(quality.describe(quality.Words(), t)[0]) for t in texts]
+    assert quality.patterns(quality.Words(), texts).tolist() == want and len(set(want)) > 20
+    assert all(quality.solid(t or "") == quality.SOLID.findall(t or "") for t in texts)
+    assert quality.patterns(quality.Words(), []).tolist() == []
